@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.session import cut_lineage
@@ -22,16 +22,6 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     )
 
 
-def with_group_value(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
-    """Attach aggregates of the key group to every row.
-
-    Aggregate, then join back: unlike a window over the keys, a hot group is
-    pre-aggregated and its rows can be split over tasks by the skew join.
-    """
-    groups = df.groupBy(*keys).agg(*[agg.alias(name) for name, agg in aggregates.items()])
-    return df.join(groups, keys, "inner")
-
-
 def rows_not_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``left`` without a partner in ``right`` (set difference on keys)."""
     return left.join(right.select(*keys).distinct(), keys, "left_anti")

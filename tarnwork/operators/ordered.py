@@ -135,23 +135,27 @@ def bucketed_steps(
     bucket_seconds: int,
     step: Callable[[Column, Column], Column],
     out: str,
+    slice_seconds: int = 300,
 ) -> DataFrame:
     """Sum of ``step(previous, current)`` over neighbouring samples, per bucket.
 
     A step belongs to the bucket of its later sample; the first sample of a
-    series adds nothing.  Steps inside a bucket come from a window over
-    (series, bucket), the step into a bucket from the last sample of the
-    bucket before, so the second window sees one row per (series, bucket).
+    series adds nothing.  Steps inside a slice come from a window over
+    (series, slice), the step into a slice from the last sample of the slice
+    before, so the second window sees one row per (series, slice).  A slice
+    is a bucket or an even part of it, so long buckets do not make long groups.
     """
-    group = [*series, "__bucket"]
+    if slice_seconds > bucket_seconds or bucket_seconds % slice_seconds:
+        slice_seconds = bucket_seconds
+    group = [*series, "__slice"]
     order = [time, *tiebreak]
     rows = samples.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(
-        *series, *order, F.col(value).alias("__v"), slice_of(F.col(time), bucket_seconds).alias("__bucket")
+        *series, *order, F.col(value).alias("__v"), slice_of(F.col(time), slice_seconds).alias("__slice")
     )
     within = Window.partitionBy(*group).orderBy(*order)
     stamp = F.struct(*order)
     # Same clustering as the window: this aggregate adds no exchange.
-    per_bucket = (
+    per_slice = (
         rows.withColumn("__step", step(F.lag("__v").over(within), F.col("__v")))
         .groupBy(*group)
         .agg(
@@ -160,13 +164,16 @@ def bucketed_steps(
             F.max_by("__v", stamp).alias("__last"),
         )
     )
-    across = Window.partitionBy(*series).orderBy("__bucket")
+    across = Window.partitionBy(*series).orderBy("__slice")
     entry = F.coalesce(step(F.lag("__last").over(across), F.col("__first")), F.lit(0.0))
-    return per_bucket.select(
-        *series,
-        F.timestamp_micros("__bucket").alias("bucket_start"),
-        (F.col("__inside") + entry).alias(out),
+    bucket = F.col("__slice") - F.pmod(F.col("__slice"), F.lit(bucket_seconds * 1_000_000))
+    stepped = per_slice.select(
+        *series, F.timestamp_micros(bucket).alias("bucket_start"), (F.col("__inside") + entry).alias(out)
     )
+    if slice_seconds == bucket_seconds:
+        return stepped
+    # The window has clustered the rows by series already: again no exchange.
+    return stepped.groupBy(*series, "bucket_start").agg(F.sum(out).alias(out))
 
 
 def true_runs(

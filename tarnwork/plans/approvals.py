@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.times import as_timestamp, hours_between
-from tarnwork.operators.keyed import rows_in, with_group_value
+from tarnwork.operators.keyed import rows_in
 from tarnwork.session import cut_lineage
 
 OPEN = ("pending", "pending_external")
@@ -110,6 +110,10 @@ def admit_requests(requests: DataFrame, employees: DataFrame, designated_admin:
     )
 
 
+def _is_open(statuses: tuple[str, ...] = OPEN) -> Column:
+    return F.coalesce(F.col("status").isin(*statuses), F.lit(False))
+
+
 def current_steps(steps: DataFrame, statuses: tuple[str, ...] = OPEN) -> DataFrame:
     """(request_id, current_step): lowest step that still has an open row, null when none."""
     return steps.groupBy("request_id").agg(
@@ -117,20 +121,21 @@ def current_steps(steps: DataFrame, statuses: tuple[str, ...] = OPEN) -> DataFra
     )
 
 
+def _open_minimum(steps: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """The same without the requests that have no open row."""
+    return steps.where(_is_open(statuses)).groupBy("request_id").agg(F.min("step_order").alias("current_step"))
+
+
 def work_list(steps: DataFrame, requests: DataFrame, approver: str | None = None, statuses: tuple[str, ...] = OPEN) -> DataFrame:
     """Pending steps whose turn it is, with their request, for one or for all approvers."""
     due = steps.where(F.col("status") == "pending")
     if approver is not None:
         due = due.where(F.col("approver_username") == approver)
-    current = current_steps(steps, statuses).where(F.col("current_step").isNotNull())
+    asked = requests.select(F.col("id").alias("request_id"), "username", "table_fqn", "security_level")
     return (
-        due.join(current, "request_id", "inner")
+        due.join(_open_minimum(steps, statuses), "request_id")
         .where(F.col("step_order") == F.col("current_step"))
-        .join(
-            requests.select(F.col("id").alias("request_id"), "username", "table_fqn", "security_level"),
-            "request_id",
-            "inner",
-        )
+        .join(asked, "request_id")
         .select("request_id", F.col("id").alias("step_id"), "step_order", "approver_username", "username", "table_fqn", "security_level")
     )
 
@@ -152,20 +157,27 @@ def final_status(steps: DataFrame) -> DataFrame:
 
 
 def skip_after_reject(steps: DataFrame) -> DataFrame:
-    """Steps with the open rows of rejected requests set to skipped."""
-    marked = with_group_value(steps, ["request_id"], __rejected=F.bool_or(F.col("status") == "rejected"))
-    status = F.when(F.col("__rejected") & F.col("status").isin(*OPEN), F.lit("skipped")).otherwise(F.col("status"))
-    return marked.withColumn("status", status).select(*steps.columns)
+    """Steps with the open rows of rejected requests set to skipped.
+
+    Only open rows can change, so only they are looked up; the others pass.
+    """
+    open_row = _is_open()
+    rejected = steps.where(F.col("status") == "rejected").select("request_id").distinct()
+    looked_up = steps.where(open_row).join(rejected.withColumn("__rejected", F.lit(True)), "request_id", "left")
+    status = F.when(F.col("__rejected"), F.lit("skipped")).otherwise(F.col("status"))
+    return steps.where(~open_row).unionByName(looked_up.withColumn("status", status).select(*steps.columns))
 
 
 def activate_steps(steps: DataFrame, now) -> DataFrame:
-    """Pending rows of the current step get their activation time."""
-    current = current_steps(steps).where(F.col("current_step").isNotNull())
-    joined = steps.join(current, "request_id", "left")
-    due = (F.col("step_order") == F.col("current_step")) & (F.col("status") == "pending") & F.col("activated_at").isNull()
-    return joined.withColumn(
-        "activated_at", F.when(F.coalesce(due, F.lit(False)), as_timestamp(now)).otherwise(F.col("activated_at"))
-    ).select(*steps.columns)
+    """Pending rows of the current step get their activation time.
+
+    Rows which are active or not pending cannot change and pass without a lookup.
+    """
+    waiting = F.coalesce((F.col("status") == "pending") & F.col("activated_at").isNull(), F.lit(False))
+    looked_up = steps.where(waiting).join(_open_minimum(steps, OPEN), "request_id", "left")
+    due = F.col("step_order") == F.col("current_step")
+    activated = looked_up.withColumn("activated_at", F.when(due, as_timestamp(now))).select(*steps.columns)
+    return steps.where(~waiting).unionByName(activated)
 
 
 def sla_actions(
@@ -182,7 +194,7 @@ def sla_actions(
         waited >= remind_hours, F.lit("remind")
     )
     late = (
-        steps.where(F.col("status").isin(*OPEN) & F.col("activated_at").isNotNull())
+        steps.where(_is_open() & F.col("activated_at").isNotNull())
         .withColumns({"waited_hours": waited, "action": action})
         .where(F.col("action").isNotNull())
     )
@@ -228,33 +240,30 @@ def escalation_rows(actions: DataFrame, steps: DataFrame, now) -> DataFrame:
 def transfer_steps(steps: DataFrame, handover: DataFrame) -> DataFrame:
     """Hand open steps over: ``handover`` has (from_user, to_user), one row per from_user.
 
-    Adds ``transfer``: "transferred", "conflict" where the new approver already
-    is on that step (the row stays as it is), null for rows not concerned.
+    Adds ``transfer``: "transferred"; "conflict" where the new approver is on
+    that step already, or would be twice (the row stays as it is); null for
+    rows not concerned.  Only the rows to move are compared with the others.
     """
-    keys = ["request_id", "step_order"]
-    open_row = F.col("status").isin(*OPEN)
+    slot = ["request_id", "step_order", "__target"]
     pairs = handover.where(F.col("from_user") != F.col("to_user")).select(
-        F.col("from_user").alias("approver_username"), "to_user"
-    )
-    target = F.coalesce(F.when(open_row, F.col("to_user")), F.col("approver_username"))
-    moved = steps.join(pairs, "approver_username", "left").withColumn("__target", target)
-    clash = (
-        moved.groupBy(*keys, "__target")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > 1)
-        .select(*keys, "__target", F.lit(True).alias("__clash"))
-    )
-    changed = F.col("__target") != F.col("approver_username")
-    transfer = F.when(changed & F.col("__clash"), F.lit("conflict")).when(changed, F.lit("transferred"))
-    return (
-        moved.join(clash, [*keys, "__target"], "left")
-        .withColumn("transfer", transfer)
-        .withColumn(
-            "approver_username",
-            F.when(F.col("transfer") == "transferred", F.col("__target")).otherwise(F.col("approver_username")),
-        )
-        .select(*steps.columns, "transfer")
+        F.col("from_user").alias("approver_username"), F.col("to_user").alias("__target")
     )
+    open_rows = steps.where(_is_open())
+    moving = open_rows.join(pairs, "approver_username")
+    untouched = steps.where(~_is_open()).unionByName(open_rows.join(pairs, "approver_username", "left_anti"))
+
+    taken = steps.select("request_id", "step_order", F.col("approver_username").alias("__target"))
+    doubled = moving.groupBy(*slot).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(*slot)
+    blocked = taken.join(moving.select(*slot), slot, "left_semi").unionByName(doubled).distinct()
+    checked = moving.join(blocked.withColumn("__blocked", F.lit(True)), slot, "left")
+    stays = F.coalesce("__blocked", F.lit(False))
+    moved = checked.withColumns(
+        {
+            "approver_username": F.when(stays, F.col("approver_username")).otherwise(F.col("__target")),
+            "transfer": F.when(stays, F.lit("conflict")).otherwise(F.lit("transferred")),
+        }
+    ).select(*steps.columns, "transfer")
+    return untouched.withColumn("transfer", F.lit(None).cast("string")).unionByName(moved)
 
 
 def requests_with_steps(requests: DataFrame, steps: DataFrame) -> DataFrame:

@@ -93,18 +93,20 @@ def rolled_up(base: DataFrame, measures: dict[str, Column], extra: list[str]) ->
     """The three label levels of the recording rules from one aggregate.
 
     ``base`` already is one row per (namespace, job, route, extra), so the
-    expansion into levels works on aggregates and not on samples.  Labels a
-    level leaves out are null.
+    expansion into grouping sets works on aggregates and not on samples.
+    Labels a level leaves out are null.
     """
-    levels = []
-    for level, labels in RULE_LEVELS.items():
-        summed = base.groupBy(*labels, *extra).agg(*[agg.alias(name) for name, agg in measures.items()])
-        dropped = [F.lit(None).cast("string").alias(c) for c in RULE_LABELS if c not in labels]
-        levels.append(summed.select(F.lit(level).alias("level"), *labels, *dropped, *extra, *measures))
-    first, *rest = levels
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+    sets = [[*labels, *extra] for labels in RULE_LEVELS.values()]
+    left_out = lambda label: F.grouping(label) == 1
+    level = (
+        F.when(left_out("route"), F.lit("job"))
+        .when(left_out("namespace"), F.lit("job_route"))
+        .otherwise(F.lit("namespace_job_route"))
+    )
+    summed = base.groupingSets(sets, *RULE_LABELS, *extra).agg(
+        level.alias("level"), *[agg.alias(name) for name, agg in measures.items()]
+    )
+    return summed.select("level", *RULE_LABELS, *extra, *measures)
 
 
 def rate_sums(samples: DataFrame, series: list[str], seconds: int = 60) -> DataFrame:

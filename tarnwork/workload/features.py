@@ -132,8 +132,14 @@ def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def _region_model(application: str, spark: SparkSession, sf: str):
-    """The feature model, trained once per session and stored; (path, training rows, model)."""
-    rows = _training_rows(spark, sf)
+    """The feature model, trained once per session; (folder of the model, its rows).
+
+    Fitting reads its rows several times, so the retrieved features are
+    written once to the shared folder and read from there.
+    """
+    table = scratch_path(spark, "training")
+    _training_rows(spark, sf).write.parquet(table)
+    rows = spark.read.parquet(table)
     pipeline = ml.forest_pipeline(["amount"], ["product"], "region", max_bins=32)
     path = scratch_path(spark, "model")
     ml.save_model(ml.train(pipeline, rows.where(F.col("split") == "train")), path)
