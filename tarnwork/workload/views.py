@@ -301,19 +301,19 @@ def members_current(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def members_desired(spark: SparkSession, sf: str) -> DataFrame:
-    people = table(spark, sf, "customer")
-    kept = people.where(F.col("c_custkey") % 11 != 0)
-    viewers = people.where(F.col("c_custkey") % 13 == 0)
-    return kept.select(_text("c_custkey").alias("username"), F.col("c_mktsegment").alias("group")).unionByName(
-        viewers.select(_text("c_custkey").alias("username"), F.lit("VIEWERS").alias("group"))
+    key = F.col("c_custkey")
+    groups = F.array(
+        F.when(key % 11 != 0, F.col("c_mktsegment")), F.when(key % 13 == 0, F.lit("VIEWERS"))
+    )
+    return table(spark, sf, "customer").select(
+        _text(key).alias("username"), F.explode(F.array_compact(groups)).alias("group")
     )
 
 
 def known_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Declared groups: one segment is not declared, and one more group is."""
-    segments = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("group")).distinct()
-    extra = segments.select(F.lit("VIEWERS").alias("group")).distinct()
-    return segments.where(F.col("group") != "HOUSEHOLD").unionByName(extra)
+    names = F.explode(F.array(F.col("c_mktsegment"), F.lit("VIEWERS"))).alias("group")
+    return table(spark, sf, "customer").select(names).where(F.col("group") != "HOUSEHOLD").distinct()
 
 
 def handover(spark: SparkSession, sf: str) -> DataFrame:
