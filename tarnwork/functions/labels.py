@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnwork.functions.once import let
+
 # key=value or key="quoted value"
 _PAIR = r'([A-Za-z_][\w.\-/]*)=("(?:[^"\\]|\\.)*"|\S*)'
 
@@ -55,11 +57,18 @@ def _unquote(raw: Column) -> Column:
 
 def logfmt_fields(line: Column) -> Column:
     """map(key -> value) of a ``key=value`` line; the first of equal keys counts."""
-    keys = F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1))
-    values = F.transform(F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2)), _unquote)
-    pairs = F.arrays_zip(keys.alias("key"), values.alias("value"))
-    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
-    return F.map_from_entries(first)
+    found = F.struct(
+        F.regexp_extract_all(line, F.lit(_PAIR), F.lit(1)).alias("keys"),
+        F.regexp_extract_all(line, F.lit(_PAIR), F.lit(2)).alias("values"),
+    )
+
+    def first_values(pair: Column) -> Column:
+        entries = F.transform(
+            pair["keys"], lambda k, i: F.struct(k.alias("key"), _unquote(F.get(pair["values"], i)).alias("value"))
+        )
+        return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(pair["keys"], e["key"]) == i + 1))
+
+    return let(found, first_values)
 
 
 def pod_log_labels(path: Column) -> Column:

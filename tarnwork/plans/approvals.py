@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.functions.once import let
 from tarnwork.functions.times import as_timestamp, hours_between
 from tarnwork.operators.keyed import rows_in
 from tarnwork.session import cut_lineage
@@ -76,14 +77,11 @@ def approval_chain(requests: DataFrame, employees: DataFrame, designated_admin:
             candidate(3, "designated_admin", F.lit(designated_admin), level >= 3),
         )
     )
-    users = F.transform("__listed", lambda s: s["approver_username"])
-    first_place = F.filter(
-        "__listed", lambda s, i: F.array_position(users, s["approver_username"]) == i + 1
-    )
-    return (
-        routed.withColumn("__listed", listed)
-        .select(F.col("id").alias("request_id"), F.inline(first_place))
-    )
+    def first_places(steps: Column) -> Column:
+        users = F.transform(steps, lambda s: s["approver_username"])
+        return F.filter(steps, lambda s, i: F.array_position(users, s["approver_username"]) == i + 1)
+
+    return routed.select(F.col("id").alias("request_id"), F.inline(let(listed, first_places)))
 
 
 def admit_requests(requests: DataFrame, employees: DataFrame, designated_admin: str = DESIGNATED_ADMIN) -> DataFrame:

@@ -16,6 +16,7 @@ from tarnwork.functions.names import (
     parse_table_name,
     strip,
 )
+from tarnwork.functions.once import let, with_once
 
 BAD_FORMAT = "expected name and type"
 BAD_NAME = "invalid column name"
@@ -31,23 +32,29 @@ def parsed_lines(text: Column, extra_types: tuple[str, ...] = ()) -> Column:
     two_words = rf"^([^\t-\r\x1c-\x20\x85\p{{Z}}]+){SPACE}+((?s:.+))\z"
     type_pattern = contract_type_pattern(extra_types)
 
-    def check(line: Column, index: Column) -> Column:
-        words = strip(line)
-        name = F.regexp_extract(words, two_words, 1)
-        kind = F.upper(strip(F.regexp_extract(words, two_words, 2)))
+    def verdict(word: Column, line_no: Column, text: Column) -> Column:
         error = (
-            F.when(name == "", F.lit(BAD_FORMAT))
-            .when(~name.rlike(IDENTIFIER), F.lit(BAD_NAME))
-            .when(~kind.rlike(type_pattern), F.lit(BAD_TYPE))
+            F.when(word["name"] == "", F.lit(BAD_FORMAT))
+            .when(~word["name"].rlike(IDENTIFIER), F.lit(BAD_NAME))
+            .when(~word["type"].rlike(type_pattern), F.lit(BAD_TYPE))
         )
         return F.struct(
-            (index + 1).alias("line_no"),
-            F.nullif(words, F.lit("")).alias("text"),
-            name.alias("name"),
-            kind.alias("type"),
+            line_no.alias("line_no"),
+            F.nullif(text, F.lit("")).alias("text"),
+            word["name"].alias("name"),
+            word["type"].alias("type"),
             error.alias("error"),
         )
 
+    def words(text: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(text, two_words, 1).alias("name"),
+            F.upper(strip(F.regexp_extract(text, two_words, 2))).alias("type"),
+        )
+
+    def check(line: Column, index: Column) -> Column:
+        return let(strip(line), lambda text: let(words(text), lambda word: verdict(word, index + 1, text)))
+
     return F.filter(F.transform(lines(strip(text)), check), lambda row: row["text"].isNotNull())
 
 
@@ -57,7 +64,7 @@ def check_contracts(df: DataFrame, text: str, extra_types: tuple[str, ...] = EXT
     All work stays within the row: a contract is never split over rows to be
     grouped again.
     """
-    checked = df.withColumn("columns", parsed_lines(F.coalesce(F.col(text), F.lit("")), extra_types))
+    checked = with_once(df, "columns", parsed_lines(F.coalesce(F.col(text), F.lit("")), extra_types))
     first_bad = F.try_element_at(F.filter("columns", lambda c: c["error"].isNotNull()), F.lit(1))
     return checked.withColumn(
         "error",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwork.functions.hashing import key_fraction, key_hash, pick
+from tarnwork.functions.once import with_once
 from tarnwork.functions.times import iso_millis
 from tarnwork.schemas import DEVICE_EVENT
 
@@ -99,9 +100,8 @@ def decode_messages(messages: DataFrame, column: str = "value", schema: T.Struct
     could be read).
     """
     with_mark = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    parsed = F.from_json(column, with_mark, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     names = [f.name for f in schema.fields]
-    rows = messages.select(F.col(column).alias("raw"), parsed.alias("__e")).select("raw", "__e.*")
+    rows = with_once(messages.select(F.col(column).alias("raw")), "__e", _parsed("raw", with_mark)).select("raw", "__e.*")
     nothing_read = F.lit(True)
     for name in names:
         nothing_read = nothing_read & F.col(name).isNull()
@@ -109,9 +109,13 @@ def decode_messages(messages: DataFrame, column: str = "value", schema: T.Struct
     return rows.select("raw", *names, readable.alias("readable"))
 
 
+def _parsed(column: str, schema: T.StructType) -> Column:
+    return F.from_json(column, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+
+
 def valid_events(decoded: DataFrame, time: str = "event_time") -> DataFrame:
-    """Readable rows with an event time; single bad fields stay null."""
-    return decoded.where(F.col("readable") & F.col(time).isNotNull()).drop("raw", "readable")
+    """Rows with an event time, which are readable for that reason; single bad fields stay null."""
+    return decoded.where(F.col(time).isNotNull()).drop("raw", "readable")
 
 
 def quarantined(decoded: DataFrame, time: str = "event_time") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwork import schemas
+from tarnwork.functions.once import with_once
 
 
 def scan(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -80,7 +81,7 @@ def read_grants(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_documents(df: DataFrame, column: str, schema: T.StructType, out: str = "doc") -> DataFrame:
     """JSON documents in a text column to a struct column; null where unreadable."""
-    return df.withColumn(out, F.from_json(column, schema))
+    return with_once(df, out, F.from_json(column, schema))
 
 
 def read_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions import labels
+from tarnwork.functions.once import with_once
 from tarnwork.operators import series as ops
 from tarnwork.plans import observability as obs
 from tarnwork.sources.logs import relabel
@@ -56,7 +57,7 @@ def log_credential_leak(spark: SparkSession, sf: str) -> DataFrame:
     FROM v_log_lines""",
 )
 def log_fields(spark: SparkSession, sf: str) -> DataFrame:
-    fields = _logs(spark, sf).withColumn("f", labels.logfmt_fields(F.col("line")))
+    fields = with_once(_logs(spark, sf), "f", labels.logfmt_fields(F.col("line")))
     return fields.select(
         "ts", "pod", *[F.try_element_at("f", F.lit(k)).alias(k) for k in ("level", "msg", "value", "url")]
     )
