@@ -60,3 +60,15 @@ def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     return numbered.join(offsets, "__part").select(
         column, (F.col("__offset") + F.col("__pos")).cast("long").alias(out)
     )
+
+
+def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = 8) -> DataFrame:
+    """Left join against one row per key, with every key spread over ``salts`` tasks.
+
+    For places where AQE cannot split a hot key, such as streams.  The lookup
+    side is repeated once per salt; each row of ``rows`` draws its salt from
+    ``spread_by`` and so meets exactly one copy.
+    """
+    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts))
+    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("__salt", salt).join(copies, [key, "__salt"], "left").drop("__salt")

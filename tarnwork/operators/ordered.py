@@ -53,10 +53,11 @@ def running_max_at(
     group = [*keys, "__slice"]
 
     # One row per (key, slice): best value of the slice, null for slices with
-    # probes only.  Aggregated before the shuffle.
+    # probes only.  The map-side aggregate reduces both kinds of rows before
+    # the one exchange.
     per_slice = (
         fact_rows.select(*group, "__value")
-        .unionByName(probe_rows.select(*group).distinct(), allowMissingColumns=True)
+        .unionByName(probe_rows.select(*group), allowMissingColumns=True)
         .groupBy(*group)
         .agg(F.max("__value").alias("__value"))
     )

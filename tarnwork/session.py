@@ -26,9 +26,22 @@ _RUNTIME_SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to an existing session and return it."""
-    for key, value in _RUNTIME_SETTINGS.items():
+_LARGE_STATE = {
+    # Stream state on disk with incremental snapshots instead of on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def configure(spark: SparkSession, large_state: bool = False) -> SparkSession:
+    """Apply the runtime settings to an existing session and return it.
+
+    ``large_state`` is for stream jobs whose windows or keys do not fit into
+    the executors' heap.
+    """
+    for key, value in {**_RUNTIME_SETTINGS, **(_LARGE_STATE if large_state else {})}.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

@@ -6,6 +6,8 @@ refresh is an overwrite and an upsert writes a new snapshot version.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -38,11 +40,23 @@ def insert_into(df: DataFrame, name: str, overwrite: bool = False) -> None:
     df.select(*columns).write.insertInto(name, overwrite=overwrite)
 
 
-def create_or_replace(df: DataFrame, name: str, location: str | None = None) -> DataFrame:
-    """Create or replace a table from a frame and read it back."""
-    writer = df.write.mode("overwrite").format("parquet")
-    (writer.option("path", location) if location else writer).saveAsTable(name)
-    return df.sparkSession.table(name)
+def create_or_replace(df: DataFrame, name: str, root: str) -> DataFrame:
+    """Create or replace a table from a frame and read it back.
+
+    The rows go to a new folder below ``root``; the table is pointed there
+    when they are complete.  Readers see the old or the new rows, a failed run
+    changes nothing, and the frame may read the table it replaces.
+    """
+    spark = df.sparkSession
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if spark.catalog.tableExists(name) and spark.table(name).schema == df.schema:
+        spark.sql(f"ALTER TABLE {_quoted(name)} SET{_location(path)}")
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
+        create_table(spark, name, df.schema, path)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
 
 
 def _location(path: str | None) -> str:

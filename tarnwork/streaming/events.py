@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tarnwork.operators.keyed import salted_lookup
 from tarnwork.schemas import DEVICE_EVENT
 from tarnwork.sources.events import decode_messages, valid_events
 
@@ -46,9 +47,13 @@ def deduplicated(events: DataFrame, key: str = "event_id", watermark: str = WATE
     return events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([key])
 
 
-def enriched(events: DataFrame, snapshot: DataFrame, key: str = "device_id") -> DataFrame:
-    """Live events with the snapshot values of their key; unknown keys give nulls."""
-    return events.join(snapshot, key, "left")
+def enriched(events: DataFrame, snapshot: DataFrame, key: str = "device_id", salts: int = 8) -> DataFrame:
+    """Live events with the snapshot values of their key; unknown keys give nulls.
+
+    A small snapshot is broadcast by its size; a larger one is joined by
+    (key, salt), so a device with most of the events does not hold up a batch.
+    """
+    return salted_lookup(events, snapshot, key, spread_by="event_id", salts=salts)
 
 
 def start_append(

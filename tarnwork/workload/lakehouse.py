@@ -134,10 +134,12 @@ def sink_append(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT region, CAST(sum(amount) AS DOUBLE) AS total_amount FROM v_orders GROUP BY region",
 )
 def sink_replace_readback(spark: SparkSession, sf: str) -> DataFrame:
-    name, location = _new_table(spark, "orders_by_region")
+    """The table is built from all rows, then replaced by its own totals."""
+    name, root = _new_table(spark, "orders_by_region")
     source = quality.require_rows(v.orders(spark, sf), "orders")
-    sinks.create_or_replace(source.select("region", F.col("amount").alias("total_amount")), name, location)
-    return sinks.create_or_replace(models.orders_by_region(source), name, location)
+    first = sinks.create_or_replace(source.select("region", F.col("amount").cast("decimal(20,2)").alias("amount")), name, root)
+    totals = models.orders_by_region(first)
+    return sinks.create_or_replace(totals, name, root)
 
 
 @query(

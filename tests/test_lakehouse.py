@@ -97,6 +97,11 @@ def test_tables_by_name(spark, orders):
     assert sorted(tuples(spark.table(name))) == sorted(tuples(orders))
     replaced = sinks.create_or_replace(models.orders_by_region(orders), "t_demo.by_region", scratch_path(spark, "r"))
     assert replaced.count() == 4
+    root = scratch_path(spark, "r")
+    for expected in (4, 2, 1):  # the frame reads the table it replaces
+        table = spark.table("t_demo.by_region") if expected < 4 else replaced
+        again = sinks.create_or_replace(table.orderBy("region").limit(expected), "t_demo.by_region", root)
+        assert again.count() == spark.table("t_demo.by_region").count() == expected
     assert tables.scan(spark, name, ["region"]).distinct().count() == 4
     assert tables.run_sql(spark, "SELECT count(*) AS n FROM t_demo.orders").first().n == 10
 

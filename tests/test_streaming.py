@@ -83,3 +83,28 @@ def test_live_generator_has_the_event_schema(spark):
     live = event_source.live_device_events(spark, rows_per_second=50)
     assert live.isStreaming
     assert [(f.name, f.dataType) for f in live.schema.fields] == [(f.name, f.dataType) for f in DEVICE_EVENT.fields]
+
+
+def test_enrichment_of_a_hot_device(spark):
+    rows = [(i, "hot" if i % 4 else f"d{i}", i) for i in range(200)]
+    live = streams.detail(messages(spark, rows))
+    snapshot = spark.createDataFrame([("hot", "x"), ("d0", "y")], "device_id string, kind string")
+    expected = sorted((i, d, {"hot": "x", "d0": "y"}.get(d)) for i, d, _ in rows)
+    for salts in (1, 8):
+        got = streams.enriched(live, snapshot, salts=salts)
+        assert sorted(tuples(got, "event_id", "device_id", "kind"), key=str) == sorted(expected, key=str)
+
+
+def test_large_state_store_gives_the_same_windows(spark):
+    from tarnwork.session import configure
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    log, path = scratch_path(spark, "log"), scratch_path(spark, "w")
+    deliver(spark, log, [(i, "d", i * 30) for i in range(20)])
+    before = spark.conf.get(name)
+    try:
+        configure(spark, large_state=True)
+        run(streams.tumbling_counts(streams.detail(event_source.read_messages(spark, path=log))), path, scratch_path(spark, "c"))
+    finally:
+        spark.conf.set(name, before)
+    assert [n for (n,) in tuples(spark.read.parquet(path), "event_count")] == [2] * 9
