@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwork.functions.names import strip
 from tarnwork.functions.once import let
 from tarnwork.functions.times import as_timestamp, hours_between
 from tarnwork.operators.keyed import rows_in
@@ -19,6 +20,7 @@ ESCALATE_FACTOR = 2.0
 DESIGNATED_ADMIN = "admin"
 NO_LEVEL = "security level unknown"
 NO_APPROVER = "no approver"
+NAME_LENGTH, REASON_LENGTH = 300, 500
 # ---------------------------------------------------------------------------
 
 
@@ -84,6 +86,16 @@ def approval_chain(requests: DataFrame, employees: DataFrame, designated_admin:
     return routed.select(F.col("id").alias("request_id"), F.inline(let(listed, first_places)))
 
 
+def clean_requests(submitted: DataFrame) -> DataFrame:
+    """Submitted forms as requests: trimmed and shortened names, no row without a table name."""
+    return submitted.withColumns(
+        {
+            "table_fqn": F.left(strip(F.col("table_fqn")), F.lit(NAME_LENGTH)),
+            "reason": F.left(F.coalesce("reason", F.lit("")), F.lit(REASON_LENGTH)),
+        }
+    ).where(F.col("table_fqn") != "")
+
+
 def admit_requests(requests: DataFrame, employees: DataFrame, designated_admin: str = DESIGNATED_ADMIN) -> DataFrame:
     """Status of new requests: rejected without a level or without any approver, else pending.
 
@@ -154,6 +166,12 @@ def final_status(steps: DataFrame) -> DataFrame:
     )
 
 
+def approved_requests(requests: DataFrame, steps: DataFrame) -> DataFrame:
+    """Requests whose steps are all approved: the input of grant issue."""
+    approved = final_status(steps).where(F.col("status") == "approved").select(F.col("request_id").alias("id"))
+    return requests.join(approved, "id", "left_semi")
+
+
 def skip_after_reject(steps: DataFrame) -> DataFrame:
     """Steps with the open rows of rejected requests set to skipped.
 

@@ -10,16 +10,33 @@ from tarnwork.operators.keyed import rows_in, rows_not_in
 KEYS = ["username", "group"]
 
 
-def to_add(desired: DataFrame, current: DataFrame, known_groups: DataFrame | None = None) -> DataFrame:
-    """Declared memberships that do not exist yet, in known groups only."""
+def to_add(
+    desired: DataFrame,
+    current: DataFrame,
+    known_groups: DataFrame | None = None,
+    known_users: DataFrame | None = None,
+    keys: list[str] = KEYS,
+) -> DataFrame:
+    """Declared pairs that do not exist yet, in known groups (and for known users) only.
+
+    Other ``keys``, such as (group, role), are compared the same way.
+    """
     wanted = desired if known_groups is None else rows_in(desired, known_groups, ["group"])
-    return wanted.select(*KEYS).distinct().join(current.select(*KEYS), KEYS, "left_anti")
+    wanted = wanted if known_users is None else rows_in(wanted, known_users, ["username"])
+    return wanted.select(*keys).distinct().join(current.select(*keys), keys, "left_anti")
 
 
-def to_remove(desired: DataFrame, current: DataFrame, known_groups: DataFrame | None = None) -> DataFrame:
-    """Existing memberships that are declared no more, in known groups only."""
+def to_remove(
+    desired: DataFrame, current: DataFrame, known_groups: DataFrame | None = None, keys: list[str] = KEYS
+) -> DataFrame:
+    """Existing pairs that are declared no more, in known groups only."""
     present = current if known_groups is None else rows_in(current, known_groups, ["group"])
-    return present.select(*KEYS).distinct().join(desired.select(*KEYS), KEYS, "left_anti")
+    return present.select(*keys).distinct().join(desired.select(*keys), keys, "left_anti")
+
+
+def unknown_users(desired: DataFrame, known_users: DataFrame) -> DataFrame:
+    """Declared users without an account: their memberships wait."""
+    return rows_not_in(desired.select("username").distinct(), known_users, ["username"])
 
 
 def unknown_groups(memberships: DataFrame, known_groups: DataFrame) -> DataFrame:

@@ -212,6 +212,15 @@ def none_ready(gauge: DataFrame, by: list[str]) -> DataFrame:
     return gauge.groupBy(*by).agg(F.sum("value").alias("ready")).where(F.col("ready") == 0)
 
 
+def gauge_range(gauge: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """Least and greatest value of a gauge (or of a ratio of gauges) by labels."""
+    return gauge.groupBy(*by).agg(F.min(value).alias("min_value"), F.max(value).alias("max_value"))
+
+
+def milliseconds(seconds: Column) -> Column:
+    return seconds * F.lit(1e3)
+
+
 def saturation(used: DataFrame, capacity: DataFrame, labels: list[str], by: list[str], present: DataFrame) -> DataFrame:
     """Greatest used/capacity ratio by volume, for volumes listed in ``present``."""
     total = capacity.select(*labels, F.col("value").alias("__capacity"))

@@ -16,16 +16,40 @@ _GRANT = "username, table_fqn, security_level, granted_at, expires_at"
 # -- grants and access -------------------------------------------------------
 
 
+VIEW_SQL["v_final"] = """
+SELECT request_id, CASE WHEN bool_or(status = 'rejected') THEN 'rejected'
+    WHEN coalesce(bool_and(status = 'approved') FILTER (status NOT IN ('escalated', 'skipped')), false) THEN 'approved'
+    ELSE 'pending' END AS status
+FROM v_approval_steps GROUP BY request_id
+"""
+
+
 @query(
     "grant_issue",
     """SELECT username, table_fqn, security_level, requested_at AS granted_at, requested_at + INTERVAL 180 DAY AS expires_at
-    FROM v_table_requests WHERE security_level IS NOT NULL""",
+    FROM v_table_requests WHERE id IN (SELECT request_id FROM v_final WHERE status = 'approved')""",
 )
 def grant_issue(spark: SparkSession, sf: str) -> DataFrame:
-    approved = v.table_requests(spark, sf).where(F.col("security_level").isNotNull())
+    approved = approvals.approved_requests(v.table_requests(spark, sf), v.approval_steps(spark, sf))
     return access.issue_grants(approved, F.col("requested_at"))
 
 
+@query(
+    "request_clean",
+    """SELECT doc_id AS id, left(trim(regexp_replace(source, '[^a-zA-Z0-9_.]', ' ', 'g')), 300) AS table_fqn,
+        left("text", 500) AS reason FROM documents
+    WHERE trim(regexp_replace(source, '[^a-zA-Z0-9_.]', ' ', 'g')) <> ''""",
+)
+def request_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms with long texts: every document is a reason, its source the table."""
+    submitted = v.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.regexp_replace("source", "[^a-zA-Z0-9_.]", " ").alias("table_fqn"),
+        F.col("text").alias("reason"),
+    )
+    return approvals.clean_requests(submitted)
+
+
 @query("grants_active", f"SELECT {_GRANT} FROM v_grants WHERE expires_ts IS NULL OR expires_ts >= TIMESTAMP '{NOW}'")
 def grants_active(spark: SparkSession, sf: str) -> DataFrame:
     return access.active_grants(v.grants(spark, sf), NOW)
@@ -172,13 +196,7 @@ def approver_worklist_local(spark: SparkSession, sf: str) -> DataFrame:
     return approvals.work_list(v.approval_steps(spark, sf), v.table_requests(spark, sf), statuses=("pending",))
 
 
-@query(
-    "request_final_status",
-    """SELECT request_id, CASE WHEN bool_or(status = 'rejected') THEN 'rejected'
-        WHEN coalesce(bool_and(status = 'approved') FILTER (status NOT IN ('escalated', 'skipped')), false) THEN 'approved'
-        ELSE 'pending' END AS status
-    FROM v_approval_steps GROUP BY request_id""",
-)
+@query("request_final_status", "SELECT * FROM v_final")
 def request_final_status(spark: SparkSession, sf: str) -> DataFrame:
     return approvals.final_status(v.approval_steps(spark, sf))
 
@@ -335,6 +353,17 @@ def membership_transfer(spark: SparkSession, sf: str) -> DataFrame:
     return membership.transfer(v.members_desired(spark, sf), v.handover(spark, sf))
 
 
+@query(
+    "membership_unknown_users",
+    """SELECT DISTINCT username FROM v_members_desired
+    EXCEPT SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal >= 0""",
+)
+def membership_unknown_users(spark: SparkSession, sf: str) -> DataFrame:
+    accounts = v.table(spark, sf, "customer").where(F.col("c_acctbal") >= 0)
+    known = accounts.select(F.col("c_custkey").cast("string").alias("username"))
+    return membership.unknown_users(v.members_desired(spark, sf), known)
+
+
 @query("membership_upsert", "SELECT * FROM v_members_current UNION SELECT * FROM v_members_desired")
 def membership_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return membership.upsert(v.members_current(spark, sf), v.members_desired(spark, sf))

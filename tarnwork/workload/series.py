@@ -316,6 +316,17 @@ def series_group_right(spark: SparkSession, sf: str) -> DataFrame:
     return obs.rate_by_pod(rates, pods, excluded_devices=".*sign.*")
 
 
+@query(
+    "gauge_min_max",
+    """SELECT 'pod-' || (user_id % 10) AS pod, min(value) AS min_value, max(value) AS max_value,
+        max(value) * CAST(1000 AS DOUBLE) AS max_millis FROM events GROUP BY 1""",
+)
+def gauge_min_max(spark: SparkSession, sf: str) -> DataFrame:
+    pod = F.concat(F.lit("pod-"), (F.col("user_id") % 10).cast("string")).alias("pod")
+    ranges = obs.gauge_range(v.table(spark, sf, "events").select(pod, "value"), ["pod"])
+    return ranges.withColumn("max_millis", obs.milliseconds(F.col("max_value")))
+
+
 @query(
     "series_and",
     """SELECT namespace, job, route, count(*) AS n FROM v_requests_series
