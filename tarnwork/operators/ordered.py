@@ -136,7 +136,7 @@ def bucketed_steps(
     bucket_seconds: int,
     step: Callable[[Column, Column], Column],
     out: str,
-    slice_seconds: int = 300,
+    slice_seconds: int = 3600,
 ) -> DataFrame:
     """Sum of ``step(previous, current)`` over neighbouring samples, per bucket.
 
