@@ -40,3 +40,8 @@ def bucket_start(ts: Column, seconds: int) -> Column:
 def retained(ts: Column, now, days: int) -> Column:
     """Row is younger than the retention time of a log."""
     return ts >= as_timestamp(now) - F.make_dt_interval(days=F.lit(days))
+
+
+def retained_day(day: Column, now, days: int) -> Column:
+    """The same on a date partition: true for days that may hold younger rows."""
+    return day >= F.to_date(as_timestamp(now) - F.make_dt_interval(days=F.lit(days)))

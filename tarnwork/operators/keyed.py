@@ -22,13 +22,28 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     )
 
 
+def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join rows of any key distribution with a lookup of one row per key.
+
+    A lookup that comes from an aggregate is already clustered by the key, and
+    a join that reuses this clustering cannot be split by AQE.  The hash of the
+    key as one more join column asks for a fresh exchange of the (reduced)
+    lookup, so a hot key of ``rows`` is spread over many tasks.  A lookup that
+    is small enough is broadcast by its size, as in any join.
+    """
+    fresh = F.xxhash64(*keys)
+    return (
+        rows.withColumn("__fresh", fresh).join(lookup.withColumn("__fresh", fresh), [*keys, "__fresh"], how).drop("__fresh")
+    )
+
+
 def rows_not_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``left`` without a partner in ``right`` (set difference on keys)."""
-    return left.join(right.select(*keys).distinct(), keys, "left_anti")
+    return lookup_join(left, right.select(*keys).distinct(), keys, "left_anti").select(*left.columns)
 
 
 def rows_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    return left.join(right.select(*keys).distinct(), keys, "left_semi")
+    return lookup_join(left, right.select(*keys).distinct(), keys, "left_semi").select(*left.columns)
 
 
 def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:

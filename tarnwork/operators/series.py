@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwork.operators.keyed import lookup_join, rows_in
 from tarnwork.operators.ordered import bucketed_steps
 
 INF = float("inf")
@@ -131,12 +132,12 @@ def many_to_one(many: DataFrame, one: DataFrame, on: list[str], value: Column, o
         .otherwise(F.max("value"))
         .alias("__one")
     )
-    return many.join(unique, on, "inner").withColumn(out, value).drop("__one")
+    return lookup_join(many, unique, on, "inner").withColumn(out, value).drop("__one")
 
 
 def keep_if_present(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """``left and on(..) right``: rows of left whose labels occur in right."""
-    return left.join(right.select(*on).distinct(), on, "left_semi")
+    return rows_in(left, right, on)
 
 
 def difference_or_default(left: DataFrame, right: DataFrame, on: list[str], *, value: str, default: float = 0.0, out: str) -> DataFrame:

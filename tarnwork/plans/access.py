@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.names import schema_table
 from tarnwork.functions.times import as_timestamp, parse_time
+from tarnwork.operators.keyed import lookup_join
 from tarnwork.operators.ordered import DAY, running_max_at
 
 NEVER = "9999-12-31 00:00:00"
@@ -112,7 +113,7 @@ def with_grant(log: DataFrame, grants: DataFrame, *, respect_granted_at: bool =
         )
     else:
         best = facts.groupBy("user", "__table").agg(F.max("__until").alias("__best"))
-        joined = keyed_log.join(best, ["user", "__table"], "left")
+        joined = lookup_join(keyed_log, best, ["user", "__table"])
     return joined.select(*log.columns, F.coalesce(F.col("__best") >= F.col("ts"), F.lit(False)).alias("granted"))
 
 

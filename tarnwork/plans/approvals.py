@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions.names import strip
 from tarnwork.functions.once import let
 from tarnwork.functions.times import as_timestamp, hours_between
-from tarnwork.operators.keyed import rows_in
+from tarnwork.operators.keyed import lookup_join, rows_in
 from tarnwork.session import cut_lineage
 
 OPEN = ("pending", "pending_external")
@@ -143,7 +143,7 @@ def work_list(steps: DataFrame, requests: DataFrame, approver: str | None = None
         due = due.where(F.col("approver_username") == approver)
     asked = requests.select(F.col("id").alias("request_id"), "username", "table_fqn", "security_level")
     return (
-        due.join(_open_minimum(steps, statuses), "request_id")
+        lookup_join(due, _open_minimum(steps, statuses), ["request_id"], "inner")
         .where(F.col("step_order") == F.col("current_step"))
         .join(asked, "request_id")
         .select("request_id", F.col("id").alias("step_id"), "step_order", "approver_username", "username", "table_fqn", "security_level")
@@ -179,7 +179,7 @@ def skip_after_reject(steps: DataFrame) -> DataFrame:
     """
     open_row = _is_open()
     rejected = steps.where(F.col("status") == "rejected").select("request_id").distinct()
-    looked_up = steps.where(open_row).join(rejected.withColumn("__rejected", F.lit(True)), "request_id", "left")
+    looked_up = lookup_join(steps.where(open_row), rejected.withColumn("__rejected", F.lit(True)), ["request_id"])
     status = F.when(F.col("__rejected"), F.lit("skipped")).otherwise(F.col("status"))
     return steps.where(~open_row).unionByName(looked_up.withColumn("status", status).select(*steps.columns))
 
@@ -190,7 +190,7 @@ def activate_steps(steps: DataFrame, now) -> DataFrame:
     Rows which are active or not pending cannot change and pass without a lookup.
     """
     waiting = F.coalesce((F.col("status") == "pending") & F.col("activated_at").isNull(), F.lit(False))
-    looked_up = steps.where(waiting).join(_open_minimum(steps, OPEN), "request_id", "left")
+    looked_up = lookup_join(steps.where(waiting), _open_minimum(steps, OPEN), ["request_id"])
     due = F.col("step_order") == F.col("current_step")
     activated = looked_up.withColumn("activated_at", F.when(due, as_timestamp(now))).select(*steps.columns)
     return steps.where(~waiting).unionByName(activated)
@@ -286,18 +286,21 @@ def requests_with_steps(requests: DataFrame, steps: DataFrame) -> DataFrame:
     """Requests with their steps in order, one row per (request, step).
 
     The steps of a request stay rows: a request with very many of them is
-    never gathered into one value.  Requests without steps keep one row.
+    never gathered into one value, and the steps look their request up (not
+    the other way round) so that they can be spread over tasks.  Requests
+    without steps keep one row.
     """
-    children = steps.select(
-        "request_id",
-        F.col("id").alias("step_id"),
-        "step_order",
-        "approver_username",
-        F.col("status").alias("step_status"),
-    )
-    joined = requests.withColumnRenamed("id", "request_id").join(children, "request_id", "left")
-    return joined.join(current_steps(steps), "request_id", "left").orderBy(
-        F.desc("request_id"), "step_order", "step_id"
+    own = {"id": "step_id", "step_order": "step_order", "approver_username": "approver_username", "status": "step_status"}
+    children = steps.select("request_id", *[F.col(c).alias(name) for c, name in own.items()])
+    state = current_steps(steps).withColumn("__has_steps", F.lit(True))
+    parents = requests.withColumnRenamed("id", "request_id").join(state, "request_id", "left")
+    listed = lookup_join(children, parents.drop("__has_steps"), ["request_id"], "inner")
+    lonely = parents.where(F.col("__has_steps").isNull()).drop("__has_steps")
+    columns = [*parents.drop("__has_steps").columns, *own.values()]
+    return (
+        listed.unionByName(lonely, allowMissingColumns=True)
+        .select(*columns)
+        .orderBy(F.desc("request_id"), "step_order", "step_id")
     )
 
 

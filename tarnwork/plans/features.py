@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.times import as_timestamp
-from tarnwork.operators.keyed import latest_per_key
+from tarnwork.operators.keyed import latest_per_key, lookup_join
 from tarnwork.operators.ordered import DAY, as_of_join
 
 
@@ -95,4 +95,4 @@ def _latest(rows: DataFrame, view: FeatureView) -> DataFrame:
 
 def online_lookup(requested: DataFrame, snapshot: DataFrame, view: FeatureView) -> DataFrame:
     """Snapshot values for requested keys; unknown keys give nulls."""
-    return requested.join(snapshot.select(*view.keys, *view.fields), list(view.keys), "left")
+    return lookup_join(requested, snapshot.select(*view.keys, *view.fields), list(view.keys))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.operators.keyed import rows_in, rows_not_in
+from tarnwork.operators.keyed import lookup_join, rows_in, rows_not_in
 
 KEYS = ["username", "group"]
 
@@ -51,7 +51,7 @@ def members(memberships: DataFrame) -> DataFrame:
     """
     unique = memberships.select(*KEYS).distinct()
     sizes = unique.groupBy("group").agg(F.count(F.lit(1)).alias("member_count"))
-    return unique.join(sizes, "group")
+    return lookup_join(unique, sizes, ["group"], "inner")
 
 
 def transfer(memberships: DataFrame, handover: DataFrame) -> DataFrame:

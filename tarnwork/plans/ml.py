@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.hashing import key_hash, SPAN
-from tarnwork.operators.keyed import dense_codes
+from tarnwork.operators.keyed import dense_codes, lookup_join
 from tarnwork.operators.series import ratio
 
 # ---- fixed values: settings of the two training jobs -----------------------
@@ -22,7 +22,7 @@ TEST_FRACTION = 0.2
 
 def encode_labels(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds the position of the value in the sorted list of distinct values."""
-    return df.join(dense_codes(df, column, out), column, "left")
+    return lookup_join(df, dense_codes(df, column, out), [column])
 
 
 def split_column(key: Column, test_fraction: float = TEST_FRACTION, seed: int = SEED) -> Column:

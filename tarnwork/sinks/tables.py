@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -18,6 +19,16 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def append_by_date(df: DataFrame, path: str, time: str, date_column: str = "event_date") -> None:
+    """Add rows to a table partitioned by the date of ``time``.
+
+    The rebalance lets AQE write few files per day and split a day that has
+    most of the rows.
+    """
+    dated = df.withColumn(date_column, F.to_date(time)).hint("rebalance", date_column)
+    append(dated, path, partition_by=[date_column])
+
+
 def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replace all rows; running it again gives the same table."""
     writer = df.write.mode("overwrite")
@@ -59,6 +70,17 @@ def create_or_replace(df: DataFrame, name: str, root: str) -> DataFrame:
     return spark.table(name)
 
 
+def write_messages(messages: DataFrame, *, path: str | None = None, kafka: dict[str, str] | None = None) -> None:
+    """Send keyed messages to the log: a Kafka topic, or a folder of JSON lines.
+
+    ``kafka`` holds the writer options (servers, ``topic``).
+    """
+    if kafka:
+        messages.select("key", "value").write.format("kafka").options(**kafka).save()
+    else:
+        messages.select("value").write.mode("append").text(path)
+
+
 def _location(path: str | None) -> str:
     return " LOCATION '" + path.replace("'", "\\'") + "'" if path else ""
 

@@ -57,10 +57,23 @@ def enriched(events: DataFrame, snapshot: DataFrame, key: str = "device_id", sal
 
 
 def start_append(
-    stream: DataFrame, path: str, checkpoint: str, *, available_now: bool = False, interval: str = COMMIT_INTERVAL
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    available_now: bool = False,
+    interval: str = COMMIT_INTERVAL,
+    by_date_of: str | None = None,
 ) -> StreamingQuery:
-    """Append a stream to a Parquet folder, committing every interval."""
+    """Append a stream to a Parquet folder, committing every interval.
+
+    ``by_date_of`` names a time column: the folder is then partitioned by its date.
+    """
+    if by_date_of:
+        stream = stream.withColumn("event_date", F.to_date(by_date_of))
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    if by_date_of:
+        writer = writer.partitionBy("event_date")
     trigger = {"availableNow": True} if available_now else {"processingTime": interval}
     return writer.trigger(**trigger).start(path)
 

@@ -102,7 +102,7 @@ def label_encode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "binary_metrics",
-    """SELECT tp, fp, fn, tn, CAST(tp + tn AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) AS accuracy,
+    """SELECT tp, fp, fn, tn, CAST(tp + tn AS DOUBLE) / nullif(CAST(tp + fp + fn + tn AS DOUBLE), 0) AS accuracy,
         coalesce(CAST(2 * tp AS DOUBLE) / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1
     FROM (SELECT count(*) FILTER (label = 1 AND prediction = 1) AS tp, count(*) FILTER (label <> 1 AND prediction = 1) AS fp,
                  count(*) FILTER (label = 1 AND prediction <> 1) AS fn, count(*) FILTER (label <> 1 AND prediction <> 1) AS tn

@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwork import schemas
-from tarnwork.functions.times import retained
+from tarnwork.functions.times import retained, retained_day
 from tarnwork.plans import catalog, models, quality
 from tarnwork.session import scratch_path
 from tarnwork.sinks import tables as sinks
@@ -193,6 +194,22 @@ def retention_filter(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where(retained(F.col("ts"), limit, days=7))
 
 
+@query(
+    "retention_partitions",
+    """SELECT event_id, device_id, event_type, value, event_time FROM v_device_events
+    WHERE event_time >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 7 DAY""",
+)
+def retention_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    """The same on a table partitioned by day: older days are not opened."""
+    path = scratch_path(spark, "by-date")
+    sinks.append_by_date(v.device_events(spark, sf), path, "event_time")
+    now = "2024-01-30 12:00:00"
+    dated = T.StructType(schemas.DEVICE_EVENT.fields + [T.StructField("event_date", T.DateType())])
+    rows = spark.read.schema(dated).parquet(path)
+    young = rows.where(retained_day(F.col("event_date"), now, 7) & retained(F.col("event_time"), now, 7))
+    return young.drop("event_date")
+
+
 # -- models and pages --------------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnwork.plans import features, quality
 from tarnwork.schemas import DEVICE_EVENT, WINDOW_COUNT
 from tarnwork.session import scratch_path
+from tarnwork.sinks.tables import write_messages
 from tarnwork.sources import events as event_source
 from tarnwork.streaming import events as streams
 from tarnwork.workload import views as v
@@ -20,7 +21,7 @@ from tarnwork.workload.registry import VIEW_SQL, bucket_sql, query
 def _message_log(application: str, spark: SparkSession, sf: str) -> str:
     """The events as a folder of JSON-lines files, written once per session."""
     path = scratch_path(spark, "log")
-    v.device_json(spark, sf).select("value").write.text(path)
+    write_messages(v.device_json(spark, sf), path=path)
     return path
 
 
@@ -125,7 +126,7 @@ def stream_late_split(spark: SparkSession, sf: str) -> DataFrame:
     messages = v.device_json(spark, sf)
     late = F.col("event_id") % 5 == 0
     for delivery in (messages.where(~late), messages.where(late)):
-        delivery.select("value").write.mode("append").text(log)
+        write_messages(delivery, path=log)
         read = event_source.read_messages(spark, path=log)
         for running in streams.start_two_sinks(read, detail_path, window_path, checkpoint, available_now=True):
             streams.finish(running)
@@ -164,7 +165,7 @@ def stream_audit(spark: SparkSession, sf: str) -> DataFrame:
     even = F.col("event_id") % 2 == 0
     before = None
     for delivery in (messages.where(even), messages.where(~even)):
-        delivery.select("value").write.mode("append").text(log)
+        write_messages(delivery, path=log)
         stream = streams.detail(event_source.read_messages(spark, path=log))
         streams.finish(streams.start_append(stream, path, checkpoint, available_now=True))
         table = spark.read.schema(DEVICE_EVENT).parquet(path)
