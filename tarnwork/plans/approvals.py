@@ -142,10 +142,11 @@ def work_list(steps: DataFrame, requests: DataFrame, approver: str | None = None
     if approver is not None:
         due = due.where(F.col("approver_username") == approver)
     asked = requests.select(F.col("id").alias("request_id"), "username", "table_fqn", "security_level")
+    # Both have one row per request: joined first, so that the steps move once.
+    turn = _open_minimum(steps, statuses).join(asked, "request_id")
     return (
-        lookup_join(due, _open_minimum(steps, statuses), ["request_id"], "inner")
+        lookup_join(due, turn, ["request_id"], "inner")
         .where(F.col("step_order") == F.col("current_step"))
-        .join(asked, "request_id")
         .select("request_id", F.col("id").alias("step_id"), "step_order", "approver_username", "username", "table_fqn", "security_level")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.functions.names import schema_of
+from tarnwork.operators.keyed import rows_not_in
 from tarnwork.sources.tables import describe, parse_documents
 from tarnwork import schemas
 
@@ -109,4 +110,4 @@ def lineage_edges(sinks: DataFrame, known_tables: DataFrame, pipeline: str = "pi
 
 
 def unresolved_sinks(sinks: DataFrame, known_tables: DataFrame) -> DataFrame:
-    return sinks.join(known_tables.select("table_fqn").distinct(), "table_fqn", "left_anti")
+    return rows_not_in(sinks, known_tables, ["table_fqn"])

@@ -294,7 +294,9 @@ FROM v_approval_steps s LEFT JOIN v_handover h ON h.from_user = s.approver_usern
     """SELECT id, request_id, step_order, CASE WHEN transfer = 'transferred' THEN target ELSE approver_username END AS approver_username,
         status, activated_at, transfer
     FROM (SELECT *, CASE WHEN target = approver_username THEN NULL
-        WHEN count(*) OVER (PARTITION BY request_id, step_order, target) > 1 THEN 'conflict' ELSE 'transferred' END AS transfer
+        WHEN (request_id, step_order, target) IN (SELECT (request_id, step_order, approver_username) FROM v_approval_steps)
+        OR count(*) FILTER (target <> approver_username) OVER (PARTITION BY request_id, step_order, target) > 1
+        THEN 'conflict' ELSE 'transferred' END AS transfer
         FROM v_moved)""",
 )
 def steps_transfer(spark: SparkSession, sf: str) -> DataFrame:

@@ -348,19 +348,18 @@ FROM events GROUP BY ALL
 @query(
     "saturation",
     """SELECT volume, max(used / capacity) AS saturation FROM v_volumes
-    WHERE volume IN (SELECT 'vol-' || (user_id % 20) FROM events WHERE user_id % 20 < 15) GROUP BY volume""",
+    WHERE volume IN (SELECT 'vol-' || (user_id % 20) FROM events WHERE value > 250) GROUP BY volume""",
 )
 def saturation(spark: SparkSession, sf: str) -> DataFrame:
     rows = v.table(spark, sf, "events").select(
         F.col("event_type").alias("node"),
         F.concat(F.lit("vol-"), (F.col("user_id") % 20).cast("string")).alias("volume"),
         "value",
-        "user_id",
     )
     by_volume = rows.groupBy("node", "volume")
     used = by_volume.agg(F.max("value").alias("value"))
     capacity = by_volume.agg((F.max("value") + F.count(F.lit(1))).alias("value"))
-    listed = rows.where(F.col("user_id") % 20 < 15)
+    listed = rows.where(F.col("value") > 250)
     return obs.saturation(used, capacity, ["node", "volume"], ["volume"], listed)
 
 
@@ -368,7 +367,7 @@ def saturation(spark: SparkSession, sf: str) -> DataFrame:
     "replication_lag",
     """SELECT tenant, h - coalesce(s, 0) AS lag_seconds FROM (
         SELECT 'tenant-' || (user_id % 10) AS tenant, CAST(max(event_id) AS DOUBLE) AS h,
-            CAST(max(event_id) FILTER (event_type = 'view' AND user_id % 10 < 8) AS DOUBLE) AS s
+            CAST(max(event_id) FILTER (event_type = 'view' AND value > 250) AS DOUBLE) AS s
         FROM events GROUP BY 1)""",
 )
 def replication_lag(spark: SparkSession, sf: str) -> DataFrame:
@@ -376,7 +375,7 @@ def replication_lag(spark: SparkSession, sf: str) -> DataFrame:
     tenant = F.concat(F.lit("tenant-"), (F.col("user_id") % 10).cast("string")).alias("tenant")
     mark = F.max("event_id").cast("double").alias("value")
     highest = rows.groupBy(tenant).agg(mark)
-    sent = rows.where((F.col("event_type") == "view") & (F.col("user_id") % 10 < 8)).groupBy(tenant).agg(mark)
+    sent = rows.where((F.col("event_type") == "view") & (F.col("value") > 250)).groupBy(tenant).agg(mark)
     return obs.high_water_lag(highest, sent, ["tenant"])
 
 

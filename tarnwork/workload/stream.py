@@ -102,8 +102,8 @@ def stream_two_sinks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Every fifth event arrives in a second delivery, after the first has moved the watermark.
-VIEW_SQL["v_late"] = "SELECT *, event_id % 5 = 0 AS late FROM v_decoded"
+# Errors arrive in a second delivery, after the first has moved the watermark.
+VIEW_SQL["v_late"] = "SELECT *, event_type = 'error' AS late FROM v_decoded"
 VIEW_SQL["v_late_windows"] = f"""
 SELECT window_start, window_end, device_id, count(*) AS detail_count,
     count(*) FILTER (NOT late OR window_end > (SELECT max(event_time) - INTERVAL 10 SECOND FROM v_late WHERE NOT late)) AS window_count
@@ -124,7 +124,7 @@ def stream_late_split(spark: SparkSession, sf: str) -> DataFrame:
     log, checkpoint = scratch_path(spark, "log"), scratch_path(spark, "ckpt")
     detail_path, window_path = scratch_path(spark, "detail"), scratch_path(spark, "windows")
     messages = v.device_json(spark, sf)
-    late = F.col("event_id") % 5 == 0
+    late = F.col("event_type") == "error"
     for delivery in (messages.where(~late), messages.where(late)):
         write_messages(delivery, path=log)
         read = event_source.read_messages(spark, path=log)
@@ -154,17 +154,17 @@ def stream_static_enrich(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "stream_audit",
-    """SELECT (SELECT count(*) FROM v_decoded WHERE event_id % 2 = 0) AS before_count,
+    """SELECT (SELECT count(*) FROM v_decoded WHERE event_type <> 'error') AS before_count,
         (SELECT count(*) FROM v_decoded) AS after_count,
-        (SELECT count(*) FROM v_decoded) > (SELECT count(*) FROM v_decoded WHERE event_id % 2 = 0) AS passed""",
+        (SELECT count(*) FROM v_decoded) > (SELECT count(*) FROM v_decoded WHERE event_type <> 'error') AS passed""",
 )
 def stream_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Rows in the detail table after a first and after a second delivery to the log."""
     log, checkpoint, path = scratch_path(spark, "log"), scratch_path(spark, "ckpt"), scratch_path(spark, "detail")
     messages = v.device_json(spark, sf)
-    even = F.col("event_id") % 2 == 0
+    late = F.col("event_type") == "error"
     before = None
-    for delivery in (messages.where(even), messages.where(~even)):
+    for delivery in (messages.where(~late), messages.where(late)):
         write_messages(delivery, path=log)
         stream = streams.detail(event_source.read_messages(spark, path=log))
         streams.finish(streams.start_append(stream, path, checkpoint, available_now=True))

@@ -142,7 +142,7 @@ def device_json(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("event_id") % 101 == 0, json(text_value, iso))
         .otherwise(json(number, iso))
     )
-    return rows.select("event_id", F.col("device_id").alias("key"), message.alias("value"))
+    return rows.select("event_id", "event_type", F.col("device_id").alias("key"), message.alias("value"))
 
 
 # -- governance --------------------------------------------------------------
@@ -298,9 +298,9 @@ VIEW_SQL["v_members_current"] = """
 SELECT CAST(c_custkey AS VARCHAR) AS username, c_mktsegment AS "group" FROM customer
 """
 VIEW_SQL["v_members_desired"] = """
-SELECT CAST(c_custkey AS VARCHAR) AS username, c_mktsegment AS "group" FROM customer WHERE c_custkey % 11 <> 0
+SELECT CAST(c_custkey AS VARCHAR) AS username, c_mktsegment AS "group" FROM customer WHERE c_acctbal >= 0
 UNION ALL
-SELECT CAST(c_custkey AS VARCHAR), 'VIEWERS' FROM customer WHERE c_custkey % 13 = 0
+SELECT CAST(c_custkey AS VARCHAR), 'VIEWERS' FROM customer WHERE c_nationkey < 3
 """
 VIEW_SQL["v_known_groups"] = """
 SELECT DISTINCT c_mktsegment AS "group" FROM customer WHERE c_mktsegment <> 'HOUSEHOLD'
@@ -308,7 +308,7 @@ UNION ALL SELECT 'VIEWERS'
 """
 VIEW_SQL["v_handover"] = """
 SELECT CAST(c_custkey AS VARCHAR) AS from_user, CAST(c_custkey + 1 AS VARCHAR) AS to_user
-FROM customer WHERE c_custkey % 17 = 0
+FROM customer WHERE c_acctbal < 0
 """
 
 
@@ -319,12 +319,12 @@ def members_current(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def members_desired(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("c_custkey")
+    """Customers in debt leave their segment's group; some nations become viewers."""
     groups = F.array(
-        F.when(key % 11 != 0, F.col("c_mktsegment")), F.when(key % 13 == 0, F.lit("VIEWERS"))
+        F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")), F.when(F.col("c_nationkey") < 3, F.lit("VIEWERS"))
     )
     return table(spark, sf, "customer").select(
-        _text(key).alias("username"), F.explode(F.array_compact(groups)).alias("group")
+        _text("c_custkey").alias("username"), F.explode(F.array_compact(groups)).alias("group")
     )
 
 
@@ -335,8 +335,9 @@ def known_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def handover(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers in debt hand over to the next one, who may hand over as well."""
     key = F.col("c_custkey")
-    return table(spark, sf, "customer").where(key % 17 == 0).select(
+    return table(spark, sf, "customer").where(F.col("c_acctbal") < 0).select(
         _text(key).alias("from_user"), _text(key + 1).alias("to_user")
     )
 
@@ -583,20 +584,20 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 VIEW_SQL["v_scan_before"] = """
-SELECT 'demo.t' || p_partkey AS table_name, p_type AS signature FROM part WHERE p_partkey % 10 <> 3
+SELECT 'demo.t' || p_partkey AS table_name, p_type AS signature FROM part WHERE p_size <> 3
 """
 VIEW_SQL["v_scan_after"] = """
 SELECT 'demo.t' || p_partkey AS table_name, CASE WHEN p_partkey % 5 = 1 THEN p_type || '+' ELSE p_type END AS signature
-FROM part WHERE p_partkey % 10 <> 7
+FROM part WHERE p_size <> 7
 """
 
 
 def scan_before(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").where(F.col("p_partkey") % 10 != 3)
+    rows = table(spark, sf, "part").where(F.col("p_size") != 3)
     return rows.select(F.concat(F.lit("demo.t"), _text("p_partkey")).alias("table_name"), F.col("p_type").alias("signature"))
 
 
 def scan_after(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "part").where(F.col("p_partkey") % 10 != 7)
+    rows = table(spark, sf, "part").where(F.col("p_size") != 7)
     changed = F.when(F.col("p_partkey") % 5 == 1, F.concat("p_type", F.lit("+"))).otherwise(F.col("p_type"))
     return rows.select(F.concat(F.lit("demo.t"), _text("p_partkey")).alias("table_name"), changed.alias("signature"))
