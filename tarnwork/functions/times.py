@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 
 def parse_time(text: Column) -> Column:
-    """ISO-8601 text to TIMESTAMP; text that is no time gives null."""
-    return text.try_cast("timestamp")
+    """ISO-8601 text to TIMESTAMP; text that is no time gives null.
+
+    A full date is asked for: a cast alone would read "2026" or "10:00" too.
+    """
+    return F.when(text.rlike(r"^\s*\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp"))
 
 
 def iso_millis(ts: Column) -> Column:

@@ -166,6 +166,12 @@ def request_admission(spark: SparkSession, sf: str) -> DataFrame:
     return approvals.admit_requests(v.table_requests(spark, sf), v.employees(spark, sf))
 
 
+@query("approval_steps", "SELECT * FROM v_approval_steps")
+def approval_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The derivation of the step table itself, not the stored copy."""
+    return v.derived_steps(spark, sf)
+
+
 _OPEN = "status IN ('pending', 'pending_external')"
 
 

@@ -7,11 +7,14 @@ order or a window to be built.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.times import iso_millis
 from tarnwork.plans.features import order_feature_source
+from tarnwork.session import scratch_path
 from tarnwork.workload.registry import VIEW_SQL
 
 
@@ -207,7 +210,29 @@ FROM (SELECT l_orderkey AS request_id, l_linenumber AS step_order, CAST(l_suppke
 """
 
 
+APPROVAL_STEPS = (
+    "id string, request_id bigint, step_order int, approver_username string, status string, activated_at timestamp"
+)
+
+
 def approval_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of approval steps: derived once per session, then read from the shared folder.
+
+    Jobs on steps read them two or three times; the reduction of all line
+    items behind them is not repeated each time.
+    """
+    return spark.read.schema(APPROVAL_STEPS).parquet(_stored_steps(spark.sparkContext.applicationId, spark, sf))
+
+
+@lru_cache(maxsize=8)
+def _stored_steps(application: str, spark: SparkSession, sf: str) -> str:
+    path = scratch_path(spark, "approval-steps")
+    derived_steps(spark, sf).write.parquet(path)
+    return path
+
+
+def derived_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per (request, step, approver) from the line items: the earliest one counts."""
     unique = (
         table(spark, sf, "lineitem")
         .groupBy(

@@ -66,12 +66,12 @@ def test_grant_issued_later_counts_only_without_the_flag(spark):
 
 def test_expiry_boundary_blank_and_unreadable(spark):
     at = "2026-08-20T00:00:00+00:00"
-    rows = [("at_now", at), ("blank", ""), ("junk", "soon"), ("past", "2020-02-01T00:00:00+00:00"), ("future", "2099-01-01T00:00:00+00:00")]
+    rows = [("at_now", at), ("blank", ""), ("junk", "soon"), ("year", "2020"), ("clock", "10:00"), ("past", "2020-02-01T00:00:00+00:00"), ("future", "2099-01-01T00:00:00+00:00")]
     grants = spark.createDataFrame([(n, "demo.t", 1, at, e) for n, e in rows], GRANT_SCHEMA)
     names = lambda df: {r[0] for r in tuples(df, "username")}
     assert names(access.expired_grants(grants, NOW)) == {"at_now", "past"}
-    assert names(access.kept_grants(grants, NOW)) == {"blank", "junk", "future"}
-    assert names(access.active_grants(grants, NOW)) == {"at_now", "blank", "junk", "future"}
+    assert names(access.kept_grants(grants, NOW)) == {"blank", "junk", "year", "clock", "future"}
+    assert names(access.active_grants(grants, NOW)) == {"at_now", "blank", "junk", "year", "clock", "future"}
 
 
 def test_issued_grant_expires_after_180_days(spark):
@@ -232,6 +232,7 @@ TEXTS = [
     ("id bigint", [("id", "BIGINT")], None),
     ("price VARCHAR(10, 2)", [("price", "VARCHAR(10, 2)")], None),
     ("  a 　int \r\nb\tdate c real", [("a", "INT"), ("b", "DATE"), ("c", "REAL")], None),
+    ("a INT\u2028b DATE\x1cc REAL", [("a", "INT"), ("b", "DATE"), ("c", "REAL")], None),
     ("order_id", None, (1, contracts.BAD_FORMAT)),
     ("1id BIGINT", None, (1, contracts.BAD_NAME)),
     ("id;DROP_TABLE BIGINT", None, (1, contracts.BAD_NAME)),

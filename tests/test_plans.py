@@ -33,6 +33,11 @@ def test_filter_reaches_the_scan(spark, sf):
     assert re.search(r"ReadSchema: struct<event_id:bigint,ts:timestamp_ntz>", text)
 
 
+def test_old_days_are_not_opened(spark, sf):
+    text = plan_text(contract.queries()["retention_partitions"](spark, sf))
+    assert re.search(r"PartitionFilters: \[isnotnull\(event_date#\d+\), \(event_date#\d+ >= 2024-01-23\)\]", text)
+
+
 def test_only_needed_columns_are_read(spark, sf):
     text = plan_text(contract.queries()["daily_order_totals"](spark, sf))
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in text
