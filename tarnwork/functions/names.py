@@ -41,7 +41,7 @@ DEFAULT_TEXT_LENGTH = 255
 
 # White space and line ends as the contract texts use them (Unicode, not ASCII).
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
-LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85  ]"
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\u2028\u2029]"
 
 
 def strip(col: Column) -> Column:

@@ -231,7 +231,7 @@ TEXTS = [
     ("order_id BIGINT\n\n\nname VARCHAR(50)", [("order_id", "BIGINT"), ("name", "VARCHAR(50)")], None),
     ("id bigint", [("id", "BIGINT")], None),
     ("price VARCHAR(10, 2)", [("price", "VARCHAR(10, 2)")], None),
-    ("  a 　int \r\nb\tdate c real", [("a", "INT"), ("b", "DATE"), ("c", "REAL")], None),
+    ("  a\u00a0\u3000int \r\nb\tdate\u2028c real", [("a", "INT"), ("b", "DATE"), ("c", "REAL")], None),
     ("a INT\u2028b DATE\x1cc REAL", [("a", "INT"), ("b", "DATE"), ("c", "REAL")], None),
     ("order_id", None, (1, contracts.BAD_FORMAT)),
     ("1id BIGINT", None, (1, contracts.BAD_NAME)),
