@@ -19,15 +19,25 @@ def scan(spark: SparkSession, name: str, columns: Sequence[str] | None = None) -
     return df.select(*columns) if columns else df
 
 
-def run_sql(spark: SparkSession, text: str, schema: str | None = None, **tables: DataFrame) -> DataFrame:
-    """SQL text to a lazy DataFrame; keyword arguments are visible as tables.
+def run_sql(
+    spark: SparkSession, text: str, catalog: str | None = None, schema: str | None = None, **tables: DataFrame
+) -> DataFrame:
+    """SQL text to a lazy DataFrame.
 
-    ``{name}`` in the text stands for the keyword argument of that name, so no
-    view of the session is created or replaced.
+    ``catalog`` and ``schema`` hold for the names of this text only.  Keyword
+    arguments are visible as ``{name}``, so no view of the session is created.
     """
-    if schema:
-        spark.catalog.setCurrentDatabase(schema)
-    return spark.sql(text, **tables) if tables else spark.sql(text)
+    before = spark.catalog.currentCatalog(), spark.catalog.currentDatabase()
+    try:
+        if catalog:
+            spark.catalog.setCurrentCatalog(catalog)
+        if schema:
+            spark.catalog.setCurrentDatabase(schema)
+        return spark.sql(text, **tables) if tables else spark.sql(text)
+    finally:
+        if catalog or schema:
+            spark.catalog.setCurrentCatalog(before[0])
+            spark.catalog.setCurrentDatabase(before[1])
 
 
 def row_count(df: DataFrame, out: str = "row_count") -> DataFrame:

@@ -104,6 +104,8 @@ def test_tables_by_name(spark, orders):
         assert again.count() == spark.table("t_demo.by_region").count() == expected
     assert tables.scan(spark, name, ["region"]).distinct().count() == 4
     assert tables.run_sql(spark, "SELECT count(*) AS n FROM t_demo.orders").first().n == 10
+    inside = tables.run_sql(spark, "SELECT count(*) AS n FROM orders", catalog="spark_catalog", schema="t_demo")
+    assert spark.catalog.currentDatabase() == "default" and inside.first().n == 10
 
 
 def test_snapshots_show_finished_versions_only(spark, orders):

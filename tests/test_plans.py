@@ -48,3 +48,29 @@ def test_hot_keys_are_sliced(spark, sf):
     text = plan_text(contract.queries()["pit_features"](spark, sf))
     keys = re.findall(r"hashpartitioning\(([^)]*)\)", text)
     assert any("customer_name" in k and "__slice" in k for k in keys)
+
+
+# Exchanges in the plan before AQE; lookups that are broadcast by size do not count.
+EXCHANGES = {
+    "contract_columns": 0,
+    "governance_lookup": 0,
+    "log_fields": 0,
+    "json_decode_valid": 0,
+    "grants_active": 0,
+    "tumble_1m": 1,
+    "log_rate_by_level": 1,
+    "current_step": 1,
+    "materialize_latest": 1,
+    "status_class_rate": 1,
+    "latency_avg": 2,  # samples to label sets, label sets to rule levels
+    "counter_rate": 2,  # samples by (series, slice), slices by series
+    "access_decision": 3,  # slices of pairs, pairs, rows
+    "hist_q99": 4,  # samples, rule levels, bounds, windows
+}
+
+
+@pytest.mark.parametrize("name", sorted(EXCHANGES))
+def test_number_of_exchanges(spark, sf, name):
+    df = contract.queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range|Round|Single)", plan)) == EXCHANGES[name], plan
