@@ -167,6 +167,42 @@ def final_status(steps: DataFrame) -> DataFrame:
     )
 
 
+def judge_decisions(steps: DataFrame, decisions: DataFrame, external: bool = False) -> DataFrame:
+    """Outcome of decisions: "applied", "forbidden" or "not its turn".
+
+    ``decisions``: step_id, username, decision (approved or rejected), one row
+    per step.  A person decides a pending step of their own, and approves it
+    only when it is the current one; rejecting is possible ahead of the turn.
+    With ``external`` the decisions come from the system that holds the
+    step, so neither person nor turn is asked.
+    """
+    state = steps.select(
+        F.col("id").alias("step_id"), "request_id", "step_order", F.col("status").alias("__status"), "approver_username"
+    )
+    known = decisions.join(state, "step_id", "left")
+    if external:
+        allowed = F.col("__status") == "pending_external"
+    else:
+        allowed = (F.col("__status") == "pending") & (F.col("approver_username") == F.col("username"))
+    judged = lookup_join(known, _open_minimum(steps, OPEN), ["request_id"])
+    early = (F.col("decision") == "approved") & (F.col("step_order") != F.col("current_step"))
+    outcome = F.when(~F.coalesce(allowed, F.lit(False)), F.lit("forbidden"))
+    if not external:
+        outcome = outcome.when(early, F.lit("not its turn"))
+    return judged.select(*decisions.columns, outcome.otherwise(F.lit("applied")).alias("outcome"))
+
+
+def apply_decisions(steps: DataFrame, judged: DataFrame, now) -> DataFrame:
+    """Steps after the applied decisions; open rows of rejected requests are skipped."""
+    applied = judged.where(F.col("outcome") == "applied").select(F.col("step_id").alias("id"), "decision")
+    decided = steps.join(applied, "id", "left").withColumn("status", F.coalesce("decision", "status"))
+    if "decided_at" in steps.columns:
+        decided = decided.withColumn(
+            "decided_at", F.when(F.col("decision").isNotNull(), as_timestamp(now)).otherwise(F.col("decided_at"))
+        )
+    return skip_after_reject(decided.select(*steps.columns))
+
+
 def approved_requests(requests: DataFrame, steps: DataFrame) -> DataFrame:
     """Requests whose steps are all approved: the input of grant issue."""
     approved = final_status(steps).where(F.col("status") == "approved").select(F.col("request_id").alias("id"))

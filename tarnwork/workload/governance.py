@@ -230,6 +230,43 @@ def steps_activated(spark: SparkSession, sf: str) -> DataFrame:
     return approvals.activate_steps(waiting, SLA_NOW)
 
 
+VIEW_SQL["v_judged"] = f"""
+SELECT s.id AS step_id, s.request_id, d.username, d.decision, CASE
+    WHEN status <> 'pending' OR d.username <> approver_username THEN 'forbidden'
+    WHEN d.decision = 'approved' AND step_order <> min(CASE WHEN {_OPEN} THEN step_order END) OVER (PARTITION BY request_id)
+    THEN 'not its turn' ELSE 'applied' END AS outcome
+FROM v_approval_steps s JOIN (SELECT id, CASE WHEN step_order = 2 THEN 'somebody' ELSE approver_username END AS username,
+    CASE WHEN step_order = 3 THEN 'rejected' ELSE 'approved' END AS decision FROM v_approval_steps) d USING (id)
+"""
+
+
+def _decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """A decision on every step; those on second steps come from somebody else."""
+    step = F.col("step_order")
+    return v.approval_steps(spark, sf).select(
+        F.col("id").alias("step_id"),
+        F.when(step == 2, F.lit("somebody")).otherwise(F.col("approver_username")).alias("username"),
+        F.when(step == 3, F.lit("rejected")).otherwise(F.lit("approved")).alias("decision"),
+    )
+
+
+@query("step_decisions", "SELECT step_id, username, decision, outcome FROM v_judged")
+def step_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    return approvals.judge_decisions(v.approval_steps(spark, sf), _decisions(spark, sf))
+
+
+@query(
+    "steps_decided",
+    f"""SELECT id, request_id, step_order, approver_username, CASE WHEN {_OPEN}
+        AND bool_or(status = 'rejected') OVER (PARTITION BY request_id) THEN 'skipped' ELSE status END AS status, activated_at
+    FROM (SELECT s.* REPLACE (CASE WHEN outcome = 'applied' THEN decision ELSE status END AS status)
+          FROM v_approval_steps s JOIN v_judged j ON j.step_id = s.id)""",
+)
+def steps_decided(spark: SparkSession, sf: str) -> DataFrame:
+    steps = v.approval_steps(spark, sf)
+    return approvals.apply_decisions(steps, approvals.judge_decisions(steps, _decisions(spark, sf)), SLA_NOW)
+
+
 VIEW_SQL["v_sla"] = f"""
 SELECT s.id AS step_id, request_id, step_order, approver_username, hours AS waited_hours,
     CASE WHEN hours >= 96 THEN 'escalate' ELSE 'remind' END AS action,

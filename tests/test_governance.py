@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.names import DEFAULT_CATALOG, parse_table_name, schema_table
 from tarnwork.plans import access, approvals, catalog, contracts, membership
+from tarnwork.session import cut_lineage
 from tests.conftest import tuples
 
 NOW = datetime(2026, 8, 20)
@@ -337,3 +338,42 @@ def test_scan_difference(spark):
     t = lambda *rows: spark.createDataFrame(list(rows), "table_name string, signature string")
     got = dict(tuples(catalog.scan_difference(t(("a", "1"), ("b", "1"), ("c", "1")), t(("b", "1"), ("c", "2"), ("d", None)))))
     assert got == {"a": "deleted", "c": "changed", "d": "new"}
+
+
+# -- decisions ---------------------------------------------------------------
+
+
+def decide(spark, df, *decisions, external=False):
+    made = spark.createDataFrame(list(decisions), "step_id long, username string, decision string")
+    judged = approvals.judge_decisions(df, made, external=external)
+    # Every round of decisions is a job whose result is stored.
+    decided = cut_lineage(approvals.apply_decisions(df, judged, NOW))
+    return dict(tuples(judged, "step_id", "outcome")), cut_lineage(approvals.activate_steps(decided, NOW))
+
+
+def test_two_level_approval(spark):
+    df = steps(spark, [(1, 1, 1, "manager1", "pending", 1), (2, 1, 1, "owner-x", "pending", 1), (3, 1, 2, "director", "pending", None)])
+    outcome, df = decide(spark, df, (3, "director", "approved"), (1, "manager1", "approved"), (2, "someone-else", "approved"), (9, "x", "approved"))
+    assert outcome == {3: "not its turn", 1: "applied", 2: "forbidden", 9: "forbidden"}
+    assert tuples(approvals.final_status(df)) == [(1, "pending")]
+    assert dict(tuples(df, "id", "activated_at"))[3] is None
+    outcome, df = decide(spark, df, (1, "manager1", "approved"), (2, "owner-x", "approved"))
+    assert outcome == {1: "forbidden", 2: "applied"}  # already decided
+    assert dict(tuples(df, "id", "activated_at"))[3] == NOW
+    _, df = decide(spark, df, (3, "director", "approved"))
+    assert tuples(approvals.final_status(df)) == [(1, "approved")]
+    assert dict(tuples(df, "id", "decided_at"))[3] == NOW
+
+
+def test_reject_ends_the_request(spark):
+    df = steps(spark, [(1, 1, 1, "manager1", "pending", 1), (2, 1, 1, "owner-x", "pending", 1), (3, 1, 2, "director", "pending", None)])
+    outcome, df = decide(spark, df, (3, "director", "rejected"))
+    assert outcome == {3: "applied"}
+    assert dict(tuples(df, "id", "status")) == {1: "skipped", 2: "skipped", 3: "rejected"}
+
+
+def test_external_decisions(spark):
+    df = steps(spark, [(1, 1, 1, "manager1", "pending_external", 1), (2, 2, 1, "owner-x", "pending", 1)])
+    outcome, df = decide(spark, df, (1, None, "approved"), (2, None, "approved"), external=True)
+    assert outcome == {1: "applied", 2: "forbidden"}
+    assert dict(tuples(approvals.final_status(df))) == {1: "approved", 2: "pending"}
