@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tarnwork.session import configure
 
@@ -81,6 +82,20 @@ def with_columns(
     return kept.mapInArrow(run, schema)
 
 
+def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
+    """At most ``bound`` rows, the same ones on every run: those with the smallest hashes of the key and the row.
+
+    The rows are counted first, so that about ``bound`` of them pass a filter by
+    hash and no task hands on more than its share.
+    """
+    n = df.count()
+    spread = F.xxhash64(F.lit("sample"), *(f"`{c}`" for c in df.columns))
+    if n > bound:
+        share = min(1.0, (1.2 * bound + 50) / n)
+        df = df.where(spread.bitwiseAND(F.lit((1 << 40) - 1)) < F.lit(int(share * (1 << 40))))
+    return df.orderBy(spread.bitwiseAND(F.lit((1 << 40) - 1)), spread, f"`{key}`").limit(bound)
+
+
 def strings(values: Iterable[str | None]) -> pa.Array:
     return pa.array(values, pa.string())
 

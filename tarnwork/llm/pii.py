@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import strings, texts_of, with_columns
+from tarnwork.llm.common import bounded_sample, strings, texts_of, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, str]
@@ -42,6 +42,7 @@ LONGEST = 24
 MOST_DIGITS = 20
 TRAIN_DOCUMENTS = 600
 TRAIN_ZONES = 700
+TRAIN_LENGTH = 20_000
 ZONE_TOKENS = 160
 EPOCHS = 12
 MARGIN = 1.0
@@ -319,11 +320,9 @@ def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
 
 
 def fit(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> np.ndarray:
-    """Trains on at most ``documents`` texts with a digit or ``@``: those with the smallest hashes."""
-    sample = (
-        docs.select("text").where(F.col("text").rlike("[0-9@]") & (F.length("text") < 20_000))
-        .orderBy(F.xxhash64("text"), "text").limit(documents)
-    )
+    """Trains on at most ``documents`` texts with a digit or ``@``, chosen by hash."""
+    usable = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]") & (F.length("text") < TRAIN_LENGTH))
+    sample = bounded_sample(usable, "doc_id", documents)
     return train([r.text for r in sample.collect()])
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import bpe, pii, secrets
+from tarnwork.llm import bpe, pii, secrets, toxicity
 from tarnwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(docs, secrets.fit(docs)).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans"
     )
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer).select(
+        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted"
+    )
