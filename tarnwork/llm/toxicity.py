@@ -56,6 +56,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 TRAIN_PER_CLASS = 5000
 KNOWN_TOKENS = 300_000
 LEAST_TEXTS = 5
+LEAST_LEAN = 3.0
+MOST_FEATURES = 50_000
 EPOCHS = 10
 
 
@@ -209,33 +211,60 @@ class Scorer:
         own = self.known[token] = tuple(sorted(found))
         return own
 
-    def score(self, text: str) -> float:
+    def present(self, text: str) -> set[str]:
         known, present = self.known.get, set()
         for token in self.restorer.tokens(text):
             own = known(token)
             present.update(self.features(token) if own is None else own)
-        total = self.bias + math.fsum(self.weights[f] for f in present)
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
+        return present
 
+    def score(self, text: str) -> float:
+        total = self.bias + math.fsum(self.weights[f] for f in self.present(text))
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 
-def train(texts: list[str], labels: list[int], model: np.ndarray) -> Scorer:
-    """Logistic regression on the presence of telling features (those with enough texts and a clear lean)."""
-    restorer = Restorer(model)
-    seen: list[set[str]] = []
-    bad, good = Counter(), Counter()
-    for text, label in zip(texts, labels, strict=True):
-        own = {f for token in restorer.tokens(text) for w in restorer.words(token) for f in features_of(w)}
-        (bad if label else good).update(own)
-        seen.append(own)
-    n_bad, n_good = max(1, sum(labels)), max(1, len(labels) - sum(labels))
 
-    def lean(f: str) -> float:
-        p, q = (bad[f] + 0.5) / (n_bad + 1), (good[f] + 0.5) / (n_good + 1)
-        return (math.log(p) - math.log(q)) / math.sqrt(1 / (bad[f] + 0.5) + 1 / (good[f] + 0.5))
+def telling_features(sample: DataFrame, model: np.ndarray) -> list[str]:
+    """Features that lean clearly towards toxic texts, counted by the tasks that hold the texts."""
 
-    chosen = sorted(f for f in bad if bad[f] >= LEAST_TEXTS and lean(f) > 3.0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model)
+        for batch in batches:
+            sides = (Counter(), Counter())
+            for text, label in zip(texts_of(batch.column("text")), batch.column("toxic").to_pylist(), strict=True):
+                sides[label].update({f for t in restorer.tokens(text) for w in restorer.words(t) for f in features_of(w)})
+            for label, counts in enumerate(sides):
+                yield pa.RecordBatch.from_arrays(
+                    [strings(counts.keys()), pa.array([label] * len(counts), pa.int64()), longs(list(counts.values()))],
+                    names=["feature", "toxic", "n"],
+                )
+
+    bad, good = (F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)) for c in (1, 0))
+    counts = sample.mapInArrow(run, "feature string, toxic long, n long").groupBy("feature").agg(bad.alias("bad"), good.alias("good"))
+    size = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    p, q = F.col("bad") + 0.5, F.col("good") + 0.5
+    lean = (F.log(p / (size.get(1, 0) + 1)) - F.log(q / (size.get(0, 0) + 1))) / F.sqrt(1 / p + 1 / q)
+    chosen = counts.where(F.col("bad") >= LEAST_TEXTS).withColumn("lean", lean).where(F.col("lean") > LEAST_LEAN)
+    top = chosen.orderBy(F.desc("lean"), "feature").limit(MOST_FEATURES).collect()
+    return sorted(r.feature for r in top)
+
+
+def train(sample: DataFrame, model: np.ndarray) -> Scorer:
+    """Logistic regression on the presence of telling features; ``sample`` has text and toxic (0 or 1)."""
+    chosen = telling_features(sample, model)
+    blank = Scorer(model, dict.fromkeys(chosen, 0.0))
     index = {f: k for k, f in enumerate(chosen)}
-    rows = [np.array(sorted(index[f] for f in own if f in index), np.int64) for own in seen]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(index[f] for f in blank.present(t)) for t in texts_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.list_(pa.int32())), batch.column("toxic")], names=["found", "toxic"]
+            )
+
+    examples = sample.mapInArrow(run, "found array<int>, toxic int").collect()
+    examples.sort(key=lambda r: (r.toxic, r.found))  # the same order on every run
+    rows = [np.array(r.found, np.int64) for r in examples]
+    labels = [int(r.toxic) for r in examples]
     weights, squares = np.zeros(len(chosen)), np.full(len(chosen), 0.1)
     bias, bias_squares = -1.0, 0.1
     order = np.random.default_rng(5)
@@ -281,9 +310,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
     parts = [bounded_sample(usable.where(F.col("toxic") == c), "doc_id", per_class) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     # At most 2 * per_class rows, so the broadcast has a bound.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.toxic, r.text or ""))
-    return train([r.text or "" for r in rows], [int(r.toxic) for r in rows], model)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return train(rows.select("text", F.col("toxic").cast("int").alias("toxic")), model)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
