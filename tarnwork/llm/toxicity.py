@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import bounded_sample, longs, texts_of, with_columns
+from tarnwork.llm.common import bounded_sample, longs, strings, texts_of, with_columns
 
 LETTERS = " abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 SIZE = len(LETTERS)
