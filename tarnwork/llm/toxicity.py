@@ -18,6 +18,7 @@ text enters a score.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections import Counter
@@ -57,6 +58,7 @@ TRAIN_PER_CLASS = 5000
 KNOWN_TOKENS = 300_000
 LEAST_TEXTS = 5
 LEAST_LEAN = 3.0
+STRONGEST = 8
 MOST_FEATURES = 50_000
 EPOCHS = 10
 
@@ -219,7 +221,8 @@ class Scorer:
         return present
 
     def score(self, text: str) -> float:
-        total = self.bias + math.fsum(self.weights[f] for f in self.present(text))
+        strongest = heapq.nlargest(STRONGEST, (self.weights[f] for f in self.present(text)))
+        total = self.bias + math.fsum(strongest)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 
 
@@ -248,6 +251,13 @@ def telling_features(sample: DataFrame, model: np.ndarray) -> list[str]:
     return sorted(r.feature for r in top)
 
 
+def strongest(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """A long text has many features by chance; only its strongest ones count."""
+    if len(found) <= STRONGEST:
+        return found
+    return found[np.argsort(-weights[found], kind="stable")[:STRONGEST]]
+
+
 def train(sample: DataFrame, model: np.ndarray) -> Scorer:
     """Logistic regression on the presence of telling features; ``sample`` has text and toxic (0 or 1)."""
     chosen = telling_features(sample, model)
@@ -268,9 +278,9 @@ def train(sample: DataFrame, model: np.ndarray) -> Scorer:
     weights, squares = np.zeros(len(chosen)), np.full(len(chosen), 0.1)
     bias, bias_squares = -1.0, 0.1
     order = np.random.default_rng(5)
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
         for k in order.permutation(len(rows)):
-            at = rows[k]
+            at = strongest(rows[k], weights) if epoch >= EPOCHS // 3 else rows[k]
             z = bias + weights[at].sum()
             error = 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) - labels[k]
             bias_squares += error * error
@@ -278,7 +288,7 @@ def train(sample: DataFrame, model: np.ndarray) -> Scorer:
             gradient = error + 1e-4 * weights[at]
             squares[at] += gradient**2
             weights[at] = np.maximum(weights[at] - 0.3 * gradient / np.sqrt(squares[at]), 0.0)
-    bias -= _cut(np.array([bias + weights[at].sum() for at in rows]), np.array(labels))
+    bias -= _cut(np.array([bias + weights[strongest(at, weights)].sum() for at in rows]), np.array(labels))
     return Scorer(model, dict(zip(chosen, weights.tolist(), strict=True)), bias)
 
 
