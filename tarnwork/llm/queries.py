@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import bpe, licenses, pagetext, pii, secrets, toxicity
+from tarnwork.llm import bpe, decontaminate, licenses, pagetext, pii, secrets, toxicity
 from tarnwork.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pagetext(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return pagetext.extract(pages, pagetext.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontaminate.contaminated(docs, items)
