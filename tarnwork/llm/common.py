@@ -64,7 +64,7 @@ def with_columns(
     df: DataFrame, added_schema: str, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, pa.Array]]]
 ) -> DataFrame:
     """Adds columns batch by batch; ``make`` yields the new columns of each batch it gets."""
-    names = [part.strip().split()[0] for part in added_schema.split(",")]
+    names = [part.strip().split()[0].strip("`") for part in added_schema.split(",")]
     kept = without(df, names)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [added_schema])
 

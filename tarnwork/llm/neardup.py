@@ -264,3 +264,14 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = R
     found = lookup_join(known.drop("keys"), named, ["f1", "f2"], "left")
     own_id = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return found.withColumn("component_id", own_id).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def representatives(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """The rows of ``docs`` that near-duplicate removal keeps: one row of each group, and rows without an id."""
+    found = near_duplicates(docs, percent, rows, bands)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    columns = [f"`{c}`" for c in docs.columns]
+    keyed = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # Repeated rows of one id meet in the join's partitions already.
+    once = keyed.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*columns)
+    return once.unionByName(docs.where("doc_id is null").select(*columns))

@@ -48,7 +48,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, scorer).select(
-        "doc_id", (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted"
+        "doc_id",
+        (toxicity.fold(F.col("doc_id")) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
 
 

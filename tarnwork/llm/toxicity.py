@@ -324,13 +324,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
     return train(rows.select("text", F.col("toxic").cast("int").alias("toxic")), model)
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """Adds ``score`` and ``predicted``."""
+def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score") -> DataFrame:
+    """Adds the score of each text, from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array]]:
         own = shared.value
         for batch in batches:
-            yield {"score": pa.array([own.score(t) for t in texts_of(batch.column("text"))], pa.float64())}
+            yield {out: pa.array([own.score(t) for t in texts_of(batch.column(text))], pa.float64())}
 
-    return with_columns(docs, "score double", run).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return with_columns(docs, f"`{out}` double", run)
