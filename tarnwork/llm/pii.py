@@ -171,7 +171,7 @@ def span_features(text: str, start: int, end: int) -> tuple | None:
         blanks == 0,
         blanks > 5,
         bool(before) and (before.isalnum() or before in "+@.-_%"),
-        bool(after) and (after.isalnum() or after in "@-_"),
+        bool(after) and (after.isalnum() or after in "@-_" or (after == "." and text[end + 1 : end + 2].isalnum())),
         not span[0].isalnum() and span[0] not in "+(",
         other > 0 or not span[-1].isalnum(),
     )
