@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm import bpe, decontaminate, licenses, neardup, pagetext, pii, quality, repeats, secrets, toxicity
 from tarnwork.llm.common import table
+from tarnwork.llm.sql import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
