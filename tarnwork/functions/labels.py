@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,9 +29,10 @@ def label_not_matches(label: Column, pattern: str) -> Column:
 def label_replace(target: Column, replacement: str, source: Column, pattern: str) -> Column:
     """New value of ``target`` where all of ``source`` matches, else ``target``.
 
-    ``${1}`` and ``$1`` refer to groups.  An empty result drops the label.
+    ``${1}``, ``$1`` and ``${name}`` refer to groups.  An empty result drops the label.
     """
-    java = replacement.replace("${1}", "$1").replace("${2}", "$2")
+    # Braces are for names only in Java; a backslash-free escape keeps a digit that follows apart.
+    java = re.sub(r"\$\{(\d+)\}(?=(\d?))", lambda m: f"${m[1]}" + ("\\" if m[2] else ""), replacement)
     text = F.coalesce(source, F.lit(""))
     whole = _anchored(pattern)
     return F.when(text.rlike(whole), F.nullif(F.regexp_replace(text, whole, java), F.lit(""))).otherwise(target)

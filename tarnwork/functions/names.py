@@ -104,9 +104,18 @@ def catalog_type(data_type: Column) -> Column:
 
 
 def catalog_length(data_type: Column) -> Column:
-    """Declared length of a text type, the default when none is given, null otherwise."""
+    """Declared length of a text type, the default when none is given, null otherwise.
+
+    Null, too, for a length no catalogue can hold; ``length_fits`` tells.
+    """
     given = F.nullif(F.regexp_extract(data_type, r"\((\d+)", 1), F.lit(""))
     return F.when(
         catalog_type(data_type).isin("VARCHAR", "CHAR", "BINARY", "VARBINARY"),
-        F.coalesce(F.try_to_number(given, F.lit("999999999999")).cast("int"), F.lit(DEFAULT_TEXT_LENGTH)),
+        F.when(given.isNull(), F.lit(DEFAULT_TEXT_LENGTH)).otherwise(given.try_cast("int")),
     )
+
+
+def length_fits(data_type: Column) -> Column:
+    """The numbers in brackets are whole numbers of 32 bits."""
+    numbers = F.regexp_extract_all(data_type, F.lit(r"(\d+)"), F.lit(1))
+    return F.forall(numbers, lambda n: n.try_cast("int").isNotNull())

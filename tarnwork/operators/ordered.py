@@ -9,6 +9,7 @@ by the number of slices in the covered time, whatever the key distribution is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions.times import slice_of
 
 DAY = 86_400
+MINUTE = 60
 
 # Order within a slice: what earlier slices handed on, then facts, then probes
 # of the same time (a probe sees facts of its own time).
@@ -32,7 +34,7 @@ def running_max_at(
     probe_time: str,
     value: Column,
     out: str,
-    slice_seconds: int = 30 * DAY,
+    slice_seconds: int = MINUTE,
 ) -> DataFrame:
     """For every probe row the greatest ``value`` of facts with time <= probe time.
 
@@ -40,7 +42,16 @@ def running_max_at(
     which starts with the fact time makes this "the latest fact".  Probes keep
     all their columns and their number; ``out`` is null where no fact applies.
     No (fact, probe) pair is ever built.
+
+    Slices are short by default, so a burst of one key is spread over its
+    minutes; the pass over the slices of a key is bound by the covered time.
+    Probes without a key or a time can meet no fact: they never reach the exchange.
     """
+    keyed = F.lit(True)
+    for name in (*keys, probe_time):
+        keyed = keyed & F.col(name).isNotNull()
+    without_key = probes.where(~keyed)
+    probes = probes.where(keyed)
     fact_rows = facts.select(
         *keys, F.col(fact_time).alias("__at"), slice_of(F.col(fact_time), slice_seconds).alias("__slice"), value.alias("__value")
     ).dropna(subset=[*keys, "__at"])
@@ -77,11 +88,8 @@ def running_max_at(
         .orderBy(F.col("__at").asc_nulls_first(), "__phase")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        rows.withColumn(out, F.max("__value").over(so_far))
-        .where(F.col("__phase") == _PROBE)
-        .select("__row.*", out)
-    )
+    met = rows.withColumn(out, F.max("__value").over(so_far)).where(F.col("__phase") == _PROBE).select("__row.*", out)
+    return met.unionByName(without_key.withColumn(out, F.lit(None).cast(met.schema[out].dataType)))
 
 
 def as_of_join(
@@ -94,7 +102,7 @@ def as_of_join(
     tiebreak: list[str],
     payload: list[str],
     ttl_seconds: int | None = None,
-    slice_seconds: int = 30 * DAY,
+    slice_seconds: int = MINUTE,
 ) -> DataFrame:
     """Point-in-time join: per spine row the latest feature row at its time.
 
@@ -144,10 +152,10 @@ def bucketed_steps(
     series adds nothing.  Steps inside a slice come from a window over
     (series, slice), the step into a slice from the last sample of the slice
     before, so the second window sees one row per (series, slice).  A slice
-    is a bucket or an even part of it, so long buckets do not make long groups.
+    is the greatest common part of ``slice_seconds`` and the bucket, so long or
+    odd buckets do not make long groups.
     """
-    if slice_seconds > bucket_seconds or bucket_seconds % slice_seconds:
-        slice_seconds = bucket_seconds
+    slice_seconds = math.gcd(slice_seconds, bucket_seconds)
     group = [*series, "__slice"]
     order = [time, *tiebreak]
     rows = samples.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions.names import schema_table
 from tarnwork.functions.times import as_timestamp, parse_time
 from tarnwork.operators.keyed import lookup_join
-from tarnwork.operators.ordered import DAY, running_max_at
+from tarnwork.operators.ordered import MINUTE, running_max_at
 
 NEVER = "9999-12-31 00:00:00"
 
@@ -84,7 +84,7 @@ def _live_until(expires_at: Column) -> Column:
     return F.coalesce(parse_time(F.trim(expires_at)), F.lit(NEVER).cast("timestamp"))
 
 
-def with_grant(log: DataFrame, grants: DataFrame, *, respect_granted_at: bool = True, slice_seconds: int = 30 * DAY) -> DataFrame:
+def with_grant(log: DataFrame, grants: DataFrame, *, respect_granted_at: bool = True, slice_seconds: int = MINUTE) -> DataFrame:
     """Log rows with ``granted``: a grant for (user, schema.table) is live at ``ts``.
 
     Only the latest expiry matters: a grant is live iff the greatest
@@ -123,7 +123,7 @@ def access_decisions(
     policy: AccessPolicy = AccessPolicy(),
     *,
     respect_granted_at: bool = True,
-    slice_seconds: int = 30 * DAY,
+    slice_seconds: int = MINUTE,
 ) -> DataFrame:
     """``allowed`` and the first matching ``reason`` for every log row.
 

@@ -86,13 +86,22 @@ def approval_chain(requests: DataFrame, employees: DataFrame, designated_admin:
     return routed.select(F.col("id").alias("request_id"), F.inline(let(listed, first_places)))
 
 
-def clean_requests(submitted: DataFrame) -> DataFrame:
-    """Submitted forms as requests: trimmed and shortened names, no row without a table name."""
-    return submitted.withColumns(
-        {
-            "table_fqn": F.left(strip(F.col("table_fqn")), F.lit(NAME_LENGTH)),
-            "reason": F.left(F.coalesce("reason", F.lit("")), F.lit(REASON_LENGTH)),
-        }
+def clean_requests(
+    submitted: DataFrame, name_length: int | None = NAME_LENGTH, reason_length: int | None = REASON_LENGTH
+) -> DataFrame:
+    """Submitted forms as requests: trimmed names, no row without a table name.
+
+    Names and reasons are shortened to the form's lengths, and ``shortened``
+    marks the rows where that took something away; None leaves them whole.
+    """
+    name, reason = strip(F.col("table_fqn")), F.coalesce("reason", F.lit(""))
+    texts = {"table_fqn": (name, name_length), "reason": (reason, reason_length)}
+    cut = [F.length(text) > F.lit(most) for text, most in texts.values() if most is not None]
+    mark = F.coalesce(F.greatest(*cut, F.lit(False)), F.lit(False)) if cut else F.lit(False)
+    return submitted.select(
+        *(c for c in submitted.columns if c not in (*texts, "shortened")),
+        *((text if most is None else F.left(text, F.lit(most))).alias(c) for c, (text, most) in texts.items()),
+        mark.alias("shortened"),
     ).where(F.col("table_fqn") != "")
 
 

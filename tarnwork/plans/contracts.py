@@ -10,6 +10,7 @@ from tarnwork.functions.names import (
     SPACE,
     base_type,
     catalog_length,
+    length_fits,
     catalog_type,
     contract_type_pattern,
     lines,
@@ -21,6 +22,7 @@ from tarnwork.functions.once import let, with_once
 BAD_FORMAT = "expected name and type"
 BAD_NAME = "invalid column name"
 BAD_TYPE = "unsupported type"
+BAD_LENGTH = "length out of range"
 NO_COLUMNS = "at least one column is required"
 
 # Lake tables of this project carry money columns; see README.
@@ -37,6 +39,7 @@ def parsed_lines(text: Column, extra_types: tuple[str, ...] = ()) -> Column:
             F.when(word["name"] == "", F.lit(BAD_FORMAT))
             .when(~word["name"].rlike(IDENTIFIER), F.lit(BAD_NAME))
             .when(~word["type"].rlike(type_pattern), F.lit(BAD_TYPE))
+            .when(~length_fits(word["type"]), F.lit(BAD_LENGTH))
         )
         return F.struct(
             line_no.alias("line_no"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.times import as_timestamp
 from tarnwork.operators.keyed import latest_per_key, lookup_join
-from tarnwork.operators.ordered import DAY, as_of_join
+from tarnwork.operators.ordered import DAY, MINUTE, as_of_join
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,7 @@ def order_feature_source(orders: DataFrame) -> DataFrame:
     )
 
 
-def historical_features(spine: DataFrame, source: DataFrame, view: FeatureView, slice_seconds: int = 30 * DAY) -> DataFrame:
+def historical_features(spine: DataFrame, source: DataFrame, view: FeatureView, slice_seconds: int = MINUTE) -> DataFrame:
     """Features as they were known at the time of every spine row."""
     return as_of_join(
         spine,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,43 +36,32 @@ def split_rows(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION, se
 
 
 def forest_pipeline(
-    numeric: list[str],
-    categorical: list[str],
-    label: str,
-    *,
-    trees: int = FEATURE_TREES,
-    depth: int = FEATURE_DEPTH,
-    seed: int = SEED,
-    max_bins: int = 64,
+    columns: list[str], *, trees: int = FEATURE_TREES, depth: int = FEATURE_DEPTH, seed: int = SEED
 ) -> Pipeline:
-    """Alphabetic category codes, feature vector, random forest, label text back."""
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_encoded", stringOrderType="alphabetAsc", handleInvalid="keep")
-        for c in categorical
-    ]
-    target = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep")
-    features = VectorAssembler(
-        inputCols=[*numeric, *[f"{c}_encoded" for c in categorical]], outputCol="features", handleInvalid="keep"
-    )
-    return Pipeline(stages=[*indexers, target, features, forest(trees, depth, seed, max_bins)])
+    """Feature vector and random forest on plain numbers, with a numeric ``label``.
+
+    Categories come as codes of ``encode_labels``, ordered like any number: as
+    many of them as there are, without a list of them on the driver.
+    """
+    features = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
+    return Pipeline(stages=[features, forest(trees, depth, seed)])
 
 
-def forest(trees: int = BASELINE_TREES, depth: int = BASELINE_DEPTH, seed: int = SEED, max_bins: int = 32) -> RandomForestClassifier:
+def forest(trees: int = BASELINE_TREES, depth: int = BASELINE_DEPTH, seed: int = SEED) -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol="features",
         labelCol="label",
         numTrees=trees,
         maxDepth=depth,
         seed=seed,
-        maxBins=max_bins,
         # Statistics of a tree level are gathered per node group of this size.
         maxMemoryInMB=512,
     )
 
 
-def vector_forest_pipeline(columns: list[str], **settings) -> Pipeline:
-    """Random forest on plain numeric columns with a numeric ``label``."""
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), forest(**settings)])
+def vector_forest_pipeline(**settings) -> Pipeline:
+    """Random forest on a ``features`` vector of any length, with a numeric ``label``."""
+    return Pipeline(stages=[forest(**settings)])
 
 
 def train(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
@@ -111,13 +100,12 @@ def accuracy(predictions: DataFrame, label: str = "label", prediction: str = "pr
 def run_record(metrics: DataFrame, run_id: str, params: dict[str, object], training_rows: DataFrame, now: Column) -> DataFrame:
     """One row per run: parameters, metrics and the number of training rows."""
     pairs = [F.lit(str(x)) for item in params.items() for x in item]
-    rows = training_rows.agg(F.count(F.lit(1)).alias("training_rows"))
-    # Both sides are global aggregates of one row each.
-    return metrics.withColumn("__one", F.lit(1)).join(rows.withColumn("__one", F.lit(1)), "__one").drop("__one").select(
+    rows = training_rows.agg(F.count(F.lit(1))).scalar()
+    return metrics.select(
         F.lit(run_id).alias("run_id"),
         (F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,string>")).alias("params"),
         *metrics.columns,
-        "training_rows",
+        rows.alias("training_rows"),
         now.alias("created_at"),
     )
 
@@ -132,18 +120,22 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     )
 
 
-def gate(scored: DataFrame, expected_rows: DataFrame, status: str = "READY") -> DataFrame:
-    """Deployment gate: version ready, one prediction per input row, all finite."""
+def gate(scored: DataFrame, expected_rows: DataFrame, versions: DataFrame, model_name: str) -> DataFrame:
+    """Deployment gate: newest version ready, one prediction per input row, all finite.
+
+    A model without a version does not pass.
+    """
     p = F.col("prediction")
     finite = p.isNotNull() & ~F.isnan(p) & (F.abs(p) != F.lit(float("inf")))
     result = scored.agg(F.count(F.lit(1)).alias("output_rows"), F.count_if(finite).alias("finite_rows"))
-    inputs = expected_rows.agg(F.count(F.lit(1)).alias("input_rows"))
-    one = F.lit(1)
-    joined = inputs.withColumn("__one", one).join(result.withColumn("__one", one), "__one").drop("__one")
+    inputs = expected_rows.agg(F.count(F.lit(1))).scalar()
+    newest = latest_versions(versions.where(F.col("model_name") == model_name))
+    status = newest.agg(F.max("status")).scalar()
+    joined = result.select(inputs.alias("input_rows"), "output_rows", "finite_rows", status.alias("status"))
     ok = (
         (F.col("input_rows") == F.col("output_rows"))
         & (F.col("finite_rows") == F.col("output_rows"))
-        & F.lit(status == "READY")
+        & F.col("status").eqNullSafe(F.lit("READY"))
     )
     return joined.withColumn("passed", ok)
 

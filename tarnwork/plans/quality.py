@@ -54,3 +54,15 @@ def enough_to_train(df: DataFrame, label: str, min_rows: int = 4, min_classes: i
     )
     passed: Column = (F.col("row_count") >= min_rows) & (F.col("class_count") >= min_classes)
     return counted.withColumn("passed", passed)
+
+
+class NotEnoughRows(RuntimeError):
+    pass
+
+
+def require_training(df: DataFrame, label: str, min_rows: int = 4, min_classes: int = 2) -> DataFrame:
+    """The frame itself, or an error when the training gate does not pass (reads one row of counts)."""
+    row = enough_to_train(df, label, min_rows, min_classes).first()
+    if not row.passed:
+        raise NotEnoughRows(f"{row.row_count} rows of {row.class_count} classes are too few to train on")
+    return df

@@ -30,9 +30,30 @@ def append_by_date(df: DataFrame, path: str, time: str, date_column: str = "even
 
 
 def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replace all rows; running it again gives the same table."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Replace all rows; running it again gives the same table.
+
+    The rows go to a folder beside ``path`` and take its place when they are
+    complete, so the frame may read the table it replaces and a failed run
+    changes nothing.  Between the two renames a reader may find no folder;
+    ``create_or_replace`` and the snapshots have no such moment.
+    """
+    spark = df.sparkSession
+    target = path.rstrip("/")
+    fresh, old = (f"{target}.{mark}-{uuid.uuid4().hex[:12]}" for mark in ("new", "old"))
+    writer = df.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(fresh)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    replaced = fs.exists(hadoop_path(target))
+    if replaced and not fs.rename(hadoop_path(target), hadoop_path(old)):
+        raise OSError(f"cannot move {target} aside; the new rows are in {fresh}")
+    if not fs.rename(hadoop_path(fresh), hadoop_path(target)):
+        if replaced:
+            fs.rename(hadoop_path(old), hadoop_path(target))
+        raise OSError(f"cannot move {fresh} to {target}")
+    if replaced:
+        fs.delete(hadoop_path(old), True)
+    spark.catalog.refreshByPath(target)
 
 
 def create_schema(spark: SparkSession, schema: str, location: str | None = None) -> None:
@@ -55,13 +76,16 @@ def create_or_replace(df: DataFrame, name: str, root: str) -> DataFrame:
     """Create or replace a table from a frame and read it back.
 
     The rows go to a new folder below ``root``; the table is pointed there
-    when they are complete.  Readers see the old or the new rows, a failed run
-    changes nothing, and the frame may read the table it replaces.
+    when they are complete.  The frame may read the table it replaces.  With
+    the same names and types readers see the old or the new rows at any time,
+    and a failed run changes nothing; other columns take a drop and a create,
+    between which the table is missing.  Old folders stay below ``root`` for
+    readers that are still at work.
     """
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if spark.catalog.tableExists(name) and spark.table(name).schema == df.schema:
+    if spark.catalog.tableExists(name) and _shape(spark.table(name).schema) == _shape(df.schema):
         spark.sql(f"ALTER TABLE {_quoted(name)} SET{_location(path)}")
     else:
         spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
@@ -70,6 +94,11 @@ def create_or_replace(df: DataFrame, name: str, root: str) -> DataFrame:
     return spark.table(name)
 
 
+def _shape(schema: T.StructType) -> list[tuple[str, str]]:
+    """Names and types without nullability, which a stored table does not keep."""
+    return [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+
 def write_messages(messages: DataFrame, *, path: str | None = None, kafka: dict[str, str] | None = None) -> None:
     """Send keyed messages to the log: a Kafka topic, or a folder of JSON lines.
 

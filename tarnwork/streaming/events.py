@@ -124,19 +124,11 @@ def late_rows(detail_rows: DataFrame, windows: DataFrame) -> DataFrame:
     """
     actual = tumbling_counts(detail_rows).withColumnRenamed("event_count", "detail_count")
     keys = ["window_start", "window_end", "device_id"]
-    closed = windows.agg(F.max("window_end").alias("__closed"))
-    compared = actual.join(windows.select(*keys, "event_count"), keys, "left")
-    # ``closed`` is a global aggregate of one row.
-    return (
-        compared.withColumn("__one", F.lit(1))
-        .join(closed.withColumn("__one", F.lit(1)), "__one")
-        .where(F.col("window_end") <= F.col("__closed"))
-        .select(
-            *keys,
-            "detail_count",
-            F.coalesce("event_count", F.lit(0)).alias("window_count"),
-            (F.col("detail_count") - F.coalesce("event_count", F.lit(0))).alias("late_count"),
-        )
+    closed = windows.agg(F.max("window_end")).scalar()
+    compared = actual.where(F.col("window_end") <= closed).join(windows.select(*keys, "event_count"), keys, "left")
+    counted = F.coalesce("event_count", F.lit(0))
+    return compared.select(
+        *keys, "detail_count", counted.alias("window_count"), (F.col("detail_count") - counted).alias("late_count")
     )
 
 

@@ -37,7 +37,8 @@ def grant_issue(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "request_clean",
     """SELECT doc_id AS id, left(trim(regexp_replace(source, '[^a-zA-Z0-9_.]', ' ', 'g')), 300) AS table_fqn,
-        left("text", 500) AS reason FROM documents
+        left(coalesce("text", ''), 500) AS reason,
+        length(trim(regexp_replace(source, '[^a-zA-Z0-9_.]', ' ', 'g'))) > 300 OR length(coalesce("text", '')) > 500 AS shortened FROM documents
     WHERE trim(regexp_replace(source, '[^a-zA-Z0-9_.]', ' ', 'g')) <> ''""",
 )
 def request_clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -159,25 +159,71 @@ def test_latest_version_is_numeric(spark):
 def test_gate(spark):
     rows = spark.range(4)
     scored = lambda *p: spark.createDataFrame([(float(x) if x is not None else None,) for x in p], "prediction double")
-    assert ml.gate(scored(0, 1, 2, 0), rows).first().passed
-    assert not ml.gate(scored(0, 1, 2), rows).first().passed
-    assert not ml.gate(scored(0, 1, "nan", 2), rows).first().passed
-    assert not ml.gate(scored(0, 1, "inf", 2), rows).first().passed
-    assert not ml.gate(scored(0, 1, None, 2), rows).first().passed
-    assert not ml.gate(scored(0, 1, 2, 0), rows, status="PENDING").first().passed
+    versions = spark.createDataFrame([("m", "9", "PENDING"), ("m", "10", "READY"), ("n", "1", "PENDING")], "model_name string, version string, status string")
+    gate = lambda df, name="m": ml.gate(df, rows, versions, name).first()
+    assert gate(scored(0, 1, 2, 0)).passed
+    assert not gate(scored(0, 1, 2)).passed
+    assert not gate(scored(0, 1, "nan", 2)).passed
+    assert not gate(scored(0, 1, "inf", 2)).passed
+    assert not gate(scored(0, 1, None, 2)).passed
+    assert not gate(scored(0, 1, 2, 0), "n").passed
+    assert gate(scored(0, 1, 2, 0), "unknown").passed is False
 
 
 def test_forest_learns_a_separable_rule(spark, tmp_path):
     rows = spark.range(600).select(
         "id", (F.col("id") % 100).cast("double").alias("amount"), F.when(F.col("id") % 3 == 0, "Gizmo").otherwise("Widget").alias("product"),
     ).withColumn("region", F.when(F.col("amount") > 50, "East").when(F.col("product") == "Gizmo", "North").otherwise("West"))
-    split = ml.split_rows(rows, "id")
-    model = ml.train(ml.forest_pipeline(["amount"], ["product"], "region", trees=10), split.where("split = 'train'"))
+    coded = ml.encode_labels(ml.encode_labels(rows, "product", "product_code"), "region", "label").withColumn("label", F.col("label").cast("double"))
+    split = ml.split_rows(coded, "id")
+    model = ml.train(ml.forest_pipeline(["amount", "product_code"], trees=10), split.where("split = 'train'"))
     ml.save_model(model, str(tmp_path / "m"))
     loaded = ml.load_model(str(tmp_path / "m"))
-    assert loaded.stages[1].labels == ["East", "North", "West"]
     scored = loaded.transform(split.where("split = 'test'"))
     accuracy = ml.accuracy(scored).first().accuracy
     assert accuracy > 0.9
     record = ml.run_record(ml.accuracy(scored), "r1", {"trees": 10}, split, F.lit(T0)).first()
     assert (record.run_id, record.params, record.training_rows) == ("r1", {"trees": "10"}, 600)
+
+
+def test_forest_takes_any_number_of_categories(spark):
+    rows = spark.range(3000).select(
+        "id", (F.col("id") % 7).cast("double").alias("amount"), F.format_string("product %04d", F.col("id") % 1000).alias("product"),
+        F.when(F.col("id") % 1000 < 500, 0.0).otherwise(1.0).alias("label"),
+    )
+    coded = ml.encode_labels(rows, "product", "product_code")
+    model = ml.train(ml.forest_pipeline(["amount", "product_code"], trees=5), coded)
+    assert ml.accuracy(model.transform(coded)).first().accuracy > 0.95
+
+
+def test_training_gate_raises(spark):
+    from tarnwork.plans import quality
+
+    rows = spark.createDataFrame([("a",), ("b",), ("a",), (None,)], "region string")
+    assert quality.require_training(rows, "region") is rows
+    for bad in (rows.where("region = 'a'"), rows.limit(0)):
+        with pytest.raises(quality.NotEnoughRows):
+            quality.require_training(bad, "region")
+
+
+def test_label_replace_groups(spark):
+    from tarnwork.functions.labels import label_replace
+
+    row = spark.range(1).select(
+        label_replace(F.lit("old"), "${3}-${1}x", F.lit("a b c"), r"(\w) (\w) (\w)").alias("third"),
+        label_replace(F.lit("old"), "${last}", F.lit("a b"), r"(\w) (?<last>\w)").alias("named"),
+        label_replace(F.lit("old"), "${1}0", F.lit("a"), r"(\w)").alias("digit"),
+    ).first()
+    assert (row.third, row.named, row.digit) == ("c-ax", "b", "a0")
+
+
+def test_odd_buckets_keep_short_slices(spark):
+    from tarnwork.operators import ordered
+
+    samples = spark.range(2000).select(F.lit("s").alias("s"), F.timestamp_seconds(F.col("id") * 97).alias("ts"), F.col("id").cast("double").alias("value"))
+    steps = ordered.bucketed_steps(
+        samples, ["s"], time="ts", value="value", tiebreak=[], bucket_seconds=90_000, step=lambda a, b: b - a, out="n"
+    )
+    plan = steps._jdf.queryExecution().analyzed().toString()
+    assert "3600000000" in plan and "90000000000" in plan  # slices of an hour, buckets of 25 hours
+    assert steps.agg(F.sum("n")).first()[0] == 1999.0

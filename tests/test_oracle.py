@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as contract
+from tarnwork.workload import SQL, full_sql
 from tests import oracle
 
-SQLS = contract.oracle_sql()
+SQLS = {name: full_sql(name) for name in SQL}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +22,7 @@ def test_matches_sql(spark, sf, con, name):
 
 
 def test_every_sql_belongs_to_a_query():
-    assert set(SQLS) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):

@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as contract
+from tarnwork.workload import SQL, full_sql
 from tarnwork.plans.quality import EmptySource
 from tests import oracle
 from tests.tables import variant
 
-SQLS = contract.oracle_sql()
+SQLS = {name: full_sql(name) for name in SQL}
 
 
 @pytest.fixture(scope="module", params=["hot", "empty"])
