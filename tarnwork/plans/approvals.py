@@ -24,15 +24,30 @@ NAME_LENGTH, REASON_LENGTH = 300, 500
 # ---------------------------------------------------------------------------
 
 
+def _present(name: Column) -> Column:
+    """A name that can stand for a person; chain and admission share it."""
+    return name.isNotNull() & (name != "")
+
+
 def resolve_managers(employees: DataFrame) -> DataFrame:
-    """(username, name, manager_username); a blank or unknown manager id gives null."""
-    ids = employees.select(
-        F.col("employee_id").alias("__id"), F.col("username").alias("manager_username")
+    """(username, name, manager_username), one row per username.
+
+    A blank or unknown manager id, and a manager without a name, give null.  Of
+    several rows with one id the least username counts, of several with one
+    username the row with the least id, so nobody multiplies requests.
+    """
+    ids = (
+        employees.where(_present(F.col("username")))
+        .groupBy(F.col("employee_id").alias("__id"))
+        .agg(F.min("username").alias("manager_username"))
     )
-    wanted = F.nullif(F.trim("manager_id"), F.lit(""))
-    return (
-        employees.withColumn("__id", wanted).join(ids, "__id", "left").select("username", "name", "manager_username")
+    staff = employees.groupBy("username").agg(
+        F.min_by(F.struct("name", "manager_id"), F.struct("employee_id", "name", "manager_id")).alias("__row")
     )
+    wanted = F.nullif(F.trim("__row.manager_id"), F.lit(""))
+    return lookup_join(
+        staff.select("username", F.col("__row.name").alias("name"), wanted.alias("__id")), ids, ["__id"]
+    ).select("username", "name", "manager_username")
 
 
 def manager_chain(employees: DataFrame, levels: int = 2, checkpoint_every: int = 4) -> DataFrame:
@@ -64,9 +79,8 @@ def approval_chain(requests: DataFrame, employees: DataFrame, designated_admin:
     level = F.col("security_level")
 
     def candidate(step: int, role: str, user: Column, applies: Column) -> Column:
-        present = applies & user.isNotNull() & (user != "")
         return F.when(
-            present,
+            applies & _present(user),
             F.struct(F.lit(step).alias("step_order"), F.lit(role).alias("approver_role"), user.alias("approver_username")),
         )
 
@@ -113,8 +127,7 @@ def admit_requests(requests: DataFrame, employees: DataFrame, designated_admin:
     """
     managers = manager_chain(employees, levels=1)
     routed = requests.join(managers, "username", "left")
-    has_owner = F.coalesce(F.col("table_owner") != "", F.lit(False))
-    has_approver = F.col("manager_1").isNotNull() | has_owner | (
+    has_approver = _present(F.col("manager_1")) | _present(F.col("table_owner")) | (
         (F.col("security_level") >= 3) & F.lit(bool(designated_admin))
     )
     note = F.when(F.col("security_level").isNull(), F.lit(NO_LEVEL)).when(~has_approver, F.lit(NO_APPROVER))
@@ -299,16 +312,61 @@ def escalation_rows(actions: DataFrame, steps: DataFrame, now) -> DataFrame:
     )
 
 
+def escalate(
+    steps: DataFrame,
+    employees: DataFrame,
+    now,
+    *,
+    remind_hours: float = REMIND_HOURS,
+    designated_admin: str = DESIGNATED_ADMIN,
+) -> DataFrame:
+    """The whole step table after escalation: late rows are escalated, their new approvers are added.
+
+    An escalated row is not open and a new one starts its time now, so a second
+    run at the same time changes nothing.
+    """
+    actions = sla_actions(steps, employees, now, remind_hours=remind_hours, designated_admin=designated_admin)
+    added = escalation_rows(actions, steps, now).withColumn(
+        "id", F.concat_ws("/", F.col("request_id").cast("string"), F.col("step_order").cast("string"), "approver_username")
+    )
+    waited = hours_between(as_timestamp(now), F.col("activated_at"))
+    late = F.coalesce(_is_open() & (waited >= remind_hours * ESCALATE_FACTOR), F.lit(False))
+    after = steps.withColumn("status", F.when(late, F.lit("escalated")).otherwise(F.col("status")))
+    return after.unionByName(
+        added.select(*[c if c in added.columns else F.lit(None).cast(steps.schema[c].dataType).alias(c) for c in steps.columns])
+    )
+
+
+def finalise(requests: DataFrame, steps: DataFrame, now) -> DataFrame:
+    """Requests with their final status: only pending ones change, and get ``decided_at``.
+
+    Requests without steps stay pending; a second run changes nothing.  The
+    rows with ``decided_at`` = now and status approved are those to grant.
+    """
+    before = requests if "decided_at" in requests.columns else requests.withColumn("decided_at", F.lit(None).cast("timestamp"))
+    pending = F.coalesce(F.col("status") == "pending", F.lit(False))
+    final = final_status(steps).where("status <> 'pending'").select(F.col("request_id").alias("id"), F.col("status").alias("__final"))
+    decided = lookup_join(before.where(pending), final, ["id"]).withColumns(
+        {
+            "status": F.coalesce("__final", "status"),
+            "decided_at": F.when(F.col("__final").isNotNull(), as_timestamp(now)).otherwise(F.col("decided_at")),
+        }
+    )
+    return before.where(~pending).unionByName(decided.select(*before.columns))
+
+
 def transfer_steps(steps: DataFrame, handover: DataFrame) -> DataFrame:
-    """Hand open steps over: ``handover`` has (from_user, to_user), one row per from_user.
+    """Hand open steps over: ``handover`` has (from_user, to_user); of several targets the least counts.
 
     Adds ``transfer``: "transferred"; "conflict" where the new approver is on
     that step already, or would be twice (the row stays as it is); null for
     rows not concerned.  Only the rows to move are compared with the others.
     """
     slot = ["request_id", "step_order", "__target"]
-    pairs = handover.where(F.col("from_user") != F.col("to_user")).select(
-        F.col("from_user").alias("approver_username"), F.col("to_user").alias("__target")
+    pairs = (
+        handover.where(F.col("from_user") != F.col("to_user"))
+        .groupBy(F.col("from_user").alias("approver_username"))
+        .agg(F.min("to_user").alias("__target"))
     )
     open_rows = steps.where(_is_open())
     moving = open_rows.join(pairs, "approver_username")
@@ -329,7 +387,7 @@ def transfer_steps(steps: DataFrame, handover: DataFrame) -> DataFrame:
 
 
 def requests_with_steps(requests: DataFrame, steps: DataFrame) -> DataFrame:
-    """Requests with their steps in order, one row per (request, step).
+    """Requests with their steps, one row per (request, step), in no order.
 
     The steps of a request stay rows: a request with very many of them is
     never gathered into one value, and the steps look their request up (not
@@ -343,15 +401,12 @@ def requests_with_steps(requests: DataFrame, steps: DataFrame) -> DataFrame:
     listed = lookup_join(children, parents.drop("__has_steps"), ["request_id"], "inner")
     lonely = parents.where(F.col("__has_steps").isNull()).drop("__has_steps")
     columns = [*parents.drop("__has_steps").columns, *own.values()]
-    return (
-        listed.unionByName(lonely, allowMissingColumns=True)
-        .select(*columns)
-        .orderBy(F.desc("request_id"), "step_order", "step_id")
-    )
+    return listed.unionByName(lonely, allowMissingColumns=True).select(*columns)
 
 
 def audit_page(requests: DataFrame, steps: DataFrame, limit: int = 200) -> DataFrame:
     """The newest requests with their steps."""
     page = requests.orderBy(F.desc("id")).limit(limit)
     wanted = page.select(F.col("id").alias("request_id"))
-    return requests_with_steps(page, rows_in(steps, wanted, ["request_id"]))
+    listed = requests_with_steps(page, rows_in(steps, wanted, ["request_id"]))
+    return listed.orderBy(F.desc("request_id"), "step_order", "step_id")

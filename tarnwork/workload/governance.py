@@ -306,6 +306,35 @@ def sla_new_steps(spark: SparkSession, sf: str) -> DataFrame:
     return approvals.escalation_rows(_sla(spark, sf), v.approval_steps(spark, sf), SLA_NOW)
 
 
+@query(
+    "steps_after_escalation",
+    f"""SELECT id, request_id, step_order, approver_username,
+        CASE WHEN id IN (SELECT step_id FROM v_sla WHERE action = 'escalate') THEN 'escalated' ELSE status END AS status, activated_at
+    FROM v_approval_steps
+    UNION ALL SELECT DISTINCT request_id || '/' || step_order || '/' || escalate_to, request_id, step_order, escalate_to,
+        'pending', TIMESTAMP '{SLA_NOW}'
+    FROM v_sla a WHERE action = 'escalate' AND NOT EXISTS (SELECT 1 FROM v_approval_steps s
+        WHERE s.request_id = a.request_id AND s.step_order = a.step_order AND s.approver_username = a.escalate_to)""",
+)
+def steps_after_escalation(spark: SparkSession, sf: str) -> DataFrame:
+    return approvals.escalate(v.approval_steps(spark, sf), v.employees(spark, sf), SLA_NOW)
+
+
+@query(
+    "requests_finalised",
+    f"""SELECT id, username, table_fqn, coalesce(security_level, 0) AS security_level, table_owner,
+        CASE WHEN security_level IS NULL OR n IS NULL THEN 'rejected' ELSE coalesce(f.status, 'pending') END AS status,
+        CASE WHEN security_level IS NULL THEN 'security level unknown' WHEN n IS NULL THEN 'no approver' END AS note,
+        CASE WHEN security_level IS NOT NULL AND n IS NOT NULL AND f.status <> 'pending' THEN TIMESTAMP '{SLA_NOW}' END AS decided_at
+    FROM v_table_requests LEFT JOIN (SELECT request_id AS id, count(*) AS n FROM v_listed GROUP BY 1) USING (id)
+    LEFT JOIN (SELECT request_id AS id, status FROM v_final) f USING (id)""",
+)
+def requests_finalised(spark: SparkSession, sf: str) -> DataFrame:
+    """New requests after all decisions on their steps."""
+    admitted = approvals.admit_requests(v.table_requests(spark, sf), v.employees(spark, sf))
+    return approvals.finalise(admitted, v.approval_steps(spark, sf), SLA_NOW)
+
+
 _STEP_LIST = """
 SELECT r.id AS request_id, username, table_fqn, security_level, table_owner, requested_at,
     s.id AS step_id, s.step_order, s.approver_username, s.status AS step_status,

@@ -377,3 +377,53 @@ def test_external_decisions(spark):
     outcome, df = decide(spark, df, (1, None, "approved"), (2, None, "approved"), external=True)
     assert outcome == {1: "applied", 2: "forbidden"}
     assert dict(tuples(approvals.final_status(df))) == {1: "approved", 2: "pending"}
+
+
+def test_duplicate_staff_and_blank_managers(spark):
+    import random
+
+    order = random.Random(3)
+    staff = [(f"E{order.randrange(40)}", order.choice(["", *(f"u{k}" for k in range(30))]), order.choice(["", None, *(f"E{k}" for k in range(45))])) for _ in range(120)]
+    employees = spark.createDataFrame([(i, u, u, "", "", "", m) for i, u, m in staff], "employee_id string, username string, name string, email string, department string, title string, manager_id string")
+    requests = spark.createDataFrame(
+        [(k, f"u{k % 35}", "demo.t", order.choice([1, 2, 3, None]), order.choice(["", None, "owner"])) for k in range(200)],
+        "id long, username string, table_fqn string, security_level int, table_owner string",
+    )
+    admitted = approvals.admit_requests(requests, employees)
+    assert admitted.count() == 200
+    chain = approvals.approval_chain(requests, employees)
+    assert chain.groupBy("request_id", "step_order", "approver_username").count().where("count > 1").count() == 0
+    with_step = {r.request_id for r in chain.select("request_id").distinct().collect()}
+    assert {r.id for r in admitted.where("status = 'pending'").collect()} == with_step
+
+
+def test_escalation_and_final_status_are_stable(spark):
+    from datetime import datetime
+
+    steps = spark.createDataFrame(
+        [
+            ("1/1/a", 1, 1, "a", "pending", datetime(2026, 1, 1)),
+            ("2/1/a", 2, 1, "a", "approved", datetime(2026, 1, 1)),
+            ("3/1/b", 3, 1, "b", "pending", datetime(2026, 1, 9, 12)),
+        ],
+        "id string, request_id int, step_order int, approver_username string, status string, activated_at timestamp",
+    )
+    employees = spark.createDataFrame([("E1", "a", "a", "E2"), ("E2", "boss", "boss", "")], "employee_id string, username string, name string, manager_id string")
+    once = approvals.escalate(steps, employees, "2026-01-10")
+    rows = sorted((r.id, r.status) for r in once.collect())
+    assert rows == [("1/1/a", "escalated"), ("1/1/boss", "pending"), ("2/1/a", "approved"), ("3/1/b", "pending")]
+    assert sorted((r.id, r.status) for r in approvals.escalate(once, employees, "2026-01-10").collect()) == rows
+    requests = spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "rejected"), (4, "pending")], "id int, status string")
+    final = approvals.finalise(requests, once, "2026-01-10")
+    rows = sorted((r.id, r.status, r.decided_at is not None) for r in final.collect())
+    assert rows == [(1, "pending", False), (2, "approved", True), (3, "rejected", False), (4, "pending", False)]
+    assert sorted((r.id, r.status, r.decided_at is not None) for r in approvals.finalise(final, once, "2026-01-11").collect()) == rows
+
+
+def test_two_targets_for_one_person_move_a_step_once(spark):
+    steps = spark.createDataFrame(
+        [("s1", 1, 1, "a", "pending"), ("s2", 2, 1, "b", "pending")], "id string, request_id int, step_order int, approver_username string, status string"
+    )
+    handover = spark.createDataFrame([("a", "y"), ("a", "x")], "from_user string, to_user string")
+    rows = sorted((r.id, r.approver_username, r.transfer) for r in approvals.transfer_steps(steps, handover).collect())
+    assert rows == [("s1", "x", "transferred"), ("s2", "b", None)]

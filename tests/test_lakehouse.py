@@ -203,3 +203,41 @@ def test_json_documents(spark, tmp_path):
 def test_work_folder_is_the_session_setting(spark):
     assert spark.conf.get("spark.checkpoint.dir").rstrip("/") == work_dir(spark)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_refresh_may_read_the_table_it_replaces(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarnwork.sinks import tables as sinks
+
+    path = str(tmp_path / "t")
+    sinks.full_refresh(spark.range(10), path)
+    for _ in range(2):
+        sinks.full_refresh(spark.read.parquet(path).withColumn("id", F.col("id") + 1), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(2, 12))
+    with pytest.raises(Exception):
+        sinks.full_refresh(spark.read.parquet(path).withColumn("id", F.raise_error(F.lit("broken")).cast("long")), path)
+    assert spark.read.parquet(path).count() == 10
+    assert [p.name for p in tmp_path.iterdir() if ".old-" in p.name] == []
+
+
+def test_unchanged_columns_never_drop_the_table(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarnwork.sinks import tables as sinks
+
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS keep_demo LOCATION '{tmp_path}/schema'")
+    first = spark.range(5).select(F.col("id").alias("n"))  # not nullable
+    sinks.create_or_replace(first, "keep_demo.t", str(tmp_path / "rows"))
+    spark.sql("ALTER TABLE keep_demo.t SET TBLPROPERTIES ('mark' = 'kept')")
+    sinks.create_or_replace(spark.table("keep_demo.t").agg(F.sum("n").alias("n")), "keep_demo.t", str(tmp_path / "rows"))
+    assert [r.n for r in spark.table("keep_demo.t").collect()] == [10]
+    assert "kept" in str(spark.sql("SHOW TBLPROPERTIES keep_demo.t").collect())
+
+
+def test_length_out_of_range_is_an_error_of_the_contract(spark):
+    from tarnwork.plans import contracts
+
+    df = spark.createDataFrame([(1, "a VARCHAR(9999999999)"), (2, "a VARCHAR(10)"), (3, "a VARCHAR")], "id int, contract string")
+    checked = contracts.check_contracts(df, "contract")
+    assert {r.id: r.error and r.error.reason for r in checked.collect()} == {1: contracts.BAD_LENGTH, 2: None, 3: None}

@@ -141,3 +141,36 @@ def test_as_of_groups_stay_small(spark, hot_requests):
         ["username"], spine_time="ts", feature_time="ts", tiebreak=["fid"], payload=["fid"], slice_seconds=day,
     )
     assert joined.where(~F.col("id").eqNullSafe(F.col("fid"))).count() == 0
+
+
+def test_default_slices_split_a_burst_and_leave_null_keys_out(spark):
+    """Half of the rows are of one key within one hour, a quarter has no key; nothing is set by hand."""
+    import inspect
+
+    from tarnwork.functions.times import slice_of
+    from tarnwork.operators.ordered import MINUTE
+    from tarnwork.plans import access, features
+    from tarnwork.session import cut_lineage
+
+    for function in (as_of_join, access.with_grant, access.access_decisions, features.historical_features):
+        assert inspect.signature(function).parameters["slice_seconds"].default == MINUTE
+    n = 8000
+    rows = spark.range(n).select(
+        "id",
+        F.when(F.col("id") < n // 2, "hot").when(F.col("id") < 3 * n // 4, F.concat(F.lit("k"), F.col("id") % 50)).alias("username"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.when(F.col("id") < n // 2, F.col("id") % 3600).otherwise(F.col("id") * 60)).alias("ts"),
+    )
+    rows = cut_lineage(rows)
+    groups = rows.where("username is not null").groupBy("username", slice_of(F.col("ts"), MINUTE)).count()
+    assert groups.agg(F.max("count")).first()[0] <= n // 2 // 60 * 2
+    joined = as_of_join(
+        rows, rows.select("username", "ts", F.col("id").alias("fid")),
+        ["username"], spine_time="ts", feature_time="ts", tiebreak=["fid"], payload=["fid"],
+    )
+    assert joined.count() == n
+    assert joined.where("username is null and fid is not null").count() == 0
+    assert joined.where("username is not null and fid is null").count() == 0
+    # The rows without a key come in by a union above the window, not through its exchange.
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "isnotnull(username" in window
