@@ -168,7 +168,9 @@ class Restorer:
         chunks = low.split()
         found = set(chunks)
         if sum(map((1).__eq__, map(len, chunks))) >= 4:
-            found.update(m.group() for m in _APART.finditer(low))
+            for run in _APART.finditer(low):
+                # A word of one letter may stand before or behind the word that is set apart.
+                found.update((run.group(), run.group()[2:], run.group()[:-2], run.group()[2:-2]))
         return found
 
     def words(self, token: str) -> list[str]:

@@ -44,6 +44,7 @@ def test_pipeline_on_odd_rows(spark, odd, clashing):
     got = corpus_pipeline.run(spark, odd)
     ids = [r.doc_id for r in got.select("doc_id").collect()]
     assert got.where("not round_trip").count() == 0
+    assert [r.text for r in got.where("doc_id = 19").collect()] == [corpus_pipeline.MARK + '"']
     assert ids.count(None) == 2  # nothing is known against rows without an id
     assert len([i for i in ids if i is not None and 100 <= i < 140]) <= 1
     assert set(corpus_pipeline.run(spark, clashing).columns) >= set(got.columns)

@@ -135,6 +135,13 @@ def test_near_duplicates(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_small_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    texts = mixed_texts(5)
+    rows = neardup.near_duplicates(frame(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_components(texts)
+
+
 def test_chain_of_near_duplicates_and_unlinked_bucket_members(spark):
     words = prose(12, 400).split()
     texts = {}
