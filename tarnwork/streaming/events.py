@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tarnwork.operators.keyed import salted_lookup
@@ -47,6 +48,50 @@ def deduplicated(events: DataFrame, key: str = "event_id", watermark: str = WATE
     return events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([key])
 
 
+def start_distinct(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    key: str = "event_id",
+    time: str = "event_time",
+    available_now: bool = False,
+    interval: str = COMMIT_INTERVAL,
+) -> StreamingQuery:
+    """Append every (key, day) once to a folder partitioned by day, however the log is cut into batches.
+
+    ``deduplicated`` forgets keys and drops first arrivals behind its watermark,
+    which suits a window after it but not a detail table.  Here a batch is
+    reduced to one row per key and compared with the table's rows of the same
+    days, so late rows are kept and a repeat is found whenever it comes.  A batch
+    that runs again after a failure finds its own rows and adds nothing.
+    """
+    schema = T.StructType([*stream.schema.fields, T.StructField("event_date", T.DateType())])
+    spark = stream.sparkSession
+    spark.createDataFrame([], schema).write.mode("append").partitionBy("event_date").parquet(path)
+
+    def add_new(batch: DataFrame, number: int) -> None:
+        rest = [time, *(c for c in batch.columns if c not in (key, time))]
+        once = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(key, "__row.*")
+        once = once.withColumn("event_date", F.to_date(time)).persist()
+        try:
+            days = once.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last")).first()
+            if days.first is None:
+                return
+            table = batch.sparkSession.read.schema(schema).parquet(path)
+            known = table.where(F.col("event_date").between(days.first, days.last)).select(
+                F.col(key).alias("__key"), F.col("event_date").alias("__date")
+            )
+            same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("event_date") == F.col("__date"))
+            fresh = once.join(known, same, "left_anti").select(*schema.fieldNames())
+            fresh.write.mode("append").partitionBy("event_date").parquet(path)
+        finally:
+            once.unpersist()
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    return stream.writeStream.foreachBatch(add_new).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def enriched(events: DataFrame, snapshot: DataFrame, key: str = "device_id", salts: int = 8) -> DataFrame:
     """Live events with the snapshot values of their key; unknown keys give nulls.
 
