@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm.common import longs, strings, texts_of, with_columns
 
-KEPT_MATCHES = 400_000
+KEPT_MATCHES = 200_000
 
 
 def byte_characters() -> str:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tarnwork.session import configure
 
-ROWS_PER_BATCH = 1000
-BYTES_PER_BATCH = 16 << 20
+ROWS_PER_BATCH = 500
+BYTES_PER_BATCH = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -107,7 +107,7 @@ def longs(values) -> pa.Array:
 class Hashes(dict):
     """64-bit hashes of words, each computed once; starts anew when it has grown large."""
 
-    LARGEST = 300_000
+    LARGEST = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -55,7 +55,7 @@ LONGEST_TOKEN = 40
 
 PREFIXES = (4, 5, 6, 7, 8)
 TRAIN_PER_CLASS = 5000
-KNOWN_TOKENS = 300_000
+KNOWN_TOKENS = 100_000
 LEAST_TEXTS = 5
 LEAST_LEAN = 3.0
 STRONGEST = 8
@@ -334,5 +334,6 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text", out: str = "score
         own = shared.value
         for batch in batches:
             yield {out: pa.array([own.score(t) for t in texts_of(batch.column(text))], pa.float64())}
+        own.known.clear()  # the worker keeps the scorer for its next tasks, and perhaps another one beside it
 
     return with_columns(docs, f"`{out}` double", run)
