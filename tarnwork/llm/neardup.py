@@ -11,9 +11,9 @@ with a common key form a bucket; each is paired with the least one of its bucket
 so a bucket of any size gives as many pairs as members.  A pair's registers
 estimate its Jaccard similarity, corrected for the registers that agree by
 chance; clear misses are dropped and the rest verified on the full sets.
-Where a member is not linked with the least one of its bucket, it is paired with
-the other members that are not in its component yet, and verified too: after
-that every bucket is either one component or has no unseen link.
+Where a bucket still has members of different components, these are compared in
+blocks, registers first and then full sets: after that every bucket is either one
+component or has no unseen link.
 
 A pair with similarity ``LEAST`` is in no common bucket with probability
 (1 - 0.75 ** ROWS) ** BANDS, less than one in a million; more similar ones are
@@ -42,6 +42,7 @@ ROWS = 5
 BANDS = 56
 MANTISSA = 10
 LEAST_PERCENT = 75
+BLOCK = 2048
 CHANCE = 0.72  # mean width of a register relative to its value, times 2 ** MANTISSA
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -182,9 +183,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame, rows: int, bands: int) -> Data
     return found.dropDuplicates(["f1", "f2"])
 
 
+def slack_of(registers_in_all: int) -> float:
+    """Six standard deviations of an estimate from so many registers at the threshold."""
+    return 6 * (0.25 * 0.75 / registers_in_all) ** 0.5
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, registers_in_all: int) -> DataFrame:
     """(c1, c2, f1, f2, linked) of every pair; sets travel with the pairs, so that no class gathers its partners."""
-    slack = 6 * (0.25 * 0.75 / registers_in_all) ** 0.5
+    slack = slack_of(registers_in_all)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,19 +218,80 @@ def _links(judged: DataFrame) -> DataFrame:
     return judged.where("linked").select(_node("c1", "c2").alias("u"), _node("f1", "f2").alias("v"))
 
 
-def rest_pairs(own: DataFrame, judged: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of a bucket that stars have not settled: unlinked members with all members of other components."""
-    unlinked = judged.where(~F.col("linked")).select("c1", "c2", "f1", "f2")
-    odd = own.join(unlinked, ["c1", "c2", "f1", "f2"]).select("key", F.col("f1").alias("o1"), F.col("f2").alias("o2"))
-    pairs = odd.join(own.select("key", "f1", "f2"), "key").where("o1 != f1 or o2 != f2")
-    swap = (F.col("o1") > F.col("f1")) | ((F.col("o1") == F.col("f1")) & (F.col("o2") > F.col("f2")))
-    low, high = F.when(swap, _node("f1", "f2")).otherwise(_node("o1", "o2")), F.when(swap, _node("o1", "o2")).otherwise(_node("f1", "f2"))
-    pairs = pairs.select(low.alias("u"), high.alias("v")).distinct()
-    for side in ("u", "v"):
-        known = components.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-        pairs = lookup_join(pairs, known, [side], "left")
-    pairs = pairs.where(~F.col("of_u").eqNullSafe(F.col("of_v")) | F.col("of_u").isNull())
-    return pairs.select(F.col("u.f1").alias("c1"), F.col("u.f2").alias("c2"), F.col("v.f1").alias("f1"), F.col("v.f2").alias("f2"))
+def _close_pairs(batches: Iterator[pa.RecordBatch], rows: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block group with different components whose registers do not rule the link out.
+
+    Rows come sorted by (key, low, high).  A pair with several common bands is given out in
+    the first of them only.  Sizes within a group are bound by ``BLOCK``.
+    """
+    names = ["c1", "c2", "f1", "f2"]
+    held: list[dict] = []
+    group: tuple | None = None
+
+    def pairs() -> pa.RecordBatch:
+        out: list[tuple[int, int, int, int]] = []
+        _, low, high = group
+        regs = np.frombuffer(b"".join(r["registers"] for r in held), np.uint16).reshape(len(held), -1)
+        bands = regs.reshape(len(held), -1, rows)
+        own = int(np.flatnonzero(band_keys(regs[0], rows) == group[0])[0])
+        sizes = np.array([r["size"] for r in held], np.float64)
+        part = np.unique([(r["component"]["f1"], r["component"]["f2"]) for r in held], axis=0, return_inverse=True)[1].reshape(-1)
+        block = np.array([r["block"] for r in held])
+        for i in range(len(held) - 1):
+            there = np.arange(i + 1, len(held))
+            there = there[(part[there] != part[i]) & ((block[there] != block[i]) | (low == high))]
+            there = there[np.minimum(sizes[there], sizes[i]) >= least * np.maximum(sizes[there], sizes[i])]
+            if not len(there):
+                continue
+            equal = bands[there] == bands[i]
+            agree = equal.mean(axis=(1, 2))
+            chance = CHANCE / 2**MANTISSA * sizes[there] * sizes[i] / (sizes[there] + sizes[i]) ** 2
+            near = (agree - chance) / (1 - chance) >= least
+            first = equal.all(axis=2).argmax(axis=1)
+            for j in there[near & (first == own)].tolist():
+                a, b = ((held[k]["f1"], held[k]["f2"]) for k in (i, j))
+                out.append((*min(a, b), *max(a, b)))
+        return pa.RecordBatch.from_arrays([longs([o[k] for o in out]) for k in range(4)], names=names)
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = (row["key"], row["low"], row["high"])
+            if now != group:
+                if len(held) > 1:
+                    yield pairs()
+                held, group = [], now
+            held.append(row)
+    if len(held) > 1:
+        yield pairs()
+
+
+def rest_pairs(own: DataFrame, sets: DataFrame, components: DataFrame, rows: int, least: float) -> DataFrame:
+    """Pairs that stars have not settled: members of one bucket in different components.
+
+    Buckets of one component are left out.  The members of the others meet with
+    their registers in groups of two blocks of about ``BLOCK`` members, so a
+    large bucket is many groups of bounded size, and only pairs whose registers
+    come close become rows.
+    """
+    members = own.select("key", _node("f1", "f2").alias("node")).unionByName(
+        own.select("key", _node("c1", "c2").alias("node")).distinct()
+    )
+    members = lookup_join(members, components, ["node"], "left").withColumn("component", F.coalesce("component", "node"))
+    mixed_keys = (
+        members.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most"))
+        .where(F.col("least") != F.col("most"))
+        .select("key", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    )
+    sized = lookup_join(members, mixed_keys, ["key"], "inner").select(
+        "key", "blocks", "node.f1", "node.f2", "component", F.pmod("node.f1", F.col("blocks").cast("long")).cast("int").alias("block")
+    )
+    looks = sets.select("f1", "f2", "registers", (F.length("shingles") / 8).cast("long").alias("size"))
+    met = lookup_join(sized, looks, ["f1", "f2"], "inner").select(
+        "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
+    dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "f1", "f2")
+    return dealt.mapInArrow(lambda batches: _close_pairs(batches, rows, least), "c1 long, c2 long, f1 long, f2 long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -252,7 +319,8 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = R
     links = _links(stars)
     components = connected(links)
     if not stars.where(~F.col("linked")).isEmpty():
-        more = cut_lineage(verified(rest_pairs(own, stars, components), sets, percent, rows * bands).where("linked"))
+        rest = rest_pairs(own, sets, components, rows, percent / 100 - slack_of(rows * bands))
+        more = cut_lineage(verified(rest, sets, percent, rows * bands).where("linked"))
         if not more.isEmpty():
             components = connected(
                 components.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_links(more))
