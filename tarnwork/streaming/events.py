@@ -83,7 +83,7 @@ def start_distinct(
                 F.col(key).alias("__key"), F.col("event_date").alias("__date")
             )
             same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("event_date") == F.col("__date"))
-            fresh = once.join(known, same, "left_anti").select(*schema.fieldNames())
+            fresh = once.join(known, same, "left_anti").select(*schema.fieldNames()).hint("rebalance", "event_date")
             fresh.write.mode("append").partitionBy("event_date").parquet(path)
         finally:
             once.unpersist()
