@@ -42,7 +42,7 @@ ROWS = 5
 BANDS = 56
 MANTISSA = 10
 LEAST_PERCENT = 75
-BLOCK = 2048
+BLOCK = 4096
 CHANCE = 0.72  # mean width of a register relative to its value, times 2 ** MANTISSA
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -214,15 +214,15 @@ def _node(first: str, second: str) -> Column:
     return F.struct(F.col(first).alias("f1"), F.col(second).alias("f2"))
 
 
-def _links(judged: DataFrame) -> DataFrame:
-    return judged.where("linked").select(_node("c1", "c2").alias("u"), _node("f1", "f2").alias("v"))
+def _as_links(pairs: DataFrame) -> DataFrame:
+    return pairs.select(_node("c1", "c2").alias("u"), _node("f1", "f2").alias("v"))
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch], rows: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block group with different components whose registers do not rule the link out.
+def _links_between(batches: Iterator[pa.RecordBatch], rows: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of one block group between different components: registers first, then the full sets.
 
-    Rows come sorted by (key, low, high).  A pair with several common bands is given out in
-    the first of them only.  Sizes within a group are bound by ``BLOCK``.
+    Rows come sorted by (key, low, high).  A pair with several common bands is verified in
+    the first of them only.  The members of a group are bound by ``BLOCK``.
     """
     names = ["c1", "c2", "f1", "f2"]
     held: list[dict] = []
@@ -234,13 +234,15 @@ def _close_pairs(batches: Iterator[pa.RecordBatch], rows: int, least: float) ->
         regs = np.frombuffer(b"".join(r["registers"] for r in held), np.uint16).reshape(len(held), -1)
         bands = regs.reshape(len(held), -1, rows)
         own = int(np.flatnonzero(band_keys(regs[0], rows) == group[0])[0])
-        sizes = np.array([r["size"] for r in held], np.float64)
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in held]
+        sizes = np.array([len(s) for s in sets], np.float64)
+        least = percent / 100 - slack_of(regs.shape[1])
         part = np.unique([(r["component"]["f1"], r["component"]["f2"]) for r in held], axis=0, return_inverse=True)[1].reshape(-1)
         block = np.array([r["block"] for r in held])
         for i in range(len(held) - 1):
             there = np.arange(i + 1, len(held))
             there = there[(part[there] != part[i]) & ((block[there] != block[i]) | (low == high))]
-            there = there[np.minimum(sizes[there], sizes[i]) >= least * np.maximum(sizes[there], sizes[i])]
+            there = there[100 * np.minimum(sizes[there], sizes[i]) >= percent * np.maximum(sizes[there], sizes[i])]
             if not len(there):
                 continue
             equal = bands[there] == bands[i]
@@ -249,6 +251,8 @@ def _close_pairs(batches: Iterator[pa.RecordBatch], rows: int, least: float) ->
             near = (agree - chance) / (1 - chance) >= least
             first = equal.all(axis=2).argmax(axis=1)
             for j in there[near & (first == own)].tolist():
+                if not similar(sets[i], sets[j], percent):
+                    continue
                 a, b = ((held[k]["f1"], held[k]["f2"]) for k in (i, j))
                 out.append((*min(a, b), *max(a, b)))
         return pa.RecordBatch.from_arrays([longs([o[k] for o in out]) for k in range(4)], names=names)
@@ -265,13 +269,12 @@ def _close_pairs(batches: Iterator[pa.RecordBatch], rows: int, least: float) ->
         yield pairs()
 
 
-def rest_pairs(own: DataFrame, sets: DataFrame, components: DataFrame, rows: int, least: float) -> DataFrame:
-    """Pairs that stars have not settled: members of one bucket in different components.
+def rest_links(own: DataFrame, sets: DataFrame, components: DataFrame, rows: int, percent: int) -> DataFrame:
+    """Links that stars have not found: members of one bucket in different components.
 
     Buckets of one component are left out.  The members of the others meet with
-    their registers in groups of two blocks of about ``BLOCK`` members, so a
-    large bucket is many groups of bounded size, and only pairs whose registers
-    come close become rows.
+    their registers and sets in groups of two blocks of about ``BLOCK`` members, so
+    a large bucket is many groups of bounded size, and only links become rows.
     """
     members = own.select("key", _node("f1", "f2").alias("node")).unionByName(
         own.select("key", _node("c1", "c2").alias("node")).distinct()
@@ -286,12 +289,11 @@ def rest_pairs(own: DataFrame, sets: DataFrame, components: DataFrame, rows: int
     sized = lookup_join(members, mixed_keys, ["key"], "inner").select(
         "key", "blocks", "node.f1", "node.f2", "component", F.pmod("node.f1", F.col("blocks").cast("long")).cast("int").alias("block")
     )
-    looks = sets.select("f1", "f2", "registers", (F.length("shingles") / 8).cast("long").alias("size"))
-    met = lookup_join(sized, looks, ["f1", "f2"], "inner").select(
+    met = lookup_join(sized, sets.select("f1", "f2", "registers", "shingles"), ["f1", "f2"], "inner").select(
         "*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     ).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
     dealt = met.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "f1", "f2")
-    return dealt.mapInArrow(lambda batches: _close_pairs(batches, rows, least), "c1 long, c2 long, f1 long, f2 long")
+    return dealt.mapInArrow(lambda batches: _links_between(batches, rows, percent), "c1 long, c2 long, f1 long, f2 long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -316,14 +318,12 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = R
     full_sets(docs, ends.join(classes, ["f1", "f2"]), rows, bands).write.parquet(set_path)
     sets = spark.read.parquet(set_path)
     stars = cut_lineage(verified(own.select("c1", "c2", "f1", "f2").distinct(), sets, percent, rows * bands))
-    links = _links(stars)
-    components = connected(links)
+    components = connected(_as_links(stars.where("linked")))
     if not stars.where(~F.col("linked")).isEmpty():
-        rest = rest_pairs(own, sets, components, rows, percent / 100 - slack_of(rows * bands))
-        more = cut_lineage(verified(rest, sets, percent, rows * bands).where("linked"))
+        more = cut_lineage(rest_links(own, sets, components, rows, percent))
         if not more.isEmpty():
             components = connected(
-                components.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_links(more))
+                components.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_as_links(more))
             )
     member = components.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), "component")
     with_component = classes.join(member, ["f1", "f2"], "left").withColumn("component", F.coalesce("component", _node("f1", "f2")))
