@@ -24,7 +24,7 @@ MARK = "[secret]"
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the score rejects go.  The score is learned from the training folds of ``labels``."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.select("*", F.col("text").alias("__text")), scorer, text="__text", out="__score")
+    scored = toxicity.score(docs, scorer, out="__score")
     return scored.where("__score < 0.5").select(*(f"`{c}`" for c in docs.columns))
 
 
