@@ -177,10 +177,11 @@ def span_features(text: str, start: int, end: int) -> tuple | None:
     )
 
 
-def candidates(text: str, toks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(first token, token behind the last) and the features of every possible entity of a zone."""
+def candidates(text: str, toks: list[tuple[int, int]], first_token: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, token behind the last) and the features of every possible entity of a zone that starts in a range."""
     places, rows = [], []
-    for i, (start, _) in enumerate(toks):
+    for i in range(first_token, len(toks) if stop is None else min(stop, len(toks))):
+        start = toks[i][0]
         if text[start] in " )":
             continue
         letters = digits = at = 0
@@ -266,43 +267,39 @@ def train(texts: list[str]) -> np.ndarray:
 def decode(text: str, weights: np.ndarray) -> list[Span]:
     """The best segmentation's entities.
 
-    A zone longer than ``ZONE_TOKENS`` is decoded in overlapping parts of that
-    length; an entity is at most ``LONGEST`` tokens long, so each one lies in
-    the middle of some part.
+    The recursion runs over the whole zone; only the features are computed for
+    ``ZONE_TOKENS`` starts at a time, so their memory has a bound.
     """
-    found: set[Span] = set()
+    found: list[Span] = []
     for start, end in zones(text):
-        every = tokens(text, start, end)
-        step = ZONE_TOKENS - 2 * LONGEST
-        for at in range(0, max(1, len(every) - 2 * LONGEST), step):
-            toks = every[at : at + ZONE_TOKENS]
-            places, rows = candidates(text, toks)
-            if not len(places):
-                continue
-            scores = rows @ weights - MARGIN
-            kinds, best = scores.argmax(axis=1), scores.max(axis=1)
-            value, back = [0.0] * (len(toks) + 1), [-1] * (len(toks) + 1)
-            ends: list[list[int]] = [[] for _ in range(len(toks) + 1)]
-            for c, (_, j) in enumerate(places):
-                ends[j].append(c)
-            for t in range(1, len(toks) + 1):
+        toks = tokens(text, start, end)
+        n = len(toks)
+        value, back = [0.0] * (n + 1), [(-1, -1)] * (n + 1)  # start and kind of the best entity that ends here
+        ends: dict[int, list[tuple[int, int, float]]] = {}
+        for at in range(0, n, ZONE_TOKENS):
+            stop = min(n, at + ZONE_TOKENS)
+            places, rows = candidates(text, toks, at, stop)
+            if len(places):
+                scores = rows @ weights - MARGIN
+                own = zip(places.tolist(), scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True)
+                for (i, j), kind, best in own:
+                    ends.setdefault(j, []).append((i, kind, best))
+            # What ends up to ``stop`` starts before it.
+            for t in range(at + 1, stop + 1):
                 value[t] = value[t - 1]
-                for c in ends[t]:
-                    score = value[places[c][0]] + best[c]
+                for i, kind, best in ends.pop(t, ()):
+                    score = value[i] + best
                     if score > value[t]:
-                        value[t], back[t] = score, c
-            t = len(toks)
-            while t > 0:
-                c = back[t]
-                if c < 0:
-                    t -= 1
-                    continue
-                i, j = places[c]
-                inner = (at == 0 or i >= LONGEST) and (at + ZONE_TOKENS >= len(every) or j <= ZONE_TOKENS - LONGEST)
-                if inner:
-                    found.add((toks[i][0], toks[j - 1][1], KINDS[kinds[c]]))
-                t = int(i)
-    return ordered(list(found))
+                        value[t], back[t] = score, (i, kind)
+        t = n
+        while t > 0:
+            i, kind = back[t]
+            if i < 0:
+                t -= 1
+                continue
+            found.append((toks[i][0], toks[t - 1][1], KINDS[kind]))
+            t = i
+    return ordered(found)
 
 
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:

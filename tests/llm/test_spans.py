@@ -118,6 +118,33 @@ def test_field_learns_spans_and_sums_to_one():
     assert np.isclose(total, np.log(np.sum(np.exp(list(every(0))))))
 
 
+def uncut(text, weights):
+    """The best segmentation of a text that is one zone, from all candidates at once."""
+    toks = pii.tokens(text, 0, len(text))
+    places, rows = pii.candidates(text, toks)
+    scores = rows @ weights - pii.MARGIN
+    best = [(0.0, ())]
+    for t in range(1, len(toks) + 1):
+        best.append(best[-1])
+        for c in np.flatnonzero(places[:, 1] == t):
+            value, spans = best[places[c, 0]]
+            if value + scores[c].max() > best[t][0]:
+                best[t] = value + scores[c].max(), (*spans, (toks[places[c, 0]][0], toks[t - 1][1], pii.KINDS[scores[c].argmax()]))
+    return list(best[-1][1])
+
+
+def test_entities_at_every_place_of_a_long_zone():
+    weights = pii.train(samples(150, 3))
+    entity, junk = "ann.42@mail7.example.com", "7;" * 250
+    assert len(pii.tokens(junk, 0, len(junk))) == 500 and list(pii.zones(junk)) == [(0, len(junk))]
+    for at in range(0, len(junk), 2):
+        text = junk[:at] + entity + ";" + junk[at:]
+        found = pii.decode(text, weights)
+        assert (at, at + len(entity), "email") in found
+        if at % 16 == 0:
+            assert found == uncut(text, weights)
+
+
 def test_network_finds_what_the_patterns_miss():
     order = random.Random(5)
     key = lambda n: "".join(order.choice("0123456789abcdef") for _ in range(n))
