@@ -16,6 +16,11 @@ and streams them through backward search.  The interval of a window holds all it
 occurrences; the least place among them is its first one.  Any other occurrence
 is removed.
 
+*Hot minimizers.*  Where the distinct segments of a minimizer have more than
+``WORDS_PER_INDEX`` words, they are taken apart into windows, which are dealt out
+by their own hash and streamed in sorted order: the first of equal windows stays.
+So an index holds less than twice ``WORDS_PER_INDEX`` words.
+
 Words are runs without ASCII white space, compared as they are (by 64-bit
 hashes).  ``doc_id`` names a text: rows that repeat a row are the same places and
 keep the same words.  Null ids are compared with nothing, null texts have no words.
@@ -27,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +47,7 @@ WORDS_PER_PART = 1 << 20
 WORDS_PER_INDEX = 400_000
 LENGTH_BITS = 6
 EARLY = 1 << (LENGTH_BITS - 1)  # marks a segment that is known to be a copy
+SEGMENT, SINGLE, KNOWN_COPY = range(3)  # kinds of rows: for an index, one window, one window that is a copy
 
 
 def _factors(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,6 +266,47 @@ def spelled(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     return joined.mapInArrow(run, "minimizer long, doc long, start long, words binary").dropDuplicates(["minimizer", "doc", "start"])
 
 
+def shards(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(kind, minimizer, doc, start, words): segments for the indexes, and windows of hot minimizers.
+
+    A window has its own hash as ``minimizer`` and no words.  Of equal windows in
+    an Arrow batch only the earliest has to travel to its group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kind", "minimizer", "doc", "start", "words"]
+        for batch in batches:
+            hot = batch.column("hot").is_valid()
+            cold = batch.filter(pa.compute.invert(hot))
+            if cold.num_rows:
+                kind = pa.array(np.full(cold.num_rows, SEGMENT, np.int32))
+                yield pa.RecordBatch.from_arrays([kind, *(cold.column(c) for c in names[1:])], names=names)
+            batch = batch.filter(hot)
+            if not batch.num_rows:
+                continue
+            own = [grams(np.frombuffer(w, np.uint64), window) for w in batch.column("words").to_pylist()]
+            sizes = np.array([len(x) for x in own])
+            ends = np.cumsum(sizes)
+            key = np.concatenate(own)
+            doc = np.repeat(batch.column("doc").to_numpy(), sizes)
+            start = np.repeat(batch.column("start").to_numpy() - (ends - sizes), sizes) + np.arange(len(key))
+            order = np.lexsort((start, doc, key))
+            key, doc, start = key[order], doc[order], start[order]
+            copy = np.concatenate(([False], key[1:] == key[:-1]))
+            key = np.where(copy, mixed(doc.astype(np.uint64) * np.uint64(31) + start.astype(np.uint64)), key)
+            kind = pa.array(np.where(copy, KNOWN_COPY, SINGLE).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [kind, longs(key.view(np.int64)), longs(doc), longs(start), pa.nulls(len(key), pa.binary())], names=names
+            )
+
+    size = F.col("place").bitwiseAND(F.lit(EARLY - 1)) + F.lit(window - 1)
+    sizes = wanted.groupBy("minimizer").agg(F.sum(size).alias("n")).where(F.col("n") > WORDS_PER_INDEX)
+    # At most one row for each WORDS_PER_INDEX words of the corpus.
+    hot = F.broadcast(sizes.select(F.col("minimizer").alias("hot")))
+    rows = spelled(texts, wanted, window).join(hot, F.col("minimizer") == F.col("hot"), "left")
+    return rows.mapInArrow(run, "kind int, minimizer long, doc long, start long, words binary")
+
+
 def repeated_windows(doc: np.ndarray, start: np.ndarray, words: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     """(doc, first window, windows) of what also starts earlier among the segments, from one FM-index of them."""
     sequences = [np.frombuffer(w, np.uint64) for w in words]
@@ -293,8 +341,12 @@ def repeated_windows(doc: np.ndarray, start: np.ndarray, words: list[bytes], win
 
 
 def _searched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """One index after the other over rows sorted by minimizer; a minimizer's segments are in one index."""
+    """Over rows sorted by kind and minimizer: one index after the other, then the windows of hot minimizers.
+
+    A minimizer's segments are in one index.  Of equal windows all but the first are found.
+    """
     names = ["doc", "start", "size"]
+    last: int | None = None  # the window before
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = []
     size = 0
 
@@ -306,8 +358,19 @@ def _searched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
     for batch in batches:
         if not batch.num_rows:
             continue
-        mini, doc, start = (batch.column(c).to_numpy() for c in ("minimizer", "doc", "start"))
-        words = batch.column("words").to_pylist()
+        kind, mini, doc, start = (batch.column(c).to_numpy() for c in ("kind", "minimizer", "doc", "start"))
+        n = int(np.searchsorted(kind, SINGLE))
+        if n < len(kind):
+            later = np.concatenate(([mini[n] == last if last is not None else False], mini[n + 1 :] == mini[n:-1]))
+            single = kind[n:] == SINGLE
+            if single.any():
+                last = mini[n:][single][-1]
+            gone = np.flatnonzero(later | ~single) + n
+            yield pa.RecordBatch.from_arrays([longs(doc[gone]), longs(start[gone]), longs(np.ones(len(gone)))], names=names)
+        if not n:
+            continue
+        mini, doc, start = mini[:n], doc[:n], start[:n]
+        words = batch.column("words").slice(0, n).to_pylist()
         edges = [0, *(np.flatnonzero(np.diff(mini)) + 1).tolist(), len(mini)]
         for a, b in zip(edges, edges[1:]):
             if size >= WORDS_PER_INDEX and held[-1][0][-1] != mini[a]:
@@ -326,7 +389,7 @@ def repeats(docs: DataFrame, texts: DataFrame, window: int = WINDOW, gram: int =
     sifted(docs, window, gram).write.parquet(path)
     known = spark.read.parquet(path)
     wanted = known.where("minimizer is not null")
-    rows = spelled(texts, wanted, window).repartition("minimizer").sortWithinPartitions("minimizer", "doc", "start")
+    rows = shards(texts, wanted, window).repartition("minimizer").sortWithinPartitions("kind", "minimizer", "doc", "start")
     found = rows.mapInArrow(lambda batches: _searched(batches, window), "doc long, start long, size long")
     copies = known.where("minimizer is null").select(
         "doc", F.shiftright("place", LENGTH_BITS).alias("start"), F.col("place").bitwiseAND(F.lit(EARLY - 1)).alias("size")

@@ -71,6 +71,47 @@ def test_repeats_in_many_small_indexes(spark, monkeypatch):
     assert got == plain_repeats(texts)
 
 
+def test_hot_minimizers_do_not_make_large_indexes(spark, monkeypatch):
+    passage = prose(1, 45)
+    texts = {k: f"{prose(f'a{k}', 30)} {passage} {prose(f'b{k}', 30)}" for k in range(80)}
+    texts[100] = texts[7]
+    docs = frame(spark, texts)
+    most = 500
+    monkeypatch.setattr(repeats, "WORDS_PER_INDEX", most)
+    path = repeats.scratch_path(spark, "test-segments")
+    repeats.sifted(docs, 20, 6).write.parquet(path)
+    wanted = spark.read.parquet(path).where("minimizer is not null")
+
+    def largest(rows):
+        sizes = {}
+        for r in rows.where("words is not null").collect():
+            sizes[r.minimizer] = sizes.get(r.minimizer, 0) + len(r.words) // 8
+        return max(sizes.values(), default=0)
+
+    assert largest(repeats.spelled(repeats.packed(docs), wanted, 20)) > most
+    assert largest(repeats.shards(repeats.packed(docs), wanted, 20)) <= most
+    rows = repeats.without_repeats(docs).collect()
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in rows}
+    assert got == plain_repeats(texts)
+
+
+def test_single_windows_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    order = random.Random(8)
+    rows = sorted((order.choice((1, 1, 1, 2)), order.randrange(12), k, order.randrange(5)) for k in range(200))
+    table = pa.table([pa.array(c, pa.int32() if k == 0 else pa.int64()) for k, c in enumerate(zip(*rows))], names=["kind", "minimizer", "doc", "start"])
+    table = table.append_column("words", pa.nulls(len(rows), pa.binary()))
+    firsts = {}
+    for kind, mini, doc, _ in rows:
+        if kind == repeats.SINGLE:
+            firsts.setdefault(mini, doc)
+    want = {doc for _, _, doc, _ in rows} - set(firsts.values())
+    for size in (1, 2, 3, 7, 1000):
+        found = [r["doc"] for b in repeats._searched(iter(table.to_batches(max_chunksize=size)), 20) for r in b.to_pylist()]
+        assert sorted(found) == sorted(want)
+
+
 def test_sifting_does_not_depend_on_batches():
     import pyarrow as pa
 
