@@ -4,7 +4,10 @@
 three times and more, letters set apart one by one) become lattices: every
 character offers the letters it may stand for, and a separator or a repeated
 letter may vanish.  Viterbi decoding picks the path that is likeliest under a
-character trigram model and the channel's costs.  The trigrams are counted over
+character trigram model and the channel's costs, over the whole token however
+long.  Where a token has separators a word may end: its parts are read one by
+one; letters set apart are also read as a phrase, and any of them may be the
+beginning of a word.  The trigrams are counted over
 all texts of the corpus; the alphabet is fixed (``LETTERS``), so the model has
 at most ``len(LETTERS) ** 3`` numbers however large the corpus is.
 
@@ -51,7 +54,7 @@ _LETTER = re.compile(r"[^\W\d_]")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _APART = re.compile(rf"(?<!\w)[^\W_](?:[ ._*\-](?:[^\W_]|[{_MARKS}])){{3,}}(?!\w)")
 _WORD = re.compile(r"[^\W\d_]+")
-LONGEST_TOKEN = 40
+_SEPARATOR = re.compile(rf"(?:[^\w{_MARKS}]|_)+")
 
 PREFIXES = (4, 5, 6, 7, 8)
 TRAIN_PER_CLASS = 5000
@@ -109,40 +112,57 @@ def language_model(counts: DataFrame) -> np.ndarray:
 # The channel
 
 
-def _offers(token: str) -> list[list[tuple[str, float]]]:
-    """For each character of a token what it may stand for, with costs; an empty string: it vanishes."""
-    lattice = []
+def _offers(token: str, blanks: bool = False) -> Iterator[list[tuple[str, float]]]:
+    """For each character of a token what it may stand for, with costs; an empty string: it vanishes.
+
+    With ``blanks`` a separator may also stand for the end of a word.
+    """
     last = ""
     for c in token:
         if c in STANDS_FOR:
             options = [(x, SWAP_COST) for x in STANDS_FOR[c]] + [("", DROP_COST[c])]
+            if blanks and DROP_COST[c] <= 1.0:
+                options.append((" ", DROP_COST[c]))
         elif c in _CODE and c != " ":
             options = [(c, KEEP_REPEAT_COST if c == last else 0.0)]
             if c == last:
                 options.append(("", 0.0))
         else:
             options = [("", 0.0 if c in " ._-" else 1.0)]
-        lattice.append(options)
+            if blanks:
+                options.append((" ", options[0][1]))
+        yield options
         last = c
-    return lattice
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token, by Viterbi decoding over (last two letters)."""
-    beams: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in _offers(token[:LONGEST_TOKEN]):
-        following: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, word) in beams.items():
+def _spelled(path: tuple | None) -> str:
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
+def restore(token: str, model: np.ndarray, blanks: bool = False) -> str:
+    """The likeliest word behind a token, or words with a blank between them, by Viterbi decoding over (last two letters)."""
+    beams: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for options in _offers(token, blanks):
+        following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in beams.items():
             for letter, own in options:
                 if letter:
                     c = _CODE[letter]
-                    state, total, longer = (b, c), cost + own - float(model[a, b, c]), word + letter
+                    if not c and not b:
+                        continue
+                    state, total, longer = (b, c), cost + own - float(model[a, b, c]), (path, letter)
                 else:
-                    state, total, longer = (a, b), cost + own, word
+                    state, total, longer = (a, b), cost + own, path
                 if state not in following or total < following[state][0]:
                     following[state] = (total, longer)
         beams = following
-    return min((cost - float(model[a, b, 0]), word) for (a, b), (cost, word) in beams.items())[1]
+    ends = [(cost - (float(model[a, b, 0]) if b else 0.0) if blanks else cost - float(model[a, b, 0]), path) for (a, b), (cost, path) in beams.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_spelled(path) for cost, path in ends if cost == least)
 
 
 def _disguised(token: str) -> bool:
@@ -159,8 +179,13 @@ class Restorer:
         self.model = model
 
     def decoded(self, token: str) -> list[str]:
-        parts = (token[k : k + LONGEST_TOKEN] for k in range(0, len(token), LONGEST_TOKEN))
-        return [w for w in (restore(p, self.model) for p in parts) if w]
+        """The token read as one word, its parts, and where letters are set apart a phrase and what each may begin."""
+        words = [restore(token, self.model)]
+        if _APART.search(token):
+            words += restore(token, self.model, blanks=True).split()
+            words += [words[0][k : k + PREFIXES[-1]] for k in range(1, len(words[0]) - PREFIXES[0] + 1)]
+        words += [restore(p, self.model) if _disguised(p) else p for p in _SEPARATOR.split(token) if 1 < len(p) < len(token)]
+        return [w for w in dict.fromkeys(words) if w]
 
     def tokens(self, text: str) -> set[str]:
         """Distinct tokens of a text: chunks between white space, and runs of letters set apart by blanks."""
@@ -180,8 +205,9 @@ class Restorer:
 
     def text(self, text: str) -> str:
         """The text in lower case with disguised tokens as decoded."""
-        low = _APART.sub(lambda m: "".join(self.decoded(m.group())), text.lower())
-        return re.sub(r"\S+", lambda m: "".join(self.decoded(m.group())) if _disguised(m.group()) else m.group(), low)
+        read = lambda m: restore(m.group(), self.model, blanks=True).strip()
+        low = _APART.sub(read, text.lower())
+        return re.sub(r"\S+", lambda m: read(m) if _disguised(m.group()) else m.group(), low)
 
 
 # The score

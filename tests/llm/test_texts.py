@@ -152,6 +152,22 @@ def test_held_out_accuracy_and_disguises(spark, sf):
     assert scorer.restorer.text("You m0r0n!") != "You m0r0n!"
 
 
+def test_every_word_of_a_disguised_passage_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    prepare(spark)
+    model = toxicity.language_model(toxicity.character_counts(docs))
+    weights = {f: 3.0 for w in ("stupid", "moron", "idiot") for f in toxicity.features_of(w)}
+    scorer = toxicity.Scorer(model, weights, -2.0)
+    spaced = lambda t: " ".join(t.replace(" ", ""))
+    for text in ("you stupid", "this is so stupid", "you are a moron", "what an idiot he is"):
+        assert scorer.score(f"so {spaced(text)} yes") > 0.5, text
+    for at in range(0, 60):  # a word across any place of a long run
+        assert scorer.score(spaced("nanu" * 15)[: 2 * at] + spaced("stupid") + " " + spaced("nanu" * 5)) > 0.5, at
+    for text in ("foo,m0r0n", "foo/m0r0n/bar", "well-m0r0n"):
+        assert scorer.score(text) > 0.5, text
+    assert scorer.score(spaced("a walk in the park on a sunny day")) < 0.5
+
+
 def test_labels_of_the_held_out_fold_change_nothing(spark):
     from pyspark.sql import functions as F
 
