@@ -156,6 +156,22 @@ def test_network_finds_what_the_patterns_miss():
     assert all(not secrets.spans_of([f"words of 20{k}-01-01T10 only"], net)[0][1] for k in range(10, 60))
 
 
+def test_network_sees_the_middle_of_long_candidates():
+    class Digits:  # in place of a network: a place inside that shows the digit 7
+        threshold = 0.5
+
+        def scores(self, codes, inside):
+            half = secrets.WIDTH // 2
+            return ((codes[:, half : half + secrets.LENGTH] == secrets.CODES[ord("7")]) & inside).any(axis=1).astype(float)
+
+    for size in (20, 48, 49, 95, 96, 97, 300):
+        for at in range(size):
+            run = "1" + "/" * (size - 1)
+            text = "words " + run[:at] + "7" + run[at:] + " ends"
+            assert secrets.spans_of([text], Digits())[0][1] == [(6, 7 + size, "network")], (size, at)
+    assert len(secrets.spans_of(["7/" * 100_000], Digits())[0][1]) == 1
+
+
 def test_network_gradient():
     order = np.random.default_rng(1)
     pictures = [secrets.picture("abc def0123456 xyz=1", 4, 14), secrets.picture("key=9a8b7c6d5e", 4, 14)]
