@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import bpe, decontaminate, licenses, neardup, pagetext, pii, quality, repeats, secrets, toxicity
+from tarnwork.llm import (
+    bpe,
+    conversations,
+    decontaminate,
+    licenses,
+    neardup,
+    neighbours,
+    pagetext,
+    pii,
+    quality,
+    repeats,
+    secrets,
+    toxicity,
+    whitening,
+)
 from tarnwork.llm.common import table
 from tarnwork.llm.sql import SQL  # noqa: F401
 
@@ -93,3 +107,22 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.components(vectors).select(
+        "vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error"
+    )
+
+
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(table(spark, sf_dir, "conversations"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnwork.llm import licenses, quality
+from tarnwork.llm import conversations, licenses, quality
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,9 +120,76 @@ FROM w LEFT JOIN base ON w.doc_id = base.doc_id LEFT JOIN method ON w.doc_id = m
 """
 
 
+def _conversations() -> str:
+    """Every row multiplies the states by all edits with up to two insertions before; the least (cost, audit) of a state stays."""
+    c = conversations
+    moves = []
+    for start in range(c.STATES):
+        state, price, audit, lines = start, 0, "", []
+        for _ in range(3):
+            then = c.FOLLOWS[state]
+            moves.append((start, state, "D", "", price + c.DELETE, audit + "D", lines))
+            moves.append((start, then, "R", "", price + c.REROLE, audit + "R", lines))
+            moves.append((start, then, "K", c.NAMES[then][0], price + c.KEEP, audit + "K", lines))
+            if state == c.START:
+                moves.append((start, c.SYSTEM, "K", "s", price + c.KEEP, audit + "K", lines))
+            state, price, audit, lines = then, price + c.INSERT, audit + "I", [*lines, c.NAMES[then] + ":"]
+    listed = ", ".join(f"({a}, {b}, '{op}', '{i}', {p}, '{w}', CAST({x!r} AS VARCHAR[]))" for a, b, op, i, p, w, x in moves)
+    ends = ", ".join(
+        f"({s}, {cost}, '{audit}', CAST({['user:', 'assistant:'][2 - len(audit):]!r} AS VARCHAR[]))" for s, (cost, audit) in c.TAILS.items()
+    )
+    legal = ", ".join(f"'{p}'" for p in c.LEGAL_PAIRS)
+    names = "CASE target " + " ".join(f"WHEN {s} THEN '{n}'" for s, n in c.NAMES.items()) + " END"
+    return f"""
+WITH RECURSIVE plain AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(name) + 1), lambda i: CAST(ord(name[i]) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 20 AS fate FROM plain),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(0, 2) AS copy(k) WHERE k < CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS pos FROM damaged),
+marked AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS open_end,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM numbered),
+symbols AS (SELECT *, blank OR again AS must_go, NOT (blank OR again) AND open_end AS truncated FROM marked),
+moves(state, target, op, initial, price, edits, lines) AS (VALUES {listed}),
+ends(state, price, edits, lines) AS (VALUES {ends}),
+walk AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS pos, 0 AS state, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])}} AS best FROM symbols
+  UNION ALL
+  SELECT w.conv_id, s.pos, m.target, min({{
+    'cost': w.best.cost + m.price + CASE WHEN s.truncated AND m.op <> 'D' THEN {c.TRUNCATED} ELSE 0 END, 'audit': w.best.audit || m.edits,
+    'lines': list_concat(w.best.lines, m.lines, CASE m.op WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [s.role || ':' || s.text]
+      ELSE [{names} || ':' || s.text] END)}})
+  FROM walk w JOIN symbols s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND s.pos = w.pos + 1
+  JOIN moves m ON m.state = w.state AND (m.op = 'D' OR NOT s.must_go) AND (m.op <> 'K' OR m.initial = left(s.role, 1))
+  GROUP BY w.conv_id, s.pos, m.target),
+sums AS (
+  SELECT conv_id, max(pos) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ({legal})) AS illegal,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM symbols GROUP BY conv_id),
+closed AS (
+  SELECT w.conv_id, min({{'cost': w.best.cost + e.price, 'audit': w.best.audit || e.edits, 'lines': list_concat(w.best.lines, e.lines)}}) AS best
+  FROM walk w JOIN sums s ON w.conv_id IS NOT DISTINCT FROM s.conv_id AND w.pos = s.n JOIN ends e ON e.state = w.state GROUP BY w.conv_id)
+SELECT o.conv_id, {', '.join(f'CAST(coalesce({k}, 0) AS BIGINT) AS {k}' for k in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))},
+  CAST(coalesce(b.best.cost, 0) AS BIGINT) AS cost, coalesce(b.best.audit, '') AS audit,
+  sha256(coalesce(array_to_string(b.best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN sums s ON o.conv_id IS NOT DISTINCT FROM s.conv_id
+LEFT JOIN closed b ON o.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 SQL = {
     "op1_repeats": REPEATS,
     "op5_quality": _quality(),
     "op6_neardup": NEAR_DUPLICATES,
     "op10_licenses": _licenses(),
+    "op13_conversations": _conversations(),
 }

@@ -35,7 +35,7 @@ def rows(df):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_odd_and_clashing_columns(spark, odd, clashing, name):
     got = rows(ALL[name](spark, odd))
-    if not name.startswith("op4"):
+    if not name.startswith(("op4", "op11", "op12", "op13")):
         assert len(got) == len(PAGES if name.startswith("op7") else tables.odd_documents())
     assert rows(ALL[name](spark, clashing)) == got
 
