@@ -217,3 +217,31 @@ def true_runs(
             "last_true",
         )
     )
+
+
+def held_sessions(
+    evaluated: DataFrame, labels: list[str], *, window: str, condition: Column, step_seconds: int, for_seconds: int
+) -> DataFrame:
+    """``true_runs`` in a form that works on streams as well: a run is a session of true evaluations.
+
+    ``evaluated`` has one row per (labels, evaluation), with the evaluation as a
+    window column of ``step_seconds``.  A session goes on while the next true
+    evaluation follows at the next step; half a step more is the gap, so a
+    missing evaluation ends it.  On a stream a run appears once, when the
+    watermark has passed its end and the gap; only open runs are kept as state.
+    """
+    step, gap = step_seconds * 1_000_000, step_seconds * 1_500_000
+    held = evaluated.where(condition).withColumn("__at", F.window_time(window))
+    # A condition on the session itself would be pushed below the merging of sessions, so its ends are aggregates.
+    runs = held.groupBy(*labels, F.session_window("__at", f"{gap} microseconds").alias("__s")).agg(
+        F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count(F.lit(1)).alias("evaluations")
+    )
+    # A window's time is its end minus one microsecond.
+    first, last = (F.unix_micros(c) + 1 - step for c in ("__first", "__last"))
+    return runs.where(last - first >= F.lit(for_seconds * 1_000_000)).select(
+        *labels,
+        F.timestamp_micros(first).alias("active_since"),
+        F.timestamp_micros(first + F.lit(for_seconds * 1_000_000)).alias("firing_since"),
+        F.timestamp_micros(last).alias("last_true"),
+        "evaluations",
+    )

@@ -90,34 +90,48 @@ def histogram_quantile(buckets: DataFrame, labels: list[str], q: float, *, le: s
     The window runs over the bounds of one histogram, whose number is the
     fixed bucket layout.  Null when nothing was counted or no +Inf bound exists.
     """
+    return histogram_quantiles(buckets, labels, {out: q}, le=le, count=count)
+
+
+def histogram_quantiles(
+    buckets: DataFrame, labels: list[str], quantiles: dict[str, float], *, le: str = "le", count: str = "count", monotone: bool = False
+) -> DataFrame:
+    """Several quantiles of the same histograms, each a column, from one pass.
+
+    ``monotone`` raises a bound's count to the greatest one of smaller bounds:
+    rates of bucket counters that were reset or read at different times need not
+    grow with the bound.
+    """
     by_bound = Window.partitionBy(*labels).orderBy(le)
     whole = Window.partitionBy(*labels)
-    rows = (
-        buckets.groupBy(*labels, le)
-        .agg(F.sum(count).alias("__c"))
-        .select(
-            *labels,
-            F.col(le).alias("__le"),
-            "__c",
-            F.lag(le).over(by_bound).alias("__lo"),
-            F.lag("__c").over(by_bound).alias("__c0"),
-            F.max(F.when(F.col(le) == INF, F.col("__c"))).over(whole).alias("__total"),
-        )
+    summed = buckets.groupBy(*labels, le).agg(F.sum(count).alias("__c"))
+    if monotone:
+        so_far = by_bound.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        summed = summed.withColumn("__c", F.max("__c").over(so_far))
+    rows = summed.select(
+        *labels,
+        F.col(le).alias("__le"),
+        "__c",
+        F.lag(le).over(by_bound).alias("__lo"),
+        F.lag("__c").over(by_bound).alias("__c0"),
+        F.max(F.when(F.col(le) == INF, F.col("__c"))).over(whole).alias("__total"),
     )
-    rank = F.col("__total") * F.lit(q)
     first = F.col("__lo").isNull()
     lower = F.when(first, F.lit(0.0)).otherwise(F.col("__lo"))
     below = F.coalesce(F.col("__c0"), F.lit(0.0))
-    inside = lower + (F.col("__le") - lower) * (rank - below) / F.nullif(F.col("__c") - below, F.lit(0.0))
-    at_bound = (
-        F.when(F.col("__total") <= 0, F.lit(None).cast("double"))
-        .when(F.col("__le") == INF, F.col("__lo"))
-        .when(first & (F.col("__le") <= 0), F.col("__le"))
-        .otherwise(inside)
-    )
-    return (
-        rows.groupBy(*labels)
-        .agg(F.min_by(at_bound, F.when(F.col("__c") >= rank, F.col("__le"))).alias(out))
+
+    def at_bound(rank: Column) -> Column:
+        inside = lower + (F.col("__le") - lower) * (rank - below) / F.nullif(F.col("__c") - below, F.lit(0.0))
+        return (
+            F.when(F.col("__total") <= 0, F.lit(None).cast("double"))
+            .when(F.col("__le") == INF, F.col("__lo"))
+            .when(first & (F.col("__le") <= 0), F.col("__le"))
+            .otherwise(inside)
+        )
+
+    ranks = {out: F.col("__total") * F.lit(q) for out, q in quantiles.items()}
+    return rows.groupBy(*labels).agg(
+        *[F.min_by(at_bound(rank), F.when(F.col("__c") >= rank, F.col("__le"))).alias(out) for out, rank in ranks.items()]
     )
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tarnwork.functions.labels import label_not_matches, label_replace, line_contains, line_matches, logfmt_value
 from tarnwork.functions.times import bucket_start
-from tarnwork.operators.ordered import true_runs
+from tarnwork.operators.ordered import held_sessions, true_runs
 from tarnwork.operators.series import (
     counter_increase,
     difference_or_default,
     histogram_quantile,
+    histogram_quantiles,
     keep_if_present,
     many_to_one,
     ratio,
@@ -32,6 +33,8 @@ ERROR_PERCENT, ERROR_LOOKBACK, ERROR_FOR = 10.0, 120, 900
 PANIC_LOOKBACK = 600
 LATENCY_SECONDS, LATENCY_FOR, LATENCY_ROUTE_EXCLUDED = 1.0, 900, "(?i).*tail.*"
 LOG_ERROR_RATIO = 0.05
+SINGLETON_LIMIT, SINGLETON_FOR = 1.0, 300
+CANARY_SECONDS, CANARY_FOR, CANARY_LABELS = 5.0, 900, ("namespace", "job")
 # ---------------------------------------------------------------------------
 
 
@@ -122,6 +125,65 @@ def rate_sums(samples: DataFrame, series: list[str], seconds: int = 60) -> DataF
     )
 
 
+def _grown(samples: DataFrame, series: list[str], extra: list[str], seconds: int) -> DataFrame:
+    """Growth of counters per (namespace, job, route, extra) and interval, restarts included."""
+    grown = counter_increase(samples, [*series, *extra], bucket_seconds=seconds, tiebreak=["tie"])
+    return grown.groupBy(*RULE_LABELS, *extra, "bucket_start").agg(F.sum("increase").alias("__inc"))
+
+
+def bucket_rates(samples: DataFrame, series: list[str], seconds: int = 60) -> DataFrame:
+    """Summed rates of cumulative bucket counters (label ``le``) on the three label levels."""
+    levels = rolled_up(_grown(samples, series, ["le"], seconds), {"__inc": F.sum("__inc")}, ["le", "bucket_start"])
+    return levels.select(
+        "level", *RULE_LABELS, "le", "bucket_start", ratio(F.col("__inc"), F.lit(seconds)).alias("rate")
+    )
+
+
+def quantiles_from_rates(samples: DataFrame, series: list[str], quantiles: dict[str, float], seconds: int = 60) -> DataFrame:
+    """Quantiles per interval from the rates of bucket counters, on the three label levels."""
+    rates = bucket_rates(samples, series, seconds)
+    return histogram_quantiles(
+        rates, ["level", *RULE_LABELS, "bucket_start"], quantiles, count="rate", monotone=True
+    )
+
+
+def mean_from_rates(samples: DataFrame, series: list[str], seconds: int = 60) -> DataFrame:
+    """Rates of a sum and a count counter and their ratio per interval, on the three label levels.
+
+    ``samples`` has one row per series, time and ``part`` ("sum" or "count"), so
+    both counters go through one pass.
+    """
+    grown = _grown(samples, series, ["part"], seconds)
+    of = lambda part: F.sum(F.when(F.col("part") == part, F.col("__inc")))
+    base = grown.groupBy(*RULE_LABELS, "bucket_start").agg(of("sum").alias("__sum"), of("count").alias("__count"))
+    levels = rolled_up(base, {"__sum": F.sum("__sum"), "__count": F.sum("__count")}, ["bucket_start"])
+    rate = {name: ratio(F.col(f"__{name}"), F.lit(seconds)) for name in ("sum", "count")}
+    return levels.select(
+        "level",
+        *RULE_LABELS,
+        "bucket_start",
+        rate["sum"].alias("sum_rate"),
+        rate["count"].alias("count_rate"),
+        ratio(rate["sum"], rate["count"]).alias("mean_seconds"),
+    )
+
+
+def canary_latency_alert(
+    samples: DataFrame, series: list[str], seconds: int = 300, threshold: float = CANARY_SECONDS, for_seconds: int = CANARY_FOR
+) -> DataFrame:
+    """Jobs whose 99th percentile, from the rates of bucket counters, stayed above the threshold long enough."""
+    labels = list(CANARY_LABELS)
+    rates = _grown(samples, series, ["le"], seconds).groupBy(*labels, "le", "bucket_start").agg(F.sum("__inc").alias("count"))
+    return true_runs(
+        histogram_quantiles(rates, [*labels, "bucket_start"], {"quantile": 0.99}, monotone=True),
+        labels,
+        time="bucket_start",
+        condition=F.col("quantile") > threshold,
+        step_seconds=seconds,
+        for_seconds=for_seconds,
+    )
+
+
 def mean_latency(requests: DataFrame, seconds: int = 60) -> DataFrame:
     """Seconds per request on the three label levels: ratio of two sums of one aggregate."""
     base = requests.groupBy(*RULE_LABELS, bucket_start(F.col("ts"), seconds).alias("bucket_start")).agg(
@@ -207,6 +269,29 @@ def more_than_one(gauge: DataFrame, by: list[str], limit: float = 1.0) -> DataFr
     return gauge.groupBy(*by).agg(F.sum("value").alias("running")).where(F.col("running") > limit)
 
 
+def more_than_one_for(
+    samples: DataFrame,
+    by: list[str],
+    instance: str,
+    *,
+    time: str,
+    step_seconds: int = 60,
+    for_seconds: int = SINGLETON_FOR,
+    limit: float = SINGLETON_LIMIT,
+) -> DataFrame:
+    """Label sets in which more than one instance ran at every evaluation for long enough; on batches and on streams.
+
+    An instance counts in an evaluation when it reported 1 in its interval.  A
+    stream needs a watermark on ``time``; its three aggregates hand it on.
+    """
+    window = F.window(time, f"{step_seconds} seconds").alias("w")
+    reported = samples.groupBy(window, *by, instance).agg(F.max("value").alias("value"))
+    running = reported.groupBy("w", *by).agg(F.sum("value").alias("running"))
+    return held_sessions(
+        running, by, window="w", condition=F.col("running") > limit, step_seconds=step_seconds, for_seconds=for_seconds
+    )
+
+
 def none_ready(gauge: DataFrame, by: list[str]) -> DataFrame:
     """Label sets in which the sum of a 0/1 gauge is zero."""
     return gauge.groupBy(*by).agg(F.sum("value").alias("ready")).where(F.col("ready") == 0)

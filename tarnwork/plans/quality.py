@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,17 @@ def count_grew(before: DataFrame, after: DataFrame) -> DataFrame:
     ).withColumn("passed", F.col("after_count") > F.col("before_count"))
 
 
+def growth(spark: SparkSession, runs: list[dict[str, int]]) -> DataFrame:
+    """Whether the last of several runs added rows, from the counts the runs reported (``messages``, ``events``, ``input_rows``)."""
+    before = sum(r.get("events", 0) for r in runs[:-1])
+    after = before + runs[-1].get("events", 0)
+    taken = sum(r["input_rows"] for r in runs)
+    row = (before, after, taken, sum(r.get("messages", 0) for r in runs) - after, after > before)
+    return spark.createDataFrame(
+        [row], "before_count long, after_count long, input_rows long, unreadable_rows long, passed boolean"
+    )
+
+
 def missing_columns(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected (table_name, column_name) pairs that a table lacks; case does not count."""
     keys = [F.col("table_name"), F.lower("column_name").alias("column_name")]

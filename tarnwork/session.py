@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +49,20 @@ def configure(spark: SparkSession, large_state: bool = False) -> SparkSession:
     return spark
 
 
+@contextmanager
+def large_state(spark: SparkSession) -> Iterator[SparkSession]:
+    """Streams started inside keep their state in RocksDB; the session's own setting comes back afterwards."""
+    before = {key: spark.conf.get(key, None) for key in _LARGE_STATE}
+    try:
+        yield configure(spark, large_state=True)
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "tarnwork") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     spark = (

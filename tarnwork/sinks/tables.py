@@ -110,6 +110,23 @@ def write_messages(messages: DataFrame, *, path: str | None = None, kafka: dict[
         messages.select("value").write.mode("append").text(path)
 
 
+def write_messages_in_order(messages: DataFrame, order: str, path: str, staging: str, files: int = 1) -> None:
+    """Send messages to a folder of JSON lines slice by slice, in the ascending order of the column ``order``.
+
+    A file source takes files by their time of writing, so a log written like
+    this is read in its own order, however few files a trigger takes.  The rows
+    are put into one folder per slice first, which each later write opens alone.
+    ``order`` should have few values: they come to the driver, one write each.
+    """
+    messages.select(F.col(order).alias("__slice"), "value").write.partitionBy("__slice").parquet(staging)
+    spark = messages.sparkSession
+    kind = T.StructType([T.StructField("value", T.StringType()), T.StructField("__slice", messages.schema[order].dataType)])
+    staged = spark.read.schema(kind).parquet(staging)
+    for row in staged.select("__slice").distinct().orderBy("__slice").collect():
+        part = staged.where(F.col("__slice").eqNullSafe(F.lit(row["__slice"])))
+        part.select("value").coalesce(files).write.mode("append").text(path)
+
+
 def _location(path: str | None) -> str:
     return " LOCATION '" + path.replace("'", "\\'") + "'" if path else ""
 

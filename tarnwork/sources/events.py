@@ -80,12 +80,21 @@ def encode_messages(events: DataFrame) -> DataFrame:
     return events.select(F.col("device_id").alias("key"), body.alias("value"))
 
 
+def admission(files: int | None = None, max_bytes: int | None = None) -> dict[str, str]:
+    """Reader options that bound what one trigger takes from a folder, so a backlog is worked off in many small batches."""
+    options = {"maxFilesPerTrigger": files, "maxBytesPerTrigger": max_bytes}
+    return {name: str(value) for name, value in options.items() if value is not None}
+
+
 def read_messages(spark: SparkSession, *, path: str | None = None, kafka: dict[str, str] | None = None, **options) -> DataFrame:
     """The message log as a stream with a text column ``value``.
 
     ``kafka`` holds the reader options (servers, ``subscribe``); reading starts
     at the earliest offset.  ``path`` is a folder of JSON-lines files for
-    places without the Kafka connector.
+    places without the Kafka connector.  ``options`` may bound a trigger:
+    ``admission`` for a folder, ``maxOffsetsPerTrigger`` for a topic.  Windows
+    and watermarks need a log in the order of time then, as a topic has it and
+    as ``write_messages_in_order`` writes a folder.
     """
     if kafka:
         reader = spark.readStream.format("kafka").option("startingOffsets", "earliest").options(**kafka, **options)

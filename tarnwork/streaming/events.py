@@ -7,27 +7,40 @@ restarted query neither loses nor repeats rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tarnwork.operators.keyed import salted_lookup
-from tarnwork.schemas import DEVICE_EVENT
-from tarnwork.sources.events import decode_messages, valid_events
+from tarnwork.operators.keyed import rows_not_in, salted_lookup
+from tarnwork.schemas import DEVICE_EVENT, WINDOW_COUNT
+from tarnwork.sources.events import admission, decode_messages, valid_events
+from tarnwork.streaming.fanout import BATCH, Sink, read_marks, read_sink, start_fan_out
 
 # ---- fixed values: times of the stream job ---------------------------------
-WATERMARK = "10 seconds"
+WATERMARK_SECONDS = 10
+WATERMARK = f"{WATERMARK_SECONDS} seconds"
 WINDOW = "1 minute"
 COMMIT_INTERVAL = "30 seconds"
 # ---------------------------------------------------------------------------
 
+#: Name of the counts that the runs of ``audited`` report.
+AUDIT = "audit"
+
 
 def detail(messages: DataFrame) -> DataFrame:
     """Every valid message as an event row; stateless, late rows included."""
     return valid_events(decode_messages(messages)).select(*DEVICE_EVENT.fieldNames())
 
 
+def audited(messages: DataFrame) -> DataFrame:
+    """``detail`` whose runs report, under ``AUDIT``, how many messages they saw and how many of them became events."""
+    decoded = decode_messages(messages)
+    valid = F.col("event_time").isNotNull()
+    seen = decoded.observe(AUDIT, F.count(F.lit(1)).alias("messages"), F.count_if(valid).alias("events"))
+    return valid_events(seen).select(*DEVICE_EVENT.fieldNames())
+
+
 def tumbling_counts(events: DataFrame, watermark: str = WATERMARK, window: str = WINDOW) -> DataFrame:
     """Events per device and window [start, end); works on streams and on batches.
 
@@ -135,46 +148,130 @@ def start_two_sinks(
     messages: DataFrame,
     detail_path: str,
     window_path: str,
+    marks: str,
     checkpoint: str,
     *,
     available_now: bool = False,
     interval: str = COMMIT_INTERVAL,
-) -> list[StreamingQuery]:
-    """Detail table and windowed table from one read of the log.
+) -> StreamingQuery:
+    """Detail table and window counts from one read of the log.
 
-    The log is read and decoded once, into the detail table; the windowed
-    table is a second query on what the first one has committed.  Each query
-    has its own checkpoint, so either can be restarted alone.
+    A micro-batch goes to both sinks; the second one gets its counts per window
+    and device, with those of windows that had closed before as ``late``.  A
+    batch that runs again replaces its rows in both, see ``fanout``.
     """
-    copy = start_append(
-        detail(messages), detail_path, f"{checkpoint}/detail", available_now=available_now, interval=interval
+    sinks = [
+        Sink(detail_path, lambda rows, _: rows.select(*DEVICE_EVENT.fieldNames())),
+        Sink(window_path, _partial_counts),
+    ]
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    return start_fan_out(
+        detail(messages), sinks, marks, checkpoint, time="event_time", delay_seconds=WATERMARK_SECONDS, trigger=trigger
     )
-    if available_now:
-        finish(copy)
-    windows = start_windows(
-        messages.sparkSession,
-        detail_path,
-        window_path,
-        f"{checkpoint}/windows",
-        available_now=available_now,
-        interval=interval,
+
+
+PARTIAL_COUNT = T.StructType([*WINDOW_COUNT.fields, T.StructField("late", T.BooleanType())])
+
+
+def _partial_counts(rows: DataFrame, watermark: Column) -> DataFrame:
+    counted = rows.groupBy(F.window("event_time", WINDOW).alias("w"), "device_id").agg(F.count(F.lit(1)).alias("event_count"))
+    return counted.select(
+        F.col("w.start").alias("window_start"),
+        F.col("w.end").alias("window_end"),
+        "device_id",
+        "event_count",
+        F.coalesce(F.unix_micros("w.end") <= watermark, F.lit(False)).alias("late"),
     )
-    return [copy, windows]
 
 
-def late_rows(detail_rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per closed window and device: rows in the detail table, rows counted, rows dropped as late.
+def read_detail(spark: SparkSession, detail_path: str, marks: str) -> DataFrame:
+    """The detail table of ``start_two_sinks``, late rows included."""
+    return read_sink(spark, detail_path, marks, DEVICE_EVENT).select(*DEVICE_EVENT.fieldNames())
 
-    Rows that came after their window had closed are in the detail table only.
+
+def window_report(spark: SparkSession, window_path: str, marks: str) -> DataFrame:
+    """Per closed window and device: all rows, rows counted, rows that came after the window had closed.
+
+    A window is closed when the watermark of the last finished batch has passed its end.
     """
-    actual = tumbling_counts(detail_rows).withColumnRenamed("event_count", "detail_count")
+    closed = read_marks(spark, marks).agg((F.max("latest") - F.lit(WATERMARK_SECONDS * 1_000_000)).alias("at")).scalar()
     keys = ["window_start", "window_end", "device_id"]
-    closed = windows.agg(F.max("window_end")).scalar()
-    compared = actual.where(F.col("window_end") <= closed).join(windows.select(*keys, "event_count"), keys, "left")
-    counted = F.coalesce("event_count", F.lit(0))
-    return compared.select(
-        *keys, "detail_count", counted.alias("window_count"), (F.col("detail_count") - counted).alias("late_count")
+    partial = read_sink(spark, window_path, marks, PARTIAL_COUNT).where(F.unix_micros("window_end") <= closed)
+    sums = partial.groupBy(*keys).agg(
+        F.sum("event_count").alias("detail_count"),
+        F.sum(F.when(F.col("late"), F.lit(0).cast("long")).otherwise(F.col("event_count"))).alias("window_count"),
     )
+    return sums.withColumn("late_count", F.col("detail_count") - F.col("window_count"))
+
+
+def read_windows(spark: SparkSession, window_path: str, marks: str) -> DataFrame:
+    """The window table of ``start_two_sinks``: closed windows with the rows that came in time."""
+    counted = window_report(spark, window_path, marks).where("window_count > 0")
+    return counted.select("window_start", "window_end", "device_id", F.col("window_count").alias("event_count"))
+
+
+def start_split(
+    events: DataFrame,
+    on_time_path: str,
+    late_path: str,
+    marks: str,
+    checkpoint: str,
+    *,
+    available_now: bool = False,
+    interval: str = COMMIT_INTERVAL,
+    one_file: bool = False,
+) -> StreamingQuery:
+    """Events in time to one folder, events behind the watermark to another, nothing to none.
+
+    ``one_file`` puts the events in time of a batch into a single file, for
+    batches that admission control keeps small, see ``start_deduplicated``.
+    """
+    kept = events.columns
+
+    def in_time(rows: DataFrame, _: Column) -> DataFrame:
+        own = rows.where("not late").select(*kept)
+        return own.coalesce(1) if one_file else own
+
+    sinks = [
+        Sink(on_time_path, in_time),
+        Sink(late_path, lambda rows, _: rows.where("late").select(*kept)),
+    ]
+    trigger = {"availableNow": True} if available_now else {"processingTime": interval}
+    return start_fan_out(events, sinks, marks, checkpoint, time="event_time", delay_seconds=WATERMARK_SECONDS, trigger=trigger)
+
+
+def start_deduplicated(
+    spark: SparkSession,
+    on_time_path: str,
+    path: str,
+    checkpoint: str,
+    *,
+    key: str = "event_id",
+    available_now: bool = False,
+    interval: str = COMMIT_INTERVAL,
+    one_file: bool = False,
+) -> StreamingQuery:
+    """Each event once, from the folder of events in time.
+
+    Keys are kept for the watermark delay only.  That is enough: a repeat that
+    comes later is behind the watermark and in the other folder of
+    ``start_split``.  No event in time is dropped here, as this stream takes
+    whole batches of the first one in their order, so its watermark is never
+    ahead of theirs: all that are there, or with ``one_file`` (as in
+    ``start_split``) one batch per trigger.  A part of a batch would not do.
+    """
+    options = admission(files=1 if one_file else None)
+    events = spark.readStream.schema(DEVICE_EVENT).options(**options).parquet(f"{on_time_path.rstrip('/')}/{BATCH}=*")
+    once = deduplicated(events.select(*DEVICE_EVENT.fieldNames()), key)
+    return start_append(once, path, checkpoint, available_now=available_now, interval=interval)
+
+
+def late_events(spark: SparkSession, late_path: str, marks: str, distinct: DataFrame, key: str = "event_id") -> DataFrame:
+    """Each late event once, without those that had also come in time."""
+    rows = read_sink(spark, late_path, marks, DEVICE_EVENT).select(*DEVICE_EVENT.fieldNames())
+    rest = [c for c in rows.columns if c != key]
+    once = rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("__row")).select(key, "__row.*")
+    return rows_not_in(once, distinct, [key])
 
 
 def finish(query: StreamingQuery) -> StreamingQuery:

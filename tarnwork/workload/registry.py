@@ -6,6 +6,7 @@ A query is a function (spark, sf_dir) -> DataFrame.  Its SQL may name the
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 from functools import wraps
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwork.session import configure
+from tarnwork.session import configure, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,32 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored_input(spark: SparkSession, name: str, tables: list[str], build: Callable[[str], None]) -> str:
+    """Folder of a derived input, written by ``build`` once per application and state of the tables.
+
+    The files of the tables (path, length, time of writing) are part of the
+    key, so a changed table is derived again; only the path is kept.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    state = []
+    for table in tables:
+        folder = hadoop(table)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files = system.listFiles(folder, True)
+        while files.hasNext():
+            status = files.next()
+            state.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    key = (spark.sparkContext.applicationId, name, hashlib.sha256(repr(sorted(state)).encode()).hexdigest())
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def plain_types(df: DataFrame) -> DataFrame:
     """Money as double and times without a zone, as the compared SQL returns them."""
     columns = []

@@ -218,6 +218,52 @@ def hist_q99(spark: SparkSession, sf: str) -> DataFrame:
     return obs.latency_quantile(_buckets(spark, sf), 0.99, [])
 
 
+# -- rules from counters ------------------------------------------------------
+
+VIEW_SQL["v_bucket_rates"] = f"""
+SELECT {LEVEL_NAME_SQL} AS level, namespace, job, route, le, bucket_start, sum(step) / 3600 AS rate
+FROM (SELECT *, {bucket_sql('ts', 3600)} AS bucket_start, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS step
+      FROM (SELECT *, lag(value) OVER (PARTITION BY namespace, job, route, pod, le ORDER BY ts, tie) AS prev FROM v_bucket_counters))
+GROUP BY {LEVELS_SQL.format(x=', le, bucket_start')}
+"""
+VIEW_SQL["v_monotone_rates"] = """
+SELECT * EXCLUDE (rate), max(rate) OVER (PARTITION BY level, namespace, job, route, bucket_start ORDER BY le) AS c FROM v_bucket_rates
+"""
+COUNTER_SERIES = [*SERIES, "pod"]
+_RATE_LABELS = "level, namespace, job, route, bucket_start"
+
+
+@query("bucket_rate_sum", "SELECT * FROM v_bucket_rates")
+def bucket_rate_sum(spark: SparkSession, sf: str) -> DataFrame:
+    return obs.bucket_rates(v.bucket_counters(spark, sf), COUNTER_SERIES, seconds=3600)
+
+
+@query(
+    "quantile_from_rates",
+    f"""SELECT a.*, b.quantile AS p99 FROM
+        (SELECT * EXCLUDE (quantile), quantile AS p50 FROM ({_quantile_sql("SELECT * FROM v_monotone_rates", _RATE_LABELS, 0.5)})) a
+        JOIN ({_quantile_sql("SELECT * FROM v_monotone_rates", _RATE_LABELS, 0.99)}) b
+        ON (a.level, a.bucket_start) = (b.level, b.bucket_start) AND a.job = b.job
+        AND a.namespace IS NOT DISTINCT FROM b.namespace AND a.route IS NOT DISTINCT FROM b.route""",
+)
+def quantile_from_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly median and 99th percentile from the bucket counters of all pods."""
+    return obs.quantiles_from_rates(v.bucket_counters(spark, sf), COUNTER_SERIES, {"p50": 0.5, "p99": 0.99}, seconds=3600)
+
+
+@query(
+    "mean_from_rates",
+    f"""SELECT *, sum_rate / nullif(count_rate, 0) AS mean_seconds FROM (
+        SELECT {LEVEL_NAME_SQL} AS level, namespace, job, route, bucket_start,
+            sum(step) FILTER (part = 'sum') / 3600 AS sum_rate, sum(step) FILTER (part = 'count') / 3600 AS count_rate
+        FROM (SELECT *, {bucket_sql('ts', 3600)} AS bucket_start, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS step
+              FROM (SELECT *, lag(value) OVER (PARTITION BY namespace, job, route, pod, part ORDER BY ts, tie) AS prev FROM v_latency_counters))
+        GROUP BY {LEVELS_SQL.format(x=', bucket_start')})""",
+)
+def mean_from_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return obs.mean_from_rates(v.latency_counters(spark, sf), COUNTER_SERIES, seconds=3600)
+
+
 # -- alerts ------------------------------------------------------------------
 
 
@@ -281,6 +327,52 @@ def alert_singleton(spark: SparkSession, sf: str) -> DataFrame:
     return obs.more_than_one(v.gauge(spark, sf), ["cluster", "namespace"])
 
 
+VIEW_SQL["v_running_at"] = f"""
+SELECT cluster, namespace, bucket_start, sum(value) AS running FROM (
+    SELECT cluster, namespace, instance, {bucket_sql('ts', 3600)} AS bucket_start, max(value) AS value FROM v_running GROUP BY ALL)
+GROUP BY ALL
+"""
+
+
+def singleton_sql(source: str) -> str:
+    runs = _runs_sql(source, "cluster, namespace", "running > 1", 3600, 3600)
+    return f"SELECT *, (epoch_us(last_true) - epoch_us(active_since)) // 3600000000 + 1 AS evaluations FROM ({runs})"
+
+
+@query("alert_singleton_for", singleton_sql("SELECT * FROM v_running_at"))
+def alert_singleton_for(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters in which more than one instance ran at two or more hourly evaluations in a row."""
+    return obs.more_than_one_for(
+        v.running(spark, sf), ["cluster", "namespace"], "instance", time="ts", step_seconds=3600, for_seconds=3600
+    )
+
+
+@query(
+    "alert_canary_latency",
+    _runs_sql(
+        _quantile_sql(
+            f"""SELECT * EXCLUDE (n), max(n) OVER (PARTITION BY namespace, job, bucket_start ORDER BY le) AS c FROM (
+                SELECT namespace, job, le, bucket_start, sum(step) AS n
+                FROM (SELECT *, {bucket_sql('ts', 3600)} AS bucket_start,
+                        CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS step
+                      FROM (SELECT *, lag(value) OVER (PARTITION BY namespace, job, route, pod, le ORDER BY ts, tie) AS prev FROM v_bucket_counters))
+                GROUP BY ALL)""",
+            "namespace, job, bucket_start",
+            0.99,
+        ),
+        "namespace, job",
+        "quantile > 3",
+        3600,
+        7200,
+    ),
+)
+def alert_canary_latency(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly p99 from counters above three seconds for two hours."""
+    return obs.canary_latency_alert(
+        v.bucket_counters(spark, sf), COUNTER_SERIES, seconds=3600, threshold=3.0, for_seconds=7200
+    )
+
+
 @query(
     "alert_none_ready",
     "SELECT cluster, instance, sum(value) AS ready FROM v_gauge GROUP BY ALL HAVING sum(value) = 0",

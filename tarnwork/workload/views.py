@@ -7,15 +7,12 @@ order or a window to be built.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.times import iso_millis
 from tarnwork.plans.features import order_feature_source
-from tarnwork.session import scratch_path
-from tarnwork.workload.registry import VIEW_SQL
+from tarnwork.workload.registry import VIEW_SQL, stored_input
 
 
 # Declared, so that opening a table runs no job to infer it.
@@ -145,7 +142,9 @@ def device_json(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("event_id") % 101 == 0, json(text_value, iso))
         .otherwise(json(number, iso))
     )
-    return rows.select("event_id", "event_type", F.col("device_id").alias("key"), message.alias("value"))
+    # The part of the month in which the device sent the message: the order of the log.
+    part = F.floor((F.dayofmonth("event_time") - 1) / 5).cast("int")
+    return rows.select("event_id", "event_type", part.alias("part"), F.col("device_id").alias("key"), message.alias("value"))
 
 
 # -- governance --------------------------------------------------------------
@@ -221,14 +220,13 @@ def approval_steps(spark: SparkSession, sf: str) -> DataFrame:
     Jobs on steps read them two or three times; the reduction of all line
     items behind them is not repeated each time.
     """
-    return spark.read.schema(APPROVAL_STEPS).parquet(_stored_steps(spark.sparkContext.applicationId, spark, sf))
+    return spark.read.schema(APPROVAL_STEPS).parquet(_stored_steps(spark, sf))
 
 
-@lru_cache(maxsize=8)
-def _stored_steps(application: str, spark: SparkSession, sf: str) -> str:
-    path = scratch_path(spark, "approval-steps")
-    derived_steps(spark, sf).write.parquet(path)
-    return path
+def _stored_steps(spark: SparkSession, sf: str) -> str:
+    return stored_input(
+        spark, "approval-steps", [f"{sf}/lineitem.parquet"], lambda path: derived_steps(spark, sf).write.parquet(path)
+    )
 
 
 def derived_steps(spark: SparkSession, sf: str) -> DataFrame:
@@ -563,6 +561,65 @@ def counter(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Counters of a histogram: one series per pod and bound; each bound starts anew at a time of its own.
+BOUNDS = [0.1, 0.5, 1.0, 2.0, 5.0, float("inf")]
+VIEW_SQL["v_bucket_counters"] = """
+SELECT 'ns-' || (user_id % 2) AS namespace, 'svc-' || (user_id % 3) AS job, event_type AS route, 'pod-' || (user_id % 4) AS pod,
+       ts, event_id AS tie, le, CAST((event_id + 7 * i) % 500 * (i + 1 + user_id % 3) AS DOUBLE) AS value
+FROM events, (SELECT unnest([0.1::DOUBLE, 0.5, 1, 2, 5, 'Infinity']) AS le, unnest(range(6)) AS i)
+"""
+
+
+def bucket_counters(spark: SparkSession, sf: str) -> DataFrame:
+    bounds = F.array(*(F.struct(F.lit(le).alias("le"), F.lit(i).alias("i")) for i, le in enumerate(BOUNDS)))
+    rows = events(spark, sf).select("event_id", "user_id", "ts", *_series_labels(), F.inline(bounds))
+    value = (F.col("event_id") + 7 * F.col("i")) % 500 * (F.col("i") + 1 + F.col("user_id") % 3)
+    return rows.select(
+        "namespace", "job", "route", _pod(), "ts", F.col("event_id").alias("tie"), "le", value.cast("double").alias("value")
+    )
+
+
+# The sum and the count counter of the same histogram; eighths of a second keep sums exact.
+VIEW_SQL["v_latency_counters"] = """
+SELECT 'ns-' || (user_id % 2) AS namespace, 'svc-' || (user_id % 3) AS job, event_type AS route, 'pod-' || (user_id % 4) AS pod,
+       ts, event_id AS tie, part, CASE part WHEN 'sum' THEN CAST(event_id % 400 * (1 + user_id % 3) AS DOUBLE) / 8
+       ELSE CAST(event_id % 500 AS DOUBLE) END AS value
+FROM events, (SELECT unnest(['sum', 'count']) AS part)
+"""
+
+
+def latency_counters(spark: SparkSession, sf: str) -> DataFrame:
+    total = (F.col("event_id") % 400 * (1 + F.col("user_id") % 3)).cast("double") / 8
+    parts = F.array(
+        F.struct(F.lit("sum").alias("part"), total.alias("value")),
+        F.struct(F.lit("count").alias("part"), (F.col("event_id") % 500).cast("double").alias("value")),
+    )
+    return events(spark, sf).select(*_series_labels(), _pod(), "ts", F.col("event_id").alias("tie"), F.inline(parts))
+
+
+def _pod() -> Column:
+    return F.concat(F.lit("pod-"), _text(F.col("user_id") % 4)).alias("pod")
+
+
+# What each instance of a job that should run once reports.
+VIEW_SQL["v_running"] = """
+SELECT event_type AS cluster, 'ns-' || (user_id % 3) AS namespace, user_id AS instance, ts,
+       CAST(CASE WHEN user_id % 2 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS value
+FROM events
+"""
+
+
+def running(spark: SparkSession, sf: str) -> DataFrame:
+    person = F.col("user_id")
+    return events(spark, sf).select(
+        F.col("event_type").alias("cluster"),
+        F.concat(F.lit("ns-"), _text(person % 3)).alias("namespace"),
+        person.alias("instance"),
+        "ts",
+        F.when(person % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.0)).alias("value"),
+    )
+
+
 VIEW_SQL["v_gauge"] = """
 SELECT DISTINCT event_type AS cluster, 'ns-' || (user_id % 3) AS namespace, user_id AS instance,
        CAST(CASE WHEN user_id % 5 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS value

@@ -227,3 +227,27 @@ def test_odd_buckets_keep_short_slices(spark):
     plan = steps._jdf.queryExecution().analyzed().toString()
     assert "3600000000" in plan and "90000000000" in plan  # slices of an hour, buckets of 25 hours
     assert steps.agg(F.sum("n")).first()[0] == 1999.0
+
+
+def test_quantiles_of_counters_that_are_not_monotone(spark):
+    """The count of a bound is at least that of smaller bounds."""
+    rows = [("a", 1.0, 4.0), ("a", 2.0, 3.0), ("a", float("inf"), 8.0)]
+    buckets = spark.createDataFrame(rows, "k string, le double, count double")
+    got = series.histogram_quantiles(buckets, ["k"], {"p25": 0.25, "p50": 0.5, "p99": 0.99}, monotone=True)
+    assert tuples(got) == [("a", 0.5, 1.0, 2.0)]
+    plain = series.histogram_quantiles(buckets, ["k"], {"p50": 0.5})
+    assert tuples(plain) == [("a", 1.0)]
+
+
+def test_counters_of_sum_and_count_with_restarts(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    counts = [("count", at(5), 0, 10.0), ("count", at(30), 1, 4.0), ("count", at(70), 2, 6.0)]
+    totals = [("sum", at(5), 0, 3.0), ("sum", at(30), 1, 5.0), ("sum", at(70), 2, 1.0)]
+    samples = spark.createDataFrame(
+        [("n", "j", "r", "p", *row) for row in counts + totals],
+        "namespace string, job string, route string, pod string, part string, ts timestamp, tie int, value double",
+    )
+    got = obs.mean_from_rates(samples, ["namespace", "job", "route", "pod"], seconds=60).where("level = 'job'")
+    rows = {b: (s * 60, c * 60, m) for b, s, c, m in tuples(got, "bucket_start", "sum_rate", "count_rate", "mean_seconds")}
+    # 3 to 5 grows by 2 while the other counter starts anew at 4; then the sum starts anew at 1.
+    assert rows == {T0: (2.0, 4.0, 0.5), T0 + timedelta(minutes=1): (1.0, 2.0, 0.5)}
