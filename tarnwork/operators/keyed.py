@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwork.session import cut_lineage
@@ -22,6 +22,16 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     )
 
 
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column], most: int, out: str = "position") -> DataFrame:
+    """The first ``most`` rows of every key in an order, numbered from 1.
+
+    The limit on the number is applied in the tasks before the exchange as
+    well, so at most ``most`` rows of a key and task are moved.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(out, place).where(F.col(out) <= most)
+
+
 def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join rows of any key distribution with a lookup of one row per key.
 

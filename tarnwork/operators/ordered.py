@@ -20,9 +20,10 @@ from tarnwork.functions.times import slice_of
 DAY = 86_400
 MINUTE = 60
 
-# Order within a slice: what earlier slices handed on, then facts, then probes
-# of the same time (a probe sees facts of its own time).
-_CARRIED, _FACT, _PROBE = 0, 1, 2
+# Order within a slice: facts, then probes of the same time (a probe sees facts of its own time).
+# Probes without a key or a time are dealt out to so many slices.
+_FACT, _PROBE, _UNKEYED = 1, 2, 3
+_SPREAD = 1024
 
 
 def running_max_at(
@@ -45,51 +46,53 @@ def running_max_at(
 
     Slices are short by default, so a burst of one key is spread over its
     minutes; the pass over the slices of a key is bound by the covered time.
-    Probes without a key or a time can meet no fact: they never reach the exchange.
+    Facts and probes are read once and cross one exchange; the state that slices
+    hand on is made of the same shuffled rows.  Probes without a key or a time
+    can meet no fact and are spread by their hash.
     """
     keyed = F.lit(True)
     for name in (*keys, probe_time):
         keyed = keyed & F.col(name).isNotNull()
-    without_key = probes.where(~keyed)
-    probes = probes.where(keyed)
-    fact_rows = facts.select(
-        *keys, F.col(fact_time).alias("__at"), slice_of(F.col(fact_time), slice_seconds).alias("__slice"), value.alias("__value")
-    ).dropna(subset=[*keys, "__at"])
+    # The key as a struct is never null itself, so no condition on it is inferred
+    # for one use of the rows below and not for the other.
+    key = F.struct(*keys).alias("__key")
+    fact_rows = facts.dropna(subset=[*keys, fact_time]).select(
+        key,
+        F.col(fact_time).alias("__at"),
+        slice_of(F.col(fact_time), slice_seconds).alias("__slice"),
+        F.lit(_FACT).alias("__phase"),
+        value.alias("__value"),
+    )
+    spread = F.pmod(F.xxhash64(*(f.name for f in probes.schema.fields if f.dataType.typeName() != "map")), F.lit(_SPREAD))
     probe_rows = probes.select(
-        *keys,
+        key,
         F.col(probe_time).alias("__at"),
-        slice_of(F.col(probe_time), slice_seconds).alias("__slice"),
+        F.coalesce(F.when(keyed, slice_of(F.col(probe_time), slice_seconds)), spread).alias("__slice"),
+        F.when(keyed, _PROBE).otherwise(_UNKEYED).alias("__phase"),
         F.struct(*probes.columns).alias("__row"),
     )
-    group = [*keys, "__slice"]
+    group = ["__key", "__slice"]
 
-    # One row per (key, slice): best value of the slice, null for slices with
-    # probes only.  The map-side aggregate reduces both kinds of rows before
-    # the one exchange.
-    per_slice = (
-        fact_rows.select(*group, "__value")
-        .unionByName(probe_rows.select(*group), allowMissingColumns=True)
-        .groupBy(*group)
-        .agg(F.max("__value").alias("__value"))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_slice.select(*group, F.max("__value").over(earlier).alias("__value")).where(
-        F.col("__value").isNotNull()
-    )
+    # The one exchange of the rows.  The count below never counts, but names
+    # every column: both uses of the rows ask for the same ones, so the exchange
+    # is made once and read twice.
+    rows = fact_rows.unionByName(probe_rows, allowMissingColumns=True).repartition(*group)
+    nothing = F.count(F.when(F.col("__phase") < 0, F.struct(*rows.columns))).alias("__nothing")
+
+    # One row per (key, slice): best value of the slice, null for slices with probes only.
+    per_slice = rows.groupBy(*group).agg(F.max("__value").alias("__best"), nothing).where("__nothing = 0")
+    earlier = Window.partitionBy("__key").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_slice.select(*group, F.max("__best").over(earlier).alias("__carried"))
 
-    rows = (
-        carried.withColumn("__phase", F.lit(_CARRIED))
-        .unionByName(fact_rows.withColumn("__phase", F.lit(_FACT)), allowMissingColumns=True)
-        .unionByName(probe_rows.withColumn("__phase", F.lit(_PROBE)), allowMissingColumns=True)
-    )
-    # Carried rows have no time: nulls sort first.
     so_far = (
-        Window.partitionBy(*group)
-        .orderBy(F.col("__at").asc_nulls_first(), "__phase")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(*group).orderBy("__at", "__phase").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    return (
+        rows.join(carried, group, "left")
+        .withColumn("__best", F.greatest("__carried", F.max("__value").over(so_far)))
+        .where(F.col("__phase") != _FACT)
+        .select("__row.*", F.when(F.col("__phase") == _PROBE, F.col("__best")).alias(out))
     )
-    met = rows.withColumn(out, F.max("__value").over(so_far)).where(F.col("__phase") == _PROBE).select("__row.*", out)
-    return met.unionByName(without_key.withColumn(out, F.lit(None).cast(met.schema[out].dataType)))
 
 
 def as_of_join(

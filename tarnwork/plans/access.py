@@ -57,9 +57,14 @@ def expired_for_reclaim(expires_at: Column, now: Column) -> Column:
     return F.coalesce(parse_time(F.trim(expires_at)) <= now, F.lit(False))
 
 
-def issue_grants(approved: DataFrame, now: Column, days: int = GRANT_DAYS) -> DataFrame:
-    """Grant rows for approved requests: granted now, expiring after ``days``."""
+def issue_grants(approved: DataFrame, now: Column, days: int = GRANT_DAYS, transition: dict[str, str] | None = None) -> DataFrame:
+    """Grant rows for approved requests: granted now, expiring after ``days``.
+
+    ``transition`` names columns of ``approved`` that go along (old to new
+    name), so that ``append_once`` can tell which approval a grant came from.
+    """
     return approved.select(
+        *[F.col(old).alias(new) for old, new in (transition or {}).items()],
         "username",
         "table_fqn",
         "security_level",

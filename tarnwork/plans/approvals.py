@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.functions.names import strip
 from tarnwork.functions.once import let
 from tarnwork.functions.times import as_timestamp, hours_between
-from tarnwork.operators.keyed import lookup_join, rows_in
+from tarnwork.operators.keyed import first_of_each, lookup_join, rows_in
 from tarnwork.session import cut_lineage
 
 OPEN = ("pending", "pending_external")
@@ -404,9 +404,78 @@ def requests_with_steps(requests: DataFrame, steps: DataFrame) -> DataFrame:
     return listed.unionByName(lonely, allowMissingColumns=True).select(*columns)
 
 
+def own_requests(requests: DataFrame, steps: DataFrame, most: int = 50) -> DataFrame:
+    """Every user's newest requests, newest first, with their steps and the current step.
+
+    ``position`` counts the requests of a user from the newest one.
+    """
+    page = first_of_each(requests, ["username"], [F.desc("id")], most)
+    wanted = page.select(F.col("id").alias("request_id"))
+    return requests_with_steps(page, rows_in(steps, wanted, ["request_id"]))
+
+
+def own_registrations(registrations: DataFrame, most: int = 50) -> DataFrame:
+    """Every user's newest registrations, newest first."""
+    return first_of_each(registrations, ["requested_by"], [F.desc("id")], most)
+
+
+def approved_transitions(requests: DataFrame, steps: DataFrame) -> DataFrame:
+    """Approved requests with ``decided_at``, the time of their last step: what issues a grant, once."""
+    last = steps.groupBy(F.col("request_id").alias("id")).agg(F.max("activated_at").alias("decided_at"))
+    return lookup_join(approved_requests(requests, steps), last, ["id"], "inner").select(*requests.columns, "decided_at")
+
+
+def decide_group_requests(requests: DataFrame, decisions: DataFrame, known_groups: DataFrame) -> DataFrame:
+    """Group requests with their status after the decisions.
+
+    Only a pending request can be decided, so its earliest decision counts.  An
+    approval is applied when the group is known and waits for it otherwise.
+
+    ``decisions``: request_id, verdict ("approve" or "reject"), decided_by, decided_at.
+    """
+    first = (
+        decisions.where(F.col("verdict").isin("approve", "reject"))
+        .groupBy(F.col("request_id").alias("id"))
+        .agg(F.min(F.struct("decided_at", "decided_by", "verdict")).alias("__first"))
+    )
+    known = known_groups.select(F.col("group").alias("group_name")).distinct().withColumn("__known", F.lit(True))
+    open_request = F.col("status") == "pending"
+    looked_up = lookup_join(lookup_join(requests, first, ["id"]), known, ["group_name"])
+    decided = open_request & F.col("__first").isNotNull()
+    applied = F.when(F.col("__known"), F.lit("applied")).otherwise(F.lit("approved_pending_apply"))
+    status = F.when(F.col("__first.verdict") == "approve", applied).otherwise(F.lit("rejected"))
+    new = {
+        "status": F.when(decided, status).otherwise(F.col("status")),
+        "decided_by": F.when(decided, F.col("__first.decided_by")).otherwise(F.col("decided_by")),
+        "decided_at": F.when(decided, F.col("__first.decided_at")).otherwise(F.col("decided_at")),
+    }
+    return looked_up.select(*[new.get(c, F.col(c)).alias(c) for c in requests.columns])
+
+
+def pending_group_requests(requests: DataFrame) -> DataFrame:
+    return requests.where(F.col("status") == "pending")
+
+
+def granted_memberships(decided: DataFrame) -> DataFrame:
+    """(username, group) of the applied requests."""
+    return decided.where(F.col("status") == "applied").select("username", F.col("group_name").alias("group")).distinct()
+
+
 def audit_page(requests: DataFrame, steps: DataFrame, limit: int = 200) -> DataFrame:
     """The newest requests with their steps."""
     page = requests.orderBy(F.desc("id")).limit(limit)
     wanted = page.select(F.col("id").alias("request_id"))
     listed = requests_with_steps(page, rows_in(steps, wanted, ["request_id"]))
     return listed.orderBy(F.desc("request_id"), "step_order", "step_id")
+
+
+def full_audit_page(requests: DataFrame, steps: DataFrame, group_requests: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest table requests with their steps and the newest group requests on one page, marked by ``kind``."""
+    tables = audit_page(requests, steps, limit).withColumn("kind", F.lit("table"))
+    newest = group_requests.orderBy(F.desc("id")).limit(limit)
+    groups = newest.select(
+        F.lit("group").alias("kind"),
+        F.col("id").alias("request_id"),
+        *[c for c in ("username", "group_name", "status", "requested_at", "decided_by", "decided_at")],
+    )
+    return tables.unionByName(groups, allowMissingColumns=True)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.times import as_timestamp
 from tarnwork.operators.keyed import latest_per_key, lookup_join
 from tarnwork.operators.ordered import DAY, MINUTE, as_of_join
+from tarnwork.sinks.snapshots import BucketedSnapshot
 
 
 @dataclass(frozen=True)
@@ -88,6 +89,24 @@ def materialize_incremental(snapshot: DataFrame, source: DataFrame, view: Featur
     return _latest(snapshot.select(*view.columns).unionByName(changes), view)
 
 
+def online_store(spark: SparkSession, root: str, source: DataFrame, view: FeatureView, buckets: int = 64) -> BucketedSnapshot:
+    """The stored snapshot of a view below ``root``, with the types of its source."""
+    schema = source.select(*view.columns).schema
+    order = (view.time, *(view.tiebreak or view.fields))
+    return BucketedSnapshot(spark, root, schema, view.keys, order, buckets)
+
+
+def materialize_into(store: BucketedSnapshot, source: DataFrame, view: FeatureView, start, end, *, after: bool = False) -> int:
+    """Bring a stored snapshot up to ``end`` with the rows from ``start`` on (``after``: behind it).
+
+    Only the new rows and the buckets they fall into are moved; the latest
+    (time, tiebreak) wins, so a second run or a late older row changes nothing.
+    """
+    when = F.col(view.time)
+    begin = when > as_timestamp(start) if after else when >= as_timestamp(start)
+    return store.upsert(source.where(begin & (when <= as_timestamp(end))).select(*view.columns))
+
+
 def _latest(rows: DataFrame, view: FeatureView) -> DataFrame:
     order = [view.time, *(view.tiebreak or view.fields)]
     return latest_per_key(rows, list(view.keys), order)

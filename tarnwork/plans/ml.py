@@ -36,7 +36,7 @@ def split_rows(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION, se
 
 
 def forest_pipeline(
-    columns: list[str], *, trees: int = FEATURE_TREES, depth: int = FEATURE_DEPTH, seed: int = SEED
+    columns: list[str], *, trees: int = FEATURE_TREES, depth: int = FEATURE_DEPTH, seed: int = SEED, **settings
 ) -> Pipeline:
     """Feature vector and random forest on plain numbers, with a numeric ``label``.
 
@@ -44,11 +44,14 @@ def forest_pipeline(
     many of them as there are, without a list of them on the driver.
     """
     features = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[features, forest(trees, depth, seed)])
+    return Pipeline(stages=[features, forest(trees, depth, seed, **settings)])
 
 
-def forest(trees: int = BASELINE_TREES, depth: int = BASELINE_DEPTH, seed: int = SEED) -> RandomForestClassifier:
+def forest(
+    trees: int = BASELINE_TREES, depth: int = BASELINE_DEPTH, seed: int = SEED, features_per_split: str = "auto"
+) -> RandomForestClassifier:
     return RandomForestClassifier(
+        featureSubsetStrategy=features_per_split,
         featuresCol="features",
         labelCol="label",
         numTrees=trees,

@@ -35,7 +35,7 @@ def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None
     The rows go to a folder beside ``path`` and take its place when they are
     complete, so the frame may read the table it replaces and a failed run
     changes nothing.  Between the two renames a reader may find no folder;
-    ``create_or_replace`` and the snapshots have no such moment.
+    ``refresh``, which keeps versions, has no such moment.
     """
     spark = df.sparkSession
     target = path.rstrip("/")
@@ -56,6 +56,23 @@ def full_refresh(df: DataFrame, path: str, partition_by: list[str] | None = None
     spark.catalog.refreshByPath(target)
 
 
+def refresh(df: DataFrame, root: str, keep: int = 2) -> int:
+    """Replace all rows at every moment: a new version beside the old one, which readers of ``read_snapshot`` see when it is complete.
+
+    A failed run changes nothing, the frame may read the table it replaces, and
+    the ``keep`` newest versions stay for readers that are still at work.
+    """
+    spark = df.sparkSession
+    versions = snapshot_versions(spark, root)
+    number = (versions[-1] if versions else 0) + 1
+    publish_snapshot(df, root, number)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in [*versions, number][:-keep]:
+        fs.delete(hadoop_path(f"{root.rstrip('/')}/version={old:012d}"), True)
+    return number
+
+
 def create_schema(spark: SparkSession, schema: str, location: str | None = None) -> None:
     spark.sql(f"CREATE SCHEMA IF NOT EXISTS {_quoted(schema)}{_location(location)}")
 

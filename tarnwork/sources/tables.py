@@ -61,9 +61,19 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header, columns found by name and cast to a declared schema.
 
     Types are never inferred.  A column the header lacks is null; a value that
-    does not fit its type fails the load.
+    does not fit its type fails the load.  The files of a folder may have their
+    columns in different orders: each is read by its own header.
     """
-    raw = spark.read.option("header", True).csv(path)
+    parts = [_by_name(spark.read.option("header", True).csv(files), schema) for files in _by_header(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows
+
+
+def _by_name(raw: DataFrame, schema: T.StructType) -> DataFrame:
     present = set(raw.columns)
     return raw.select(
         *[
@@ -73,6 +83,20 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     )
 
 
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files of a folder in groups of the same first line; the driver gets file names and their first lines.
+
+    Only the first block of a file is read for it.
+    """
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0 AND length(value) > 0")
+    numbered = lines.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    first = numbered.groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    groups: dict[str, list[str]] = {}
+    for row in first.orderBy("file").collect():
+        groups.setdefault(row.header, []).append(row.file)
+    return list(groups.values())
+
+
 def read_employees(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.EMPLOYEES)
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.plans import access, approvals, catalog, contracts, membership
+from tarnwork.session import scratch_path
+from tarnwork.sinks.once import append_once, read_once
 from tarnwork.workload import views as v
-from tarnwork.workload.registry import VIEW_SQL, query
+from tarnwork.workload.registry import SQL, VIEW_SQL, query
 
 NOW = "2024-01-15 00:00:00"
 SLA_NOW = "2000-01-01 12:00:00"
@@ -34,6 +36,23 @@ def grant_issue(spark: SparkSession, sf: str) -> DataFrame:
     return access.issue_grants(approved, F.col("requested_at"))
 
 
+@query(
+    "grant_issue_once",
+    """SELECT id AS request_id, decided_at, username, table_fqn, security_level, decided_at AS granted_at,
+        decided_at + INTERVAL 180 DAY AS expires_at
+    FROM v_table_requests JOIN (SELECT request_id, max(activated_at) AS decided_at FROM v_approval_steps GROUP BY ALL) ON request_id = id
+    WHERE id IN (SELECT request_id FROM v_final WHERE status = 'approved')""",
+)
+def grant_issue_once(spark: SparkSession, sf: str) -> DataFrame:
+    """The grant table after three runs over approvals that overlap, the last of them a repeat: every approval granted once."""
+    root = scratch_path(spark, "grants")
+    approved = approvals.approved_transitions(v.table_requests(spark, sf), v.approval_steps(spark, sf))
+    grants = access.issue_grants(approved, F.col("decided_at"), transition={"id": "request_id", "decided_at": "decided_at"})
+    for run, part in (("first half", grants.where("request_id % 2 = 0")), ("all", grants), ("all", grants)):
+        append_once(part, root, run, ["request_id", "decided_at"], "decided_at")
+    return read_once(spark, root, grants.schema)
+
+
 @query(
     "request_clean",
     """SELECT doc_id AS id, left(trim(regexp_replace(source, '[^a-zA-Z0-9_.]', ' ', 'g')), 300) AS table_fqn,
@@ -348,12 +367,67 @@ def request_with_steps(spark: SparkSession, sf: str) -> DataFrame:
     return approvals.requests_with_steps(v.table_requests(spark, sf), v.approval_steps(spark, sf))
 
 
+VIEW_SQL["v_group_decided"] = """
+SELECT r.id, username, group_name, CASE WHEN r.status <> 'pending' OR verdict IS NULL THEN r.status WHEN verdict = 'reject' THEN 'rejected'
+        WHEN group_name IN (SELECT "group" FROM v_known_groups) THEN 'applied' ELSE 'approved_pending_apply' END AS status, requested_at,
+    CASE WHEN r.status = 'pending' THEN d.decided_by ELSE r.decided_by END AS decided_by,
+    CASE WHEN r.status = 'pending' THEN d.decided_at ELSE r.decided_at END AS decided_at
+FROM v_group_requests r LEFT JOIN (
+    SELECT * FROM v_group_decisions QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY decided_at) = 1) d ON d.request_id = r.id
+"""
+
+
+def _decided_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return approvals.decide_group_requests(
+        v.group_requests(spark, sf), v.group_decisions(spark, sf), v.known_groups(spark, sf)
+    )
+
+
 @query(
     "audit_last_200",
-    _STEP_LIST.format(open=_OPEN, requests="(SELECT * FROM v_table_requests ORDER BY id DESC LIMIT 200)"),
+    f"""SELECT 'table' AS kind, t.*, NULL AS group_name, NULL AS status, NULL AS decided_by, CAST(NULL AS TIMESTAMP) AS decided_at
+    FROM ({_STEP_LIST.format(open=_OPEN, requests="(SELECT * FROM v_table_requests ORDER BY id DESC LIMIT 200)")}) t
+    UNION ALL SELECT 'group', id, username, NULL, NULL, NULL, requested_at, NULL, NULL, NULL, NULL, NULL, group_name, status, decided_by, decided_at
+    FROM (SELECT * FROM v_group_decided ORDER BY id DESC LIMIT 200)""",
 )
 def audit_last_200(spark: SparkSession, sf: str) -> DataFrame:
-    return approvals.audit_page(v.table_requests(spark, sf), v.approval_steps(spark, sf))
+    """The newest requests of both kinds."""
+    return approvals.full_audit_page(
+        v.table_requests(spark, sf), v.approval_steps(spark, sf), _decided_groups(spark, sf)
+    )
+
+
+@query("group_requests_decided", "SELECT * FROM v_group_decided")
+def group_requests_decided(spark: SparkSession, sf: str) -> DataFrame:
+    return _decided_groups(spark, sf)
+
+
+@query("group_requests_pending", "SELECT * FROM v_group_decided WHERE status = 'pending'")
+def group_requests_pending(spark: SparkSession, sf: str) -> DataFrame:
+    return approvals.pending_group_requests(_decided_groups(spark, sf))
+
+
+@query(
+    "group_memberships_granted",
+    """SELECT username, "group" FROM v_members_current
+    UNION SELECT username, group_name FROM v_group_decided WHERE status = 'applied'""",
+)
+def group_memberships_granted(spark: SparkSession, sf: str) -> DataFrame:
+    """The membership table after the applied group requests."""
+    return membership.upsert(v.members_current(spark, sf), approvals.granted_memberships(_decided_groups(spark, sf)))
+
+
+@query(
+    "my_requests",
+    _STEP_LIST.replace("requested_at,", "requested_at, position,").format(
+        open=_OPEN,
+        requests="""(SELECT *, row_number() OVER (PARTITION BY username ORDER BY id DESC) AS position FROM v_table_requests
+            QUALIFY position <= 5)""",
+    ),
+)
+def my_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """The five newest requests of every user with their steps and the current step."""
+    return approvals.own_requests(v.table_requests(spark, sf), v.approval_steps(spark, sf), most=5)
 
 
 VIEW_SQL["v_moved"] = f"""
@@ -510,6 +584,10 @@ def contract_type_map(spark: SparkSession, sf: str) -> DataFrame:
     FROM v_contracts JOIN v_contract_errors USING (id)""",
 )
 def registration_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return _registrations(spark, sf)
+
+
+def _registrations(spark: SparkSession, sf: str) -> DataFrame:
     requests = v.contracts(spark, sf).select(
         "id",
         F.concat(F.lit("u"), (F.col("id") % 9).cast("string")).alias("requested_by"),
@@ -521,6 +599,25 @@ def registration_audit(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.registration_rows(requests, F.lit(NOW).cast("timestamp"))
 
 
+@query("registration_append", SQL["registration_audit"])
+def registration_append(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit table after three runs: one for some registrations, one for all of them, and that one once more."""
+    root, rows = scratch_path(spark, "registrations"), _registrations(spark, sf)
+    for run, part in (("morning", rows.where("id % 3 = 0")), ("evening", rows), ("evening", rows)):
+        append_once(part, root, run, ["id", "created_at"], "created_at")
+    return read_once(spark, root, rows.schema)
+
+
+@query(
+    "my_registrations",
+    f"""SELECT *, row_number() OVER (PARTITION BY requested_by ORDER BY id DESC) AS position FROM ({SQL["registration_audit"]})
+    QUALIFY position <= 20""",
+)
+def my_registrations(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty newest registrations of every user."""
+    return approvals.own_registrations(_registrations(spark, sf), most=20)
+
+
 # -- catalogue and lineage ---------------------------------------------------
 
 

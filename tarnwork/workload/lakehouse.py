@@ -151,8 +151,8 @@ def sink_full_refresh(spark: SparkSession, sf: str) -> DataFrame:
     """Two runs of a refresh: every row once."""
     path = scratch_path(spark, "refresh")
     for _ in range(2):
-        sinks.full_refresh(v.orders(spark, sf), path)
-    return spark.read.schema(schemas.ORDERS).parquet(path)
+        sinks.refresh(v.orders(spark, sf), path)
+    return sinks.read_snapshot(spark, path)
 
 
 @query(

@@ -317,6 +317,56 @@ def access_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+VIEW_SQL["v_group_requests"] = """
+SELECT event_id AS id, CAST(user_id AS VARCHAR) AS username, CASE event_id % 5 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'HOUSEHOLD'
+           WHEN 2 THEN 'VIEWERS' ELSE 'group-' || (event_id % 7) END AS group_name,
+       CASE WHEN event_id % 13 = 0 THEN 'rejected' ELSE 'pending' END AS status, ts AS requested_at,
+       CASE WHEN event_id % 13 = 0 THEN 'admin0' END AS decided_by, CASE WHEN event_id % 13 = 0 THEN ts + INTERVAL 1 HOUR END AS decided_at
+FROM events WHERE event_type = 'view'
+"""
+# A third of the requests is approved, a third rejected; some are decided twice.
+VIEW_SQL["v_group_decisions"] = """
+SELECT event_id AS request_id, CASE event_id % 3 WHEN 0 THEN 'approve' ELSE 'reject' END AS verdict, 'admin' || (event_id % 4) AS decided_by,
+       ts + INTERVAL 1 DAY AS decided_at FROM events WHERE event_type = 'view' AND event_id % 3 <> 2
+UNION ALL
+SELECT event_id, 'reject', 'admin9', ts + INTERVAL 2 DAY FROM events WHERE event_type = 'view' AND event_id % 6 = 0
+"""
+
+
+def group_requests(spark: SparkSession, sf: str) -> DataFrame:
+    key, ts, settled = F.col("event_id"), F.col("ts"), F.col("event_id") % 13 == 0
+    group = (
+        F.when(key % 5 == 0, "BUILDING").when(key % 5 == 1, "HOUSEHOLD").when(key % 5 == 2, "VIEWERS")
+        .otherwise(F.concat(F.lit("group-"), _text(key % 7)))
+    )
+    return events(spark, sf).where("event_type = 'view'").select(
+        key.alias("id"),
+        _text("user_id").alias("username"),
+        group.alias("group_name"),
+        F.when(settled, "rejected").otherwise("pending").alias("status"),
+        ts.alias("requested_at"),
+        F.when(settled, F.lit("admin0")).alias("decided_by"),
+        F.when(settled, ts + F.expr("INTERVAL 1 HOUR")).alias("decided_at"),
+    )
+
+
+def group_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    key, rows = F.col("event_id"), events(spark, sf).where("event_type = 'view'")
+    first = rows.where(key % 3 != 2).select(
+        key.alias("request_id"),
+        F.when(key % 3 == 0, "approve").otherwise("reject").alias("verdict"),
+        F.concat(F.lit("admin"), _text(key % 4)).alias("decided_by"),
+        (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("decided_at"),
+    )
+    again = rows.where(key % 6 == 0).select(
+        key.alias("request_id"),
+        F.lit("reject").alias("verdict"),
+        F.lit("admin9").alias("decided_by"),
+        (F.col("ts") + F.expr("INTERVAL 2 DAYS")).alias("decided_at"),
+    )
+    return first.unionByName(again)
+
+
 VIEW_SQL["v_members_current"] = """
 SELECT CAST(c_custkey AS VARCHAR) AS username, c_mktsegment AS "group" FROM customer
 """
