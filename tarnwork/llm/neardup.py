@@ -109,7 +109,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketches(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, keys) of every row; no keys for an empty set."""
+    """(doc_id, text_key, n_shingles, f1, f2, keys) of every row; no keys for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, factors = Hashes(), multipliers(rows * bands)
@@ -123,12 +123,16 @@ def sketches(docs: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataFrame
                 second.append(f2)
                 keys.append(band_keys(registers(own, factors), rows) if len(own) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), longs(sizes), longs(first), longs(second), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "f1", "f2", "keys"],
+                [
+                    batch.column("doc_id"), batch.column("text_key"), longs(sizes), longs(first), longs(second),
+                    pa.array(keys, pa.list_(pa.int64())),
+                ],
+                names=["doc_id", "text_key", "n_shingles", "f1", "f2", "keys"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, keys array<long>")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_key long, n_shingles long, f1 long, f2 long, keys array<long>")
 
 
 def _sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +301,7 @@ def rest_links(own: DataFrame, sets: DataFrame, components: DataFrame, rows: int
 
 
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, component_id, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, text_key, n_shingles, f1, f2, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     ``component_id`` is the least id reachable over links, the own id included;
     ``kept`` marks it.  A null id is its own component and kept.
@@ -337,9 +341,11 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = R
 def representatives(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` that near-duplicate removal keeps: one row of each group, and rows without an id."""
     found = near_duplicates(docs, percent, rows, bands)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
     columns = [f"`{c}`" for c in docs.columns]
-    keyed = docs.where("doc_id is not null").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # A row is known by its id and its text: another text under the same id is judged by itself.
+    keyed = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
+    same = (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__gone_text"))
     # Repeated rows of one id meet in the join's partitions already.
-    once = keyed.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*columns)
+    once = keyed.join(gone, same, "left_anti").dropDuplicates(["doc_id", "__text"]).select(*columns)
     return once.unionByName(docs.where("doc_id is null").select(*columns))

@@ -33,14 +33,16 @@ from pyspark.sql import DataFrame
 from tarnwork.llm.common import bounded_sample, longs, strings, texts_of, with_columns
 
 # Element names of HTML by their role.
-RAW = frozenset("script style title textarea noscript template svg iframe object canvas audio video math select xmp noembed noframes".split())
+RAW = frozenset("script style title textarea xmp".split())
+# Not part of the page's text, but no raw text either: an open one ends with its parent, and without any end tag it is no container.
+EMBEDDED = frozenset("noscript template svg iframe object canvas audio video select noembed noframes".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong "
+    "math mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mpadded mphantom semantics annotation a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr output q rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr button img input picture source".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr caption pre blockquote address summary figcaption legend option".split())
-BOILERPLATE = frozenset("nav footer aside form head menu dialog fieldset button".split())
+BOILERPLATE = frozenset("nav footer aside form head menu dialog fieldset button".split()) | EMBEDDED
 CONTENT = frozenset("article main".split())
 BOILERPLATE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies copyright disqus footer form gdpr header "
@@ -55,7 +57,7 @@ _ATTRIBUTE = re.compile(r"""([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'
 _NAME_PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _ENDS: dict[str, re.Pattern[str]] = {}
 
-OUT, IN, HIDDEN = -1, 1, -2
+OUT, IN = -1, 1
 STRUCTURE_COST = 6.0
 TEXT_COST = 1.0
 NEXT_EDGE = 2.0
@@ -77,12 +79,9 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _meaning(name: str, raw: str, inside_article: bool) -> int:
-    """What an element says about its text: boilerplate, content, hidden, or nothing (0)."""
+    """What an element says about its text: boilerplate, content, or nothing (0)."""
     attributes = _attributes(raw)
     if attributes:
-        style = attributes.get("style", "").replace(" ", "").lower()
-        if "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
-            return HIDDEN
         if attributes.get("role", "").lower() in BOILERPLATE_ROLES:
             return OUT
         if name not in ("body", "html"):
@@ -150,6 +149,13 @@ class Nest:
         return gone
 
 
+def _end_of(name: str) -> re.Pattern[str]:
+    end = _ENDS.get(name)
+    if end is None:
+        end = _ENDS[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE)
+    return end
+
+
 def blocks_of(page: str) -> tuple[list[Block], Tree]:
     """The text blocks of a page in order; text of raw elements and markup is left out."""
     found: list[Block] = []
@@ -157,7 +163,8 @@ def blocks_of(page: str) -> tuple[list[Block], Tree]:
     containers = Nest()  # name, node, lean that holds inside
     inline = Nest()  # name, meaning
     parts: list[str] = []
-    linked = hidden = 0
+    linked = buttons = 0
+    last_end: dict[str, int] = {}  # of embedded elements, where an end tag stands that was looked up
     leaf, leaf_lean = "", 0
 
     def lean() -> int:
@@ -168,7 +175,7 @@ def blocks_of(page: str) -> tuple[list[Block], Tree]:
         nonlocal parts, linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text and lean() != HIDDEN:
+            if text:
                 node = containers.items[-1][1] if containers.items else 0
                 found.append(Block(text, min(linked, len(text)), node, lean(), leaf[:1] == "h"))
             parts, linked = [], 0
@@ -177,7 +184,7 @@ def blocks_of(page: str) -> tuple[list[Block], Tree]:
         nonlocal linked
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
-            if not hidden:
+            if not buttons:
                 parts.append(text)
                 linked += len(text) if inline.open.get("a") else 0
 
@@ -199,30 +206,31 @@ def blocks_of(page: str) -> tuple[list[Block], Tree]:
         at = tag_end(page, tag.end())
         name, closing, raw = tag[2].lower(), bool(tag[1]), page[tag.end() : at].removesuffix(">")
         if name in RAW and not closing:
-            if not raw.rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
-                end = _ENDS.get(name)
-                if end is None:
-                    end = _ENDS[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE)
-                stop = end.search(page, at)
-                at = stop.end() if stop else len(page)
+            stop = _end_of(name).search(page, at)
+            at = stop.end() if stop else len(page)
             continue
+        if name in EMBEDDED and not closing:
+            if last_end.get(name, 0) < at:
+                stop = _end_of(name).search(page, at)
+                last_end[name] = stop.start() if stop else len(page)
+            if last_end[name] == len(page) or raw.rstrip().endswith("/"):
+                continue
         if name in INLINE:
             if name in VOID or raw.endswith("/"):
                 continue
             if closing:
                 k = inline.find(name)
                 if k >= 0:
-                    hidden -= sum(item[1] == HIDDEN for item in inline.cut(k, k + 1))
+                    buttons -= sum(item[0] == "button" for item in inline.cut(k, k + 1))
             else:
-                meaning = HIDDEN if name == "button" else _meaning(name, raw, True) if raw else 0
-                inline.push(name, meaning)
-                hidden += meaning == HIDDEN
+                inline.push(name, 0)
+                buttons += name == "button"
             continue
         flush()
         if name in VOID:
             continue
         inline.cut(0, len(inline.items))
-        hidden = 0
+        buttons = 0
         if name in LEAF:
             leaf, leaf_lean = ("", 0) if closing else (name, _meaning(name, raw, True) if raw else 0)
             continue

@@ -8,10 +8,11 @@ compared with the sums over all documents of its language by Jensen-Shannon
 distance (square root of the divergence in bits, 0 to 1).  Common words are a
 fixed list for each language; a language without a list, or an unknown one, is
 judged by its characters alone, against all documents of that ``lang`` value
-(null is a value of its own).  A document with fewer than ``LEAST_WORDS`` words,
-or in a language with fewer than ``LEAST_DOCUMENTS`` documents, is too small to
-have a distribution and is never rejected for it; for the others the allowed
-distance of words is widened by what chance makes of a sample of their length.
+(null is a value of its own).  A document with fewer than ``LEAST_WORDS`` words is
+too small to have a distribution and is never rejected for it; for the others the
+allowed distance of words is widened by what chance makes of a sample of their
+length.  A document is part of its own reference, so in a small language it is
+compared with what is partly itself, and a single one is never rejected.
 
 Null and empty texts have no words and fail the base rule.  Nothing here looks
 at more than one row but the sums, which have one row for each language.
@@ -30,7 +31,6 @@ from tarnwork.session import cut_lineage
 
 WINDOW = 8
 LEAST_WORDS = 40
-LEAST_DOCUMENTS = 30
 MOST_CHARACTER_DISTANCE = 0.25
 MOST_WORD_DISTANCE = 0.26
 
@@ -144,7 +144,6 @@ def references(counts: DataFrame) -> DataFrame:
         return F.array(*(F.coalesce(F.sum(F.get(column, F.lit(k))), F.lit(0.0)) for k in range(n)))
 
     return counts.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("__n"),
         sums("char_counts", n_chars).alias("__chars"),
         sums("word_counts", n_words).alias("__words"),
         F.sum(F.col("__size").cast("double")).alias("__all_chars"),
@@ -162,7 +161,7 @@ def judged(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     refs = refs.withColumnRenamed("lang", "__lang")
     # One row for each language; its size decides how it is joined.
     joined = counts.join(refs, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    enough = (F.col("n_words") >= LEAST_WORDS) & (F.col("__n") >= LEAST_DOCUMENTS)
+    enough = F.col("n_words") >= LEAST_WORDS
     chars = distance(
         _with_rest(F.col("char_counts"), F.col("__size").cast("double")), _with_rest(F.col("__chars"), F.col("__all_chars"))
     )
@@ -184,4 +183,4 @@ def judged(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
         ~F.col("base_failed")
         & (F.coalesce("char_distance", F.lit(0.0)) <= MOST_CHARACTER_DISTANCE)
         & (F.coalesce("word_distance", F.lit(0.0)) <= most_words),
-    ).drop("__lang", "__n", "__chars", "__words", "__all_chars", "__all_words", "__size")
+    ).drop("__lang", "__chars", "__words", "__all_chars", "__all_words", "__size")

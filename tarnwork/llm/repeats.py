@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm.common import Hashes, grams, longs, mixed, strings, texts_of
 from tarnwork.llm.fmindex import FMIndex
-from tarnwork.session import scratch_path
+from tarnwork.operators.keyed import dense_codes, lookup_join
+from tarnwork.session import cut_lineage, scratch_path
 
 WINDOW = 20
 GRAM = 6
@@ -398,7 +399,23 @@ def repeats(docs: DataFrame, texts: DataFrame, window: int = WINDOW, gram: int =
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept): the words that no repeated window covers, joined by one blank."""
+    """(doc_id, n_words, n_removed, kept): the words that no repeated window covers, joined by one blank.
+
+    Places are named by the id.  Where an id has several texts, each (id, text)
+    gets a number first, in the order of the ids and then of the texts' hashes.
+    """
+    named = docs.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("__own"))
+    several = named.where("doc_id is not null").groupBy("doc_id").agg((F.min("__own.h") != F.max("__own.h")).alias("several"))
+    if several.where("several").isEmpty():
+        return _without_repeats(docs, window, gram)
+    codes = cut_lineage(dense_codes(named, "__own", "__code"))
+    numbered = lookup_join(named, codes, ["__own"]).select(F.col("__code").alias("doc_id"), "text")
+    found = _without_repeats(numbered, window, gram).withColumnRenamed("doc_id", "__code")
+    ids = codes.select("__code", F.col("__own.doc_id").alias("doc_id"))
+    return lookup_join(found, ids, ["__code"]).select("doc_id", "n_words", "n_removed", "kept")
+
+
+def _without_repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
     texts = packed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

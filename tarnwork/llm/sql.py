@@ -73,11 +73,11 @@ counts AS (
     CASE WHEN common IS NOT NULL THEN list_transform(common, lambda c: len(list_filter(words, lambda x: lower(x) = c))) END AS word_counts
   FROM w LEFT JOIN repeated ON w.doc_id = repeated.doc_id),
 refs AS (
-  SELECT lang, count(*) AS n, sum(length(t)) AS all_chars, sum(n_words) AS all_words,
+  SELECT lang, sum(length(t)) AS all_chars, sum(n_words) AS all_words,
     {sums('chars', len(quality.CLASSES))} AS ref_chars, {sums('word_counts', size)} AS ref_words FROM counts GROUP BY lang),
 judged AS (
   SELECT c.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    n_words >= {quality.LEAST_WORDS} AND r.n >= {quality.LEAST_DOCUMENTS} AS enough,
+    n_words >= {quality.LEAST_WORDS} AS enough,
     {distance(shares('chars', 'length(t)'), shares('ref_chars', 'all_chars'))} AS char_distance,
     CASE WHEN word_counts IS NOT NULL THEN {distance(shares('word_counts', 'n_words'), shares('ref_words', 'all_words'))} END AS word_distance,
     sqrt({quality.MOST_WORD_DISTANCE} ** 2 + {size} / (8 * ln(2)) / greatest(n_words, 1)) AS most_words

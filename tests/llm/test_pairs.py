@@ -278,3 +278,14 @@ def test_queries_on_whole_tables(spark, sf):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in rows} == plain_repeats(texts)
     rows = QUERIES["op6_neardup"](spark, sf).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == plain_components(texts)
+
+
+def test_another_text_under_a_known_id_is_judged_by_itself(spark):
+    """Rows are known by id and text: neither operator loses the second text of id 10 with its first."""
+    p, q = prose(70, 60), prose(71, 60)
+    rows = [(3, p), (10, p), (10, q), (10, q), (None, q)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, neardup.representatives(docs).collect()), key=str)
+    assert kept == sorted([(3, p), (10, q), (None, q)], key=str)
+    got = sorted((tuple(r) for r in repeats.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
+    assert got == sorted([(3, 60, 0, p), (10, 60, 60, ""), (10, 60, 0, q), (10, 60, 0, q), (None, 60, 0, q)], key=str)

@@ -101,7 +101,8 @@ WEIGHTS = [0.4, 0.3, -6.0, -1.0, 0.1, 3.0]
         ('<article><p>a > b</p><p title="x > y">c</p><!-- <p>no</p> --><script>"</p>"</script><p>d</article>', "a > b c d"),
         ('<div class="cookie-notice">We use cookies.</div><article><header><h1>Head</h1></header><p>t</p></article>', "Head t"),
         ("<article><ul><li>one<li>two</ul><table><tr><td>x<td>y</table></article>", "one two x y"),
-        ('<article><p>t</p><p style="display: none">h</p><div hidden>h</div></article>', "t"),
+        ('<article><p>t</p><p style="display: none">h</p><div hidden>h</div></article>', "t h h"),
+        ("<article><p>We know that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds in all cases.</p></article>", "We know that x=2 holds in all cases."),
         ("", ""),
         ("<p", ""),
         ("<article>unclosed <p>text", "unclosed text"),
@@ -242,3 +243,27 @@ def test_stage_functions_keep_the_columns(spark, sf):
     docs = prepare(spark).read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns, name
+
+
+@pytest.mark.parametrize("name", sorted(pagetext.EMBEDDED))
+def test_an_open_tag_in_a_menu_ends_with_it(name):
+    """The page with the tag left open gives the text of the page with the tag closed."""
+    page = "<body><nav><{0}><option>en</option>{1}</nav><article><p>One and two.</p>{2}<p>Three.</p></article>{3}</body>"
+    closed = pagetext.main_text(page.format(name, f"</{name}>", "", ""), WEIGHTS)
+    assert closed == "One and two. Three."
+    assert pagetext.main_text(page.format(name, "", "", ""), WEIGHTS) == closed
+    other = f"<{name}><p>x</p></{name}>"
+    assert pagetext.main_text(page.format(name, "", other, ""), WEIGHTS) == closed
+    assert pagetext.main_text(page.format(name, "", "", other), WEIGHTS) == closed
+
+
+def test_small_languages_are_judged_like_large_ones(spark):
+    """One more document of a language does not switch the verdict on."""
+    odd = "#$% " * 60
+    verdicts = []
+    for others in (28, 29, 40):
+        docs = [(k, prose(k, 80), "en") for k in range(others)] + [(999, odd.replace("#", "a#b"), "en")]
+        row = quality.judged(spark.createDataFrame(docs, "doc_id long, text string, lang string")).where("doc_id = 999").first()
+        assert row.char_distance is not None
+        verdicts.append(row.kept)
+    assert len(set(verdicts)) == 1
