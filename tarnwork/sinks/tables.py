@@ -139,7 +139,10 @@ def write_messages_in_order(messages: DataFrame, order: str, path: str, staging:
     spark = messages.sparkSession
     kind = T.StructType([T.StructField("value", T.StringType()), T.StructField("__slice", messages.schema[order].dataType)])
     staged = spark.read.schema(kind).parquet(staging)
-    for row in staged.select("__slice").distinct().orderBy("__slice").collect():
+    slices = staged.select("__slice").distinct().orderBy("__slice").collect()
+    if not slices:  # an empty log is a folder as well
+        staged.select("value").write.mode("append").text(path)
+    for row in slices:
         part = staged.where(F.col("__slice").eqNullSafe(F.lit(row["__slice"])))
         part.select("value").coalesce(files).write.mode("append").text(path)
 
