@@ -369,8 +369,11 @@ def transfer_steps(steps: DataFrame, handover: DataFrame) -> DataFrame:
         .agg(F.min("to_user").alias("__target"))
     )
     open_rows = steps.where(_is_open())
-    moving = open_rows.join(pairs, "approver_username")
-    untouched = steps.where(~_is_open()).unionByName(open_rows.join(pairs, "approver_username", "left_anti"))
+    # One lookup for the open rows; an approver with most of them is spread by it.
+    targeted = lookup_join(open_rows, pairs, ["approver_username"])
+    moving = targeted.where(F.col("__target").isNotNull())
+    staying = targeted.where(F.col("__target").isNull()).select(*steps.columns)
+    untouched = steps.where(~_is_open()).unionByName(staying)
 
     taken = steps.select("request_id", "step_order", F.col("approver_username").alias("__target"))
     doubled = moving.groupBy(*slot).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > 1).select(*slot)
