@@ -289,3 +289,37 @@ def test_another_text_under_a_known_id_is_judged_by_itself(spark):
     assert kept == sorted([(3, p), (10, q), (None, q)], key=str)
     got = sorted((tuple(r) for r in repeats.without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept").collect()), key=str)
     assert got == sorted([(3, 60, 0, p), (10, 60, 60, ""), (10, 60, 0, q), (10, 60, 0, q), (None, 60, 0, q)], key=str)
+
+
+def greedy_by_all_matches(item, text, shortest):
+    """Mark the longest match of words that are not marked yet, again and again; of equal ones the first."""
+    in_item, in_text, found = [False] * len(item), [False] * len(text), []
+    while True:
+        best = (0, 0, 0)
+        for a in range(len(item)):
+            for b in range(len(text)):
+                n = 0
+                while a + n < len(item) and b + n < len(text) and item[a + n] == text[b + n] and not in_item[a + n] and not in_text[b + n]:
+                    n += 1
+                if n >= shortest and (-n, a, b) < best:
+                    best = (-n, a, b)
+        if not best[0]:
+            return sorted(found)
+        n, a, b = -best[0], best[1], best[2]
+        in_item[a : a + n] = [True] * n
+        in_text[b : b + n] = [True] * n
+        found.append((a, b, n))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_tiles_equal_a_greedy_search_over_all_matches(seed):
+    order = random.Random(seed)
+    letters = order.choice((2, 3, 6))
+    item, text = (np.array([order.randrange(letters) for _ in range(order.randrange(1, 40))]) for _ in range(2))
+    shortest = order.choice((2, 3, 5))
+    pairs = [
+        (a, b) for a in range(len(item) - shortest + 1) for b in range(len(text) - shortest + 1)
+        if (item[a : a + shortest] == text[b : b + shortest]).all()
+    ]
+    order.shuffle(pairs)
+    assert decontaminate.tiles(item, text, pairs, shortest) == greedy_by_all_matches(item.tolist(), text.tolist(), shortest)

@@ -267,3 +267,34 @@ def test_small_languages_are_judged_like_large_ones(spark):
         assert row.char_distance is not None
         verdicts.append(row.kept)
     assert len(set(verdicts)) == 1
+
+
+def all_readings(token, model, blanks):
+    """Every path through the lattice of a token: {reading: least cost}."""
+    paths = [("", (0, 0), 0.0)]
+    for options in toxicity._offers(token, blanks):
+        longer = []
+        for read, (a, b), cost in paths:
+            for letter, own in options:
+                if not letter:
+                    longer.append((read, (a, b), cost + own))
+                elif toxicity._CODE[letter] or b:
+                    c = toxicity._CODE[letter]
+                    longer.append((read + letter, (b, c), cost + own - float(model[a, b, c])))
+        paths = longer
+    out = {}
+    for read, (a, b), cost in paths:
+        cost -= float(model[a, b, 0]) if b or not blanks else 0.0
+        out[read] = min(cost, out.get(read, cost))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_restoring_equals_all_paths_of_the_lattice(seed):
+    order = random.Random(seed)
+    model = np.log(np.random.default_rng(seed).dirichlet(np.full(toxicity.SIZE, 0.3), (toxicity.SIZE,) * 2) + 1e-9).astype(np.float32)
+    token = "".join(order.choice("m0r1n3@$!. -aabs") for _ in range(order.randrange(1, 7)))
+    for blanks in (False, True):
+        readings = all_readings(token, model, blanks)
+        got = toxicity.restore(token, model, blanks)
+        assert got in readings and readings[got] <= min(readings.values()) + 1e-6
