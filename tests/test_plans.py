@@ -83,5 +83,5 @@ def test_as_of_join_reads_each_source_once(spark, sf):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"FileScan parquet \[o_orderkey", plan)) == 2
-    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning\(__key#\d+, __slice#\d+L, \d+\), REPARTITION", plan)) == 1
+    assert len(re.findall(r"- Exchange hashpartitioning\(__key#\d+, __slice#\d+L, \d+\), REPARTITION", plan)) == 1
     assert "ReusedExchange" in plan
