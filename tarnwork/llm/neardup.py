@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import Hashes, grams, longs, mixed, texts_of
+from tarnwork.llm.common import Hashes, grams, longs, mixed, shuffles_dropped, texts_of
 from tarnwork.llm.components import connected
 from tarnwork.operators.keyed import lookup_join
 from tarnwork.session import cut_lineage, scratch_path
@@ -300,27 +300,24 @@ def rest_links(own: DataFrame, sets: DataFrame, components: DataFrame, rows: int
     return dealt.mapInArrow(lambda batches: _links_between(batches, rows, percent), "c1 long, c2 long, f1 long, f2 long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, text_key, n_shingles, f1, f2, component_id, kept) for every row of ``docs`` (doc_id, text).
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder; its size is known to the plans that read it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    ``component_id`` is the least id reachable over links, the own id included;
-    ``kept`` marks it.  A null id is its own component and kept.
-    """
-    spark = docs.sparkSession
-    path = scratch_path(spark, "sketches")
-    sketches(docs, rows, bands).write.parquet(path)
-    known = spark.read.parquet(path)
+
+def _grouped(docs: DataFrame, percent: int, rows: int, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored sketches, stored classes (f1, f2, doc_id) and components of their nodes."""
+    known = _stored(sketches(docs, rows, bands), "sketches")
     usable = known.where("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id"))
+    classes = _stored(usable.groupBy("f1", "f2").agg(F.min("doc_id").alias("doc_id")), "classes")
     # One row for each class: the keys of its least document.
     chosen = usable.join(classes, ["f1", "f2", "doc_id"], "left_semi").dropDuplicates(["f1", "f2"])
-    own_path = scratch_path(spark, "buckets")
-    buckets(chosen).write.parquet(own_path)
-    own = spark.read.parquet(own_path)
+    own = _stored(buckets(chosen), "buckets")
     ends = own.select("f1", "f2").unionByName(own.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"))).distinct()
-    set_path = scratch_path(spark, "sets")
-    full_sets(docs, ends.join(classes, ["f1", "f2"]), rows, bands).write.parquet(set_path)
-    sets = spark.read.parquet(set_path)
+    wanted = _stored(ends.join(classes, ["f1", "f2"]), "wanted")
+    sets = _stored(full_sets(docs, wanted, rows, bands), "sets")
     stars = cut_lineage(verified(own.select("c1", "c2", "f1", "f2").distinct(), sets, percent, rows * bands))
     components = connected(_as_links(stars.where("linked")))
     if not stars.where(~F.col("linked")).isEmpty():
@@ -329,6 +326,18 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = R
             components = connected(
                 components.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_as_links(more))
             )
+    return known, classes, _stored(components, "components")
+
+
+def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, text_key, n_shingles, f1, f2, component_id, kept) for every row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the least id reachable over links, the own id included;
+    ``kept`` marks it.  A null id is its own component and kept.
+    """
+    spark = docs.sparkSession
+    with shuffles_dropped(spark):
+        known, classes, components = _grouped(docs, percent, rows, bands)
     member = components.select(F.col("node.f1").alias("f1"), F.col("node.f2").alias("f2"), "component")
     with_component = classes.join(member, ["f1", "f2"], "left").withColumn("component", F.coalesce("component", _node("f1", "f2")))
     least = with_component.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -341,11 +350,16 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = R
 def representatives(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` that near-duplicate removal keeps: one row of each group, and rows without an id."""
     found = near_duplicates(docs, percent, rows, bands)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
-    columns = [f"`{c}`" for c in docs.columns]
     # A row is known by its id and its text: another text under the same id is judged by itself.
+    own = found.where("doc_id is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
+    with shuffles_dropped(docs.sparkSession):
+        decided = _stored(
+            own.where("not kept or n > 1").select(F.col("doc_id").alias("__own"), F.col("text_key").alias("__own_text"), "kept"), "decided"
+        )
+    columns = [f"`{c}`" for c in docs.columns]
     keyed = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
-    same = (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__gone_text"))
-    # Repeated rows of one id meet in the join's partitions already.
-    once = keyed.join(gone, same, "left_anti").dropDuplicates(["doc_id", "__text"]).select(*columns)
-    return once.unionByName(docs.where("doc_id is null").select(*columns))
+    same = (F.col("doc_id") == F.col("__own")) & (F.col("__text") == F.col("__own_text"))
+    # Most rows are there once and need no exchange of their own; repeated ones meet by id and text.
+    once = keyed.join(decided, same, "left_anti").select(*columns)
+    again = keyed.join(decided.where("kept"), same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*columns)
+    return once.unionByName(again).unionByName(docs.where("doc_id is null").select(*columns))
