@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm import bpe, decontaminate, neardup, secrets, toxicity
-from tarnwork.llm.common import prepare, table
+from tarnwork.llm.common import prepare, shuffles_dropped, table
 from tarnwork.session import scratch_path
 
 MARK = "[secret]"
@@ -76,6 +76,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        staged = stage(spark, docs, sf_dir)
+        with shuffles_dropped(spark):
+            staged.write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
