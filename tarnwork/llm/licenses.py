@@ -1,7 +1,11 @@
 """License scan: fixed phrases, and an exact set-similarity join of text blocks with license notices.
 
-A block is a line of a text, a notice the set of its words.  A block matches a
-notice if it contains at least ``CONTAINMENT`` of the notice's words.  Words are
+A block is a line of a text, or a window of consecutive words whatever the line
+breaks between them; a notice is the set of its words.  Windows are twice as long
+as the longest notice and begin every ``step`` words, the length of that notice,
+so a notice that is wrapped or stands in a comment block lies in one of them.  A
+block matches a notice if it contains at least ``CONTAINMENT`` of the notice's
+words.  Words are
 ordered by how many texts of the whole corpus have them, rarest first.  A block
 that has ``need`` of a notice's ``n`` words has one of its ``n - need + 1``
 rarest, so only these are joined on (prefix filter); blocks with too few words
@@ -58,6 +62,11 @@ def words_of(data: bytes) -> list[bytes]:
     return data.translate(_TABLE).split()
 
 
+def step_of(notices: list[tuple[str, str]]) -> int:
+    """Words of the longest notice: the distance of windows, which are twice as long."""
+    return max((len(words_of(text.encode())) for _, text in notices), default=0) or 1
+
+
 def places(words: list[bytes], phrases: dict[str, str]) -> dict[str, list[int]]:
     """Starts of each phrase."""
     found = {}
@@ -142,6 +151,18 @@ def matches(
     if len(rows) <= LARGEST_BROADCAST:
         prefixes = F.broadcast(prefixes)
     keys = sorted(prefix_words)
+    step = step_of(notices)
+
+    def blocks_of(low: bytes) -> Iterator[set[bytes]]:
+        """Sets of words of the lines and windows that hold a word of a prefix."""
+        for line in low.split(b"\n"):
+            own = set(words_of(line))
+            if not prefix_words.isdisjoint(own):
+                yield own
+        words = words_of(low)
+        starts = {k for i, w in enumerate(words) if w in prefix_words for k in (i // step - 1, i // step) if k >= 0}
+        for k in sorted(starts):
+            yield set(words[k * step : (k + 2) * step])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,11 +172,11 @@ def matches(
                 folded = low.translate(_TABLE)
                 if not any(w in folded for w in keys):
                     continue
-                for line in low.split(b"\n"):
-                    own = set(words_of(line))
-                    if len(own) >= least and not prefix_words.isdisjoint(own):
-                        at.append(k)
-                        blocks.append(sorted(rank[w] for w in own & vocabulary))
+                # Equal blocks of a text count once; too few words of the notices match none (length filter).
+                found = {tuple(sorted(rank[w] for w in own & vocabulary)) for own in blocks_of(low)}
+                kept = sorted(b for b in found if len(b) >= least)
+                at.extend([k] * len(kept))
+                blocks.extend(kept)
             picked = batch.select(["doc_id", "text_key"]).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*picked.columns, pa.array(blocks, pa.list_(pa.int32()))], names=["doc_id", "text_key", "block"]

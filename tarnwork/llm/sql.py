@@ -94,6 +94,7 @@ def _licenses() -> str:
     words = lambda text: f"regexp_extract_all({fold % text}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     phrases = ", ".join(f"({phrase.split()!r}, '{label}')" for phrase, label in licenses.PHRASES.items())
     notices = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(licenses.NOTICES))
+    step = licenses.step_of(licenses.NOTICES)
     return f"""
 WITH w AS (SELECT doc_id, text, {words("coalesce(text, '')")} AS words FROM documents),
 phrases(phrase, label) AS (VALUES {phrases}),
@@ -105,7 +106,10 @@ base AS (
   SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
     array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM places GROUP BY doc_id),
 notices AS (SELECT k, label, list_distinct({words('notice')}) AS own FROM (VALUES {notices}) AS t(k, label, notice)),
-blocks AS (SELECT doc_id, list_distinct({words('line')}) AS block FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM w)),
+blocks AS (
+  SELECT doc_id, list_distinct({words('line')}) AS block FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM w)
+  UNION ALL SELECT doc_id, list_distinct(list_slice(words, i + 1, i + {2 * step})) AS block
+  FROM (SELECT doc_id, words, unnest(range(0, len(words), {step})) AS i FROM w)),
 found AS (
   SELECT doc_id, label, len(list_intersect(block, own)) / len(own) AS share FROM blocks, notices
   WHERE len(list_intersect(block, own)) >= ceil({licenses.CONTAINMENT} * len(own) - 1e-9)),

@@ -206,12 +206,39 @@ def test_notices_against_all_pairs(spark):
     for k, text in enumerate(texts):
         for n, (_, notice) in enumerate(licenses.NOTICES):
             own = set(licenses.words_of(notice.encode()))
-            share = max(len(own & set(licenses.words_of(line.encode()))) for line in text.split("\n")) / len(own)
+            words, step = licenses.words_of(text.encode()), licenses.step_of(licenses.NOTICES)
+            windows = [set(words[i : i + 2 * step]) for i in range(0, len(words), step)]
+            blocks = [set(licenses.words_of(line.encode())) for line in text.split("\n")] + windows
+            share = max(len(own & block) for block in blocks) / len(own)
             if share >= licenses.CONTAINMENT:
                 expected[k, n] = share
     assert got == expected and len(expected) > 100
 
 
+def test_notices_that_are_wrapped(spark):
+    """Each notice under every width of wrapping, with and without comment marks, anywhere in a text."""
+    import textwrap
+
+    rows = []
+    for n, (label, notice) in enumerate(licenses.NOTICES):
+        for width in (12, 25, 40, 72, 80):
+            for mark in ("", "# ", " * ", "// "):
+                for before in (0, 7, 23):
+                    lead = " ".join(f"word{k}" for k in range(before))
+                    body = "\n".join(mark + line for line in textwrap.wrap(notice, width))
+                    rows.append((len(rows), f"{lead}\n{body}\n{prose(n, 30)}", n))
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, own int")
+    found = {(r.doc_id, r.notice) for r in licenses.matches(docs.drop("own")).collect()}
+    assert all((doc, n) in found for doc, _, n in rows)
+
+
+def test_words_of_a_notice_far_apart_are_none(spark):
+    _, notice = licenses.NOTICES[1]
+    text = "\n".join(f"{w} {prose(k, 20)}" for k, w in enumerate(notice.split()))
+    docs = prepare(spark).createDataFrame([(1, text)], "doc_id long, text string")
+    assert licenses.matches(docs).count() == 0
+
+
 # the pipeline
 
 
