@@ -301,7 +301,7 @@ def rest_links(own: DataFrame, sets: DataFrame, components: DataFrame, rows: int
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder; its size is known to the plans that read it."""
+    """The frame, written to the shared folder and read again."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -316,8 +316,7 @@ def _grouped(docs: DataFrame, percent: int, rows: int, bands: int) -> tuple[Data
     chosen = usable.join(classes, ["f1", "f2", "doc_id"], "left_semi").dropDuplicates(["f1", "f2"])
     own = _stored(buckets(chosen), "buckets")
     ends = own.select("f1", "f2").unionByName(own.select(F.col("c1").alias("f1"), F.col("c2").alias("f2"))).distinct()
-    wanted = _stored(ends.join(classes, ["f1", "f2"]), "wanted")
-    sets = _stored(full_sets(docs, wanted, rows, bands), "sets")
+    sets = _stored(full_sets(docs, ends.join(classes, ["f1", "f2"]), rows, bands), "sets")
     stars = cut_lineage(verified(own.select("c1", "c2", "f1", "f2").distinct(), sets, percent, rows * bands))
     components = connected(_as_links(stars.where("linked")))
     if not stars.where(~F.col("linked")).isEmpty():
@@ -326,7 +325,7 @@ def _grouped(docs: DataFrame, percent: int, rows: int, bands: int) -> tuple[Data
             components = connected(
                 components.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_as_links(more))
             )
-    return known, classes, _stored(components, "components")
+    return known, classes, components
 
 
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -350,16 +349,11 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = R
 def representatives(docs: DataFrame, percent: int = LEAST_PERCENT, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """The rows of ``docs`` that near-duplicate removal keeps: one row of each group, and rows without an id."""
     found = near_duplicates(docs, percent, rows, bands)
-    # A row is known by its id and its text: another text under the same id is judged by itself.
-    own = found.where("doc_id is not null").groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept"))
-    with shuffles_dropped(docs.sparkSession):
-        decided = _stored(
-            own.where("not kept or n > 1").select(F.col("doc_id").alias("__own"), F.col("text_key").alias("__own_text"), "kept"), "decided"
-        )
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_key").alias("__gone_text")).distinct()
     columns = [f"`{c}`" for c in docs.columns]
+    # A row is known by its id and its text: another text under the same id is judged by itself.
     keyed = docs.where("doc_id is not null").withColumn("__text", F.xxhash64("text"))
-    same = (F.col("doc_id") == F.col("__own")) & (F.col("__text") == F.col("__own_text"))
-    # Most rows are there once and need no exchange of their own; repeated ones meet by id and text.
-    once = keyed.join(decided, same, "left_anti").select(*columns)
-    again = keyed.join(decided.where("kept"), same, "left_semi").dropDuplicates(["doc_id", "__text"]).select(*columns)
-    return once.unionByName(again).unionByName(docs.where("doc_id is null").select(*columns))
+    same = (F.col("doc_id") == F.col("__gone")) & (F.col("__text") == F.col("__gone_text"))
+    # Repeated rows of one id meet in the join's partitions already.
+    once = keyed.join(gone, same, "left_anti").dropDuplicates(["doc_id", "__text"]).select(*columns)
+    return once.unionByName(docs.where("doc_id is null").select(*columns))
