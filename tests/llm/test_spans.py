@@ -156,6 +156,44 @@ def test_network_finds_what_the_patterns_miss():
     assert all(not secrets.spans_of([f"words of 20{k}-01-01T10 only"], net)[0][1] for k in range(10, 60))
 
 
+def test_network_learns_from_all_texts(spark, monkeypatch):
+    order = random.Random(6)
+    key = lambda n: "".join(order.choice("0123456789abcdef") for _ in range(n))
+    line = lambda k: f"{prose(k, 3)} {key(32)} and 20{order.randrange(10, 99)}-01-01T10 more item{order.randrange(10**6)}"
+    frame = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    # Every text counts, copies too, however the rows and the shards are dealt out.
+    texts = [line(k) for k in range(1500)]
+    texts += [*texts[:40] * 5, None, "", prose(7, 50)]
+    monkeypatch.setattr(secrets, "SHARD", 300)
+    whole = secrets.train([t or "" for t in texts])
+    fewer = secrets.train(texts[:1200])
+    assert whole.threshold <= 1.0 and not np.array_equal(whole.kernel, fewer.kernel)
+    for parts in (1, 7):
+        net = secrets.fit(frame(texts).repartition(parts, "text"))
+        assert np.array_equal(net.kernel, whole.kernel) and np.array_equal(net.out, whole.out)
+        assert (net.scale, net.shift, net.threshold) == (whole.scale, whole.shift, whole.threshold)
+    # Texts of any length.
+    long_texts = [" ".join(line(k) for k in range(400)) for _ in range(2)]
+    assert min(map(len, long_texts)) > 20_000
+    assert secrets.fit(frame(long_texts)).threshold <= 1.0
+
+
+def test_examples_in_linear_time():
+    text = "token=abc123def " * 20_000
+    found = list(secrets.examples([text]))
+    assert len(found) == 20_000 and all(y for _, y in found)
+
+
+def test_counted_calibration_equals_repeated_rows():
+    order = np.random.default_rng(3)
+    logits, y, times = order.normal(0, 3, 60), order.integers(0, 2, 60).astype(float), order.integers(1, 6, 60)
+    logits += 4 * y
+    one = np.ones(times.sum())
+    assert np.allclose(secrets._platt(logits, y, times.astype(float)), secrets._platt(logits.repeat(times), y.repeat(times), one))
+    scores = 1 / (1 + np.exp(-logits))
+    assert secrets._threshold(scores, y, times.astype(float)) == secrets._threshold(scores.repeat(times), y.repeat(times), one)
+
+
 def test_network_sees_the_middle_of_long_candidates():
     class Digits:  # in place of a network: a place inside that shows the digit 7
         threshold = 0.5
