@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.session import cut_lineage
+from tarnwork.session import cut_lineage, scratch_path
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -61,7 +61,8 @@ def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
 
     The distinct values are range-sorted over all tasks and numbered by
     partition; only the per-partition counts (one row per partition) go
-    through a single task.
+    through a single task.  The codes are stored, so that their size is known
+    to a join: few of them are broadcast, and no row is moved for them.
     """
     numbered = cut_lineage(
         df.select(column)
@@ -82,9 +83,12 @@ def dense_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
         .agg(F.count(F.lit(1)).alias("__n"))
         .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     )
-    return numbered.join(offsets, "__part").select(
+    codes = numbered.join(offsets, "__part").select(
         column, (F.col("__offset") + F.col("__pos")).cast("long").alias(out)
     )
+    path = scratch_path(df.sparkSession, "codes")
+    codes.write.parquet(path)
+    return df.sparkSession.read.schema(codes.schema).parquet(path)
 
 
 def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, spread_by: str, salts: int = 8) -> DataFrame:

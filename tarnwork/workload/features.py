@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tarnwork.plans import features, ml, quality
 from tarnwork.plans.features import CUSTOMER_ORDERS
-from tarnwork.session import scratch_path
+from tarnwork.session import drop_scratch, scratch_path, shuffles_dropped
 from tarnwork.sinks.once import append_once, read_once
 from tarnwork.workload import views as v
-from tarnwork.workload.registry import VIEW_SQL, hash_sql, query, stored_input
+from tarnwork.workload.registry import VIEW_SQL, hash_sql, query, stored_bytes, stored_input
 
 GATED_MODEL = "Brand#11"
 START, MIDDLE, END = "1996-01-01", "1998-06-01", "1999-12-31"
@@ -125,29 +125,53 @@ def latest_version(spark: SparkSession, sf: str) -> DataFrame:
 VIEW_SQL["v_training"] = f"SELECT * FROM ({_PIT.format(alive="s.event_timestamp <= f.event_timestamp + INTERVAL 3650 DAY")}) WHERE region IS NOT NULL"
 
 
-def _training_rows(spark: SparkSession, sf: str) -> DataFrame:
+# Orders of so many bytes of Parquet go through the as-of join at a time: its exchanges take many times that on disk.
+PART_BYTES = 32 << 20
+
+
+def _training_rows(orders: DataFrame) -> DataFrame:
     """Historical features of every order with its split."""
-    known = features.historical_features(v.spine(spark, sf), v.feature_rows(spark, sf), CUSTOMER_ORDERS)
+    known = features.historical_features(v.spine_of(orders), v.feature_rows_of(orders), CUSTOMER_ORDERS)
     return ml.split_rows(known.where(F.col("region").isNotNull()), "spine_id")
 
 
+def _store_training_rows(spark: SparkSession, sf: str, path: str, parts: int) -> DataFrame:
+    """The training rows, written below ``path`` part by part.
+
+    All orders of a customer are in one part, so each part's features are
+    complete; the disk holds the exchanges of one part at a time.
+    """
+    orders = v.orders(spark, sf)
+    part = F.pmod(F.xxhash64(*CUSTOMER_ORDERS.keys), F.lit(parts)).cast("int")
+    dealt = orders.withColumn("part", part).sortWithinPartitions("part", *CUSTOMER_ORDERS.keys)
+    dealt.write.partitionBy("part").parquet(f"{path}/orders")
+    stored = spark.read.schema(dealt.schema).parquet(f"{path}/orders")
+    for number in range(parts):
+        known = _training_rows(stored.where(F.col("part") == number).drop("part"))
+        known.write.mode("append").parquet(f"{path}/known")
+    drop_scratch(spark, f"{path}/orders")
+    return spark.read.schema(known.schema).parquet(f"{path}/known")
+
+
 def _trained(spark: SparkSession, sf: str):
     """The region model, trained once for a state of the tables; (folder of the model, its rows).
 
-    Fitting reads its rows several times, so the retrieved features are
-    written once to the shared folder and read from there.
+    Gate, codes and fitting read their rows several times, so the retrieved
+    features are written once to the shared folder and read from there.
     """
+    tables = [f"{sf}/{name}.parquet" for name in ("orders", "customer", "nation", "region")]
 
     def build(path: str) -> None:
-        known = _training_rows(spark, sf)
-        quality.require_training(known, "region")
-        coded = ml.encode_labels(ml.encode_labels(known, "product", "product_code"), "region", "label")
-        coded.withColumns({c: F.col(c).cast("double") for c in ("amount", "label")}).write.parquet(f"{path}/rows")
+        parts = 1 + stored_bytes(spark, tables[:1]) // PART_BYTES
+        with shuffles_dropped(spark):
+            known = quality.require_training(_store_training_rows(spark, sf, path, parts), "region")
+            coded = ml.encode_labels(ml.encode_labels(known, "product", "product_code"), "region", "label")
+            coded.withColumns({c: F.col(c).cast("double") for c in ("amount", "label")}).write.parquet(f"{path}/rows")
+            drop_scratch(spark, f"{path}/known")
         rows = spark.read.parquet(f"{path}/rows")
         pipeline = ml.forest_pipeline(["amount", "product_code"])
         ml.save_model(ml.train(pipeline, rows.where(F.col("split") == "train")), f"{path}/model")
 
-    tables = [f"{sf}/{name}.parquet" for name in ("orders", "customer", "nation", "region")]
     path = stored_input(spark, "region-model", tables, build)
     return f"{path}/model", spark.read.parquet(f"{path}/rows")
 

@@ -67,6 +67,13 @@ def stored_input(spark: SparkSession, name: str, tables: list[str], build: Calla
     return _STORED[key]
 
 
+def stored_bytes(spark: SparkSession, tables: list[str]) -> int:
+    """Length of all files of some tables."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    system = lambda folder: folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(system(folder).getContentSummary(folder).getLength() for folder in map(hadoop, tables))
+
+
 def plain_types(df: DataFrame) -> DataFrame:
     """Money as double and times without a zone, as the compared SQL returns them."""
     columns = []

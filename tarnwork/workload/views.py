@@ -81,7 +81,11 @@ FROM v_orders
 
 
 def feature_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return order_feature_source(orders(spark, sf)).withColumn("amount", F.col("amount").cast("double"))
+    return feature_rows_of(orders(spark, sf))
+
+
+def feature_rows_of(orders: DataFrame) -> DataFrame:
+    return order_feature_source(orders).withColumn("amount", F.col("amount").cast("double"))
 
 
 VIEW_SQL["v_spine"] = """
@@ -91,7 +95,11 @@ FROM v_orders
 
 
 def spine(spark: SparkSession, sf: str) -> DataFrame:
-    return orders(spark, sf).select(
+    return spine_of(orders(spark, sf))
+
+
+def spine_of(orders: DataFrame) -> DataFrame:
+    return orders.select(
         F.col("order_id").alias("spine_id"),
         "customer_name",
         (F.col("order_date").cast("timestamp") + F.expr("INTERVAL 15 DAYS")).alias("event_timestamp"),
