@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+import math
+from multiprocessing.pool import ThreadPool
+
+import numpy as np
+import pyarrow as pa
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.functions.hashing import key_hash, SPAN
@@ -17,6 +23,11 @@ BASELINE_TREES, BASELINE_DEPTH = 100, 6
 FEATURE_TREES, FEATURE_DEPTH = 50, 5
 SEED = 42
 TEST_FRACTION = 0.2
+# ---- what a tree tells apart: MLlib's default number of bins ---------------
+BINS = 32
+# Cells of bins and classes that the driver holds at most; trees that are fitted at a time.
+MOST_CELLS = 1 << 16
+FITS = 8
 # ---------------------------------------------------------------------------
 
 
@@ -38,13 +49,116 @@ def split_rows(df: DataFrame, key: str, test_fraction: float = TEST_FRACTION, se
 def forest_pipeline(
     columns: list[str], *, trees: int = FEATURE_TREES, depth: int = FEATURE_DEPTH, seed: int = SEED, **settings
 ) -> Pipeline:
-    """Feature vector and random forest on plain numbers, with a numeric ``label``.
+    """Bins, feature vector and random forest on plain numbers, with a numeric ``label``.
 
     Categories come as codes of ``encode_labels``, ordered like any number: as
     many of them as there are, without a list of them on the driver.
     """
-    features = VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[features, forest(trees, depth, seed, **settings)])
+    return Pipeline(stages=[BinnedForest(columns, forest(trees, depth, seed, **settings))])
+
+
+class BinnedForest(Estimator):
+    """A random forest that is fitted on counts of rows instead of a stored copy of every row with its draws for every tree.
+
+    A tree compares a number with the limits of its ``BINS`` bins only, so rows
+    of the same bins and label are the same to it.  One pass finds the limits,
+    one counts the rows of each cell (bins and label).  A tree's bootstrap
+    sample takes every row as often as a Poisson number of mean 1 says; for the
+    n rows of a cell together that is a Poisson number of mean n, and MLlib fits
+    the tree on the cells with these weights.  Nothing of the size of the rows
+    is kept in memory or on disk.
+
+    With so many columns that cells could be more than ``MOST_CELLS``, MLlib's
+    forest is fitted on the rows.
+    """
+
+    def __init__(self, columns: list[str], trees: RandomForestClassifier) -> None:
+        super().__init__()
+        self.columns, self.trees = columns, trees
+
+    def _fit(self, rows: DataFrame) -> PipelineModel:
+        label = self.trees.getLabelCol()
+        limits, classes = bin_limits(rows, self.columns, label)
+        bins = [f"__bin_{i}" for i in range(len(self.columns))]
+        if math.prod(len(x) + 3 for x in limits) * classes > MOST_CELLS:
+            features = VectorAssembler(inputCols=self.columns, outputCol=self.trees.getFeaturesCol(), handleInvalid="keep")
+            return Pipeline(stages=[features, self.trees]).fit(rows)
+        ends = [[-math.inf, *x, math.inf] for x in limits]
+        binned = Bucketizer(splitsArray=ends, inputCols=self.columns, outputCols=bins, handleInvalid="keep")
+        features = VectorAssembler(inputCols=bins, outputCol=self.trees.getFeaturesCol(), handleInvalid="keep")
+        cells = binned.transform(rows).groupBy(*bins, label).agg(F.count(F.lit(1)).alias("__n")).collect()
+        # A missing value is beyond all limits, as it is for a model that scores it.
+        known = [[len(x) + 2.0 if b is None else b for b, x in zip(cell, limits)] for cell in cells]
+        cells = sorted(zip(known, (c[label] for c in cells), (c["__n"] for c in cells)), key=lambda c: (c[0], c[1] is None, c[1] or 0.0))
+        table = {c: pa.array((known[i] for known, *_ in cells), pa.float64()) for i, c in enumerate(bins)}
+        table[label] = pa.array((y for _, y, _ in cells), pa.float64())
+        return PipelineModel([binned, features, self._forest(rows.sparkSession, table, [n for *_, n in cells], features, classes)])
+
+    def _forest(self, spark: SparkSession, table: dict[str, pa.Array], counts: list[int], features: VectorAssembler, classes: int):
+        label, trees, seed = self.trees.getLabelCol(), self.trees.getNumTrees(), self.trees.getSeed()
+        draw, samples = np.random.default_rng(seed), []
+        while len(samples) < trees:
+            sample = draw.poisson(counts)
+            if sample.any():  # a tree of no rows would have no vote
+                samples.append(sample)
+        # The number of classes is the same for all trees, also for one that has drawn no row of the last class.
+        nominal = {"ml_attr": {"type": "nominal", "num_vals": classes}}
+        subset = self.trees.getFeatureSubsetStrategy()
+        # MLlib has a bin for each number there is, and looks at all cells for them if their number allows so many bins.
+        single = {
+            "numTrees": 1, "bootstrap": False, "maxBins": max(BINS + 3, math.isqrt(len(counts)) + 1), "weightCol": "__weight",
+            "featureSubsetStrategy": "sqrt" if subset == "auto" and trees > 1 else subset,
+        }
+
+        def fit(t: int):
+            drawn = pa.table(table | {"__weight": pa.array(samples[t], pa.float64())}).filter(pa.array(samples[t] > 0))
+            cells = features.transform(spark.createDataFrame(drawn).coalesce(1))
+            cells = cells.withColumn(label, F.col(label).alias(label, metadata=nominal))
+            tree = self.trees.copy({getattr(self.trees, k): v for k, v in (single | {"seed": seed + t}).items()})
+            return tree.fit(cells)._java_obj.trees()[0]
+
+        with ThreadPool(min(FITS, trees)) as pool:
+            fitted = pool.map(inheritable_thread_target(spark)(fit), range(trees), chunksize=1)
+        java = spark._jvm.org.apache.spark.ml.classification
+        array = spark.sparkContext._gateway.new_array(java.DecisionTreeClassificationModel, trees)
+        for t, tree in enumerate(fitted):
+            array[t] = tree
+        model = RandomForestClassificationModel(java.RandomForestClassificationModel(self.trees.uid, array, len(features.getInputCols()), classes))
+        for param, value in self.trees.extractParamMap().items():
+            if model.hasParam(param.name):
+                model.set(model.getParam(param.name), value)
+        return model
+
+
+def bin_limits(rows: DataFrame, columns: list[str], label: str) -> tuple[list[list[float]], int]:
+    """Inner limits of at most ``BINS`` bins for each column, and the number of classes.
+
+    As in MLlib, a column of few values has a bin for each of them, others have
+    bins of about equally many rows; there, a value with more rows than that has
+    a bin of its own.
+    """
+    number = {c: F.col(c).cast("double") for c in columns}
+    finite = [F.when(~F.isnan(x) & (F.abs(x) != F.lit(math.inf)), x) for x in number.values()]
+    ranks = [i / BINS for i in range(BINS)]
+    named = lambda made: F.struct(*(c.alias(f"c{i}") for i, c in enumerate(made)))
+    classes = F.col(label).cast("double")
+    seen = rows.agg(
+        F.max(F.when(~F.isnan(classes), classes)).alias("last"),
+        named(F.approx_count_distinct(x) for x in finite).alias("distinct"),
+        named(F.percentile_approx(x, ranks, 10_000) for x in finite).alias("ranked"),
+    ).first()
+    few = [i for i, n in enumerate(seen.distinct) if n <= 2 * BINS]
+    values = dict(zip(few, map(sorted, rows.agg(*(F.collect_set(finite[i]) for i in few)).first()))) if few else {}
+    limits = []
+    for i, ranked in enumerate(seen.ranked):
+        own = values.get(i)
+        if own is not None and len(own) <= BINS:
+            inner = [middle if a < (middle := a / 2 + b / 2) <= b else b for a, b in zip(own, own[1:])]
+        else:
+            above = (math.nextafter(a, math.inf) for a, b in zip(ranked, ranked[1:]) if a == b)
+            inner = sorted({*ranked[1:], *above} - {ranked[0]})
+        limits.append(inner or [(own or [0.0])[0]])  # one limit at least, for a column that tells nothing
+    return limits, int(seen.last or 0) + 1
 
 
 def forest(
