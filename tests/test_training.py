@@ -1,4 +1,4 @@
-"""Training rows: made part by part, without exchanges that stay on the disk."""
+"""Training rows: made part by part, without exchanges that stay on the disk; judged rows that are joined once."""
 
 import datetime
 import random
@@ -58,3 +58,10 @@ def test_training_rows_leave_no_exchange_on_the_disk(spark, place, tmp_path, mon
     _, rows = features._trained(spark, place)
     assert rows.count() > 1000
     assert shuffle_bytes(spark) - before < 20_000  # the exchanges of the as-of join alone take 200,000
+
+
+def test_run_rows_count_rows_that_are_joined_once(spark, place, monkeypatch):
+    seen, metrics = [], ml.binary_metrics
+    monkeypatch.setattr(ml, "binary_metrics", lambda df: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), metrics(df))[1])
+    assert features.ml_run_row(spark, place).count() == 2
+    assert len(seen) == 1 and "Join" not in seen[0] and "UDF" not in seen[0]
