@@ -69,7 +69,8 @@ class BinnedForest(Estimator):
     is kept in memory or on disk.
 
     With so many columns that cells could be more than ``MOST_CELLS``, MLlib's
-    forest is fitted on the rows.
+    forest is fitted on the rows.  So it is where a number is missing or
+    infinite, which MLlib refuses; a model that is fitted scores such rows.
     """
 
     def __init__(self, columns: list[str], trees: RandomForestClassifier) -> None:
@@ -78,21 +79,19 @@ class BinnedForest(Estimator):
 
     def _fit(self, rows: DataFrame) -> PipelineModel:
         label = self.trees.getLabelCol()
-        limits, classes = bin_limits(rows, self.columns, label)
+        limits, classes, odd = bin_limits(rows, self.columns, label)
         bins = [f"__bin_{i}" for i in range(len(self.columns))]
-        if math.prod(len(x) + 3 for x in limits) * classes > MOST_CELLS:
+        if odd or math.prod(len(x) + 1 for x in limits) * classes > MOST_CELLS:
             features = VectorAssembler(inputCols=self.columns, outputCol=self.trees.getFeaturesCol(), handleInvalid="keep")
             return Pipeline(stages=[features, self.trees]).fit(rows)
         ends = [[-math.inf, *x, math.inf] for x in limits]
         binned = Bucketizer(splitsArray=ends, inputCols=self.columns, outputCols=bins, handleInvalid="keep")
         features = VectorAssembler(inputCols=bins, outputCol=self.trees.getFeaturesCol(), handleInvalid="keep")
         cells = binned.transform(rows).groupBy(*bins, label).agg(F.count(F.lit(1)).alias("__n")).collect()
-        # A missing value is beyond all limits, as it is for a model that scores it.
-        known = [[len(x) + 2.0 if b is None else b for b, x in zip(cell, limits)] for cell in cells]
-        cells = sorted(zip(known, (c[label] for c in cells), (c["__n"] for c in cells)), key=lambda c: (c[0], c[1] is None, c[1] or 0.0))
-        table = {c: pa.array((known[i] for known, *_ in cells), pa.float64()) for i, c in enumerate(bins)}
-        table[label] = pa.array((y for _, y, _ in cells), pa.float64())
-        return PipelineModel([binned, features, self._forest(rows.sparkSession, table, [n for *_, n in cells], features, classes)])
+        cells.sort(key=lambda c: (*c[: len(bins)], c[label] is None, c[label] or 0.0))
+        table = {c: pa.array((cell[c] for cell in cells), pa.float64()) for c in bins}
+        table[label] = pa.array((cell[label] for cell in cells), pa.float64())
+        return PipelineModel([binned, features, self._forest(rows.sparkSession, table, [c["__n"] for c in cells], features, classes)])
 
     def _forest(self, spark: SparkSession, table: dict[str, pa.Array], counts: list[int], features: VectorAssembler, classes: int):
         label, trees, seed = self.trees.getLabelCol(), self.trees.getNumTrees(), self.trees.getSeed()
@@ -106,7 +105,7 @@ class BinnedForest(Estimator):
         subset = self.trees.getFeatureSubsetStrategy()
         # MLlib has a bin for each number there is, and looks at all cells for them if their number allows so many bins.
         single = {
-            "numTrees": 1, "bootstrap": False, "maxBins": max(BINS + 3, math.isqrt(len(counts)) + 1), "weightCol": "__weight",
+            "numTrees": 1, "bootstrap": False, "maxBins": max(BINS + 1, math.isqrt(len(counts)) + 1), "weightCol": "__weight",
             "featureSubsetStrategy": "sqrt" if subset == "auto" and trees > 1 else subset,
         }
 
@@ -130,8 +129,8 @@ class BinnedForest(Estimator):
         return model
 
 
-def bin_limits(rows: DataFrame, columns: list[str], label: str) -> tuple[list[list[float]], int]:
-    """Inner limits of at most ``BINS`` bins for each column, and the number of classes.
+def bin_limits(rows: DataFrame, columns: list[str], label: str) -> tuple[list[list[float]], int, bool]:
+    """Inner limits of the bins of each column, the number of classes, and whether a number is missing or infinite.
 
     As in MLlib, a column of few values has a bin for each of them, others have
     bins of about equally many rows; there, a value with more rows than that has
@@ -146,6 +145,7 @@ def bin_limits(rows: DataFrame, columns: list[str], label: str) -> tuple[list[li
         F.max(F.when(~F.isnan(classes), classes)).alias("last"),
         named(F.approx_count_distinct(x) for x in finite).alias("distinct"),
         named(F.percentile_approx(x, ranks, 10_000) for x in finite).alias("ranked"),
+        named(F.count_if(x.isNull()) for x in finite).alias("odd"),
     ).first()
     few = [i for i, n in enumerate(seen.distinct) if n <= 2 * BINS]
     values = dict(zip(few, map(sorted, rows.agg(*(F.collect_set(finite[i]) for i in few)).first()))) if few else {}
@@ -158,7 +158,7 @@ def bin_limits(rows: DataFrame, columns: list[str], label: str) -> tuple[list[li
             above = (math.nextafter(a, math.inf) for a, b in zip(ranked, ranked[1:]) if a == b)
             inner = sorted({*ranked[1:], *above} - {ranked[0]})
         limits.append(inner or [(own or [0.0])[0]])  # one limit at least, for a column that tells nothing
-    return limits, int(seen.last or 0) + 1
+    return limits, int(seen.last or 0) + 1, any(seen.odd)
 
 
 def forest(
